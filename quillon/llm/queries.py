@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, quality, secrets, urls
+from quillon.llm import bpe, mixing, quality, secrets, urls
 from quillon.llm import sql as text_sql
 
 QUERIES, ORACLE = {}, {}
@@ -50,6 +50,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[F.col(f"measures.{n}").alias(n) for n in names], "base_failed", "kept", "host_docs", "host_failed", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op8_url_filter", text_sql.URLS)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "pattern")
