@@ -81,12 +81,13 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup_words(packed: DataFrame, gather: Callable, answer: Callable) -> DataFrame:
+def lookup_words(packed: DataFrame, gather: Callable, answer: Callable, total: Callable | None = None) -> DataFrame:
     """(block, payload, answers): for each block the answers to its words, in their order.
 
     gather(payload) gives a value for each word of a block (or None for all); in the word's task all of
     them are put together: answer(words, sums) gets the distinct words of the partition and the sums of their values, and
-    returns a list of answers, one a word."""
+    returns a list or array of answers, one a word. total(words, sums), if given, is what a task
+    knows of all its words: it comes as answers of a row without payload."""
     q = 4 * partitions(packed)
 
     def ask(batches):
@@ -114,14 +115,17 @@ def lookup_words(packed: DataFrame, gather: Callable, answer: Callable) -> DataF
                     sums.append((at, values))
         if not asked:
             return
-        total = None
+        summed = None
         if sums:
-            total = np.zeros(len(ids), np.int64)
+            summed = np.zeros(len(ids), np.int64)
             for at, values in sums:
-                total[at] += values  # a word comes once in a block
-        answers = answer(list(ids), total)
+                summed[at] += values  # a word comes once in a block
+        words = list(ids)
+        answers = answer(words, summed)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId()], pa.int64()), pa.array([dump(total(words, summed))], pa.binary())], ["block", "answers"])
         for key, own, at in asked:
-            got = answers[at] if isinstance(answers, np.ndarray) else [answers[i] for i in at]
+            got = narrow(answers[at]) if isinstance(answers, np.ndarray) else [answers[i] for i in at]
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([dump((own, got))], pa.binary())], ["block", "answers"])
 
     asks = packed.mapInArrow(ask, "part int, block long, words binary").repartition(q, "part")
@@ -129,13 +133,19 @@ def lookup_words(packed: DataFrame, gather: Callable, answer: Callable) -> DataF
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
-            return pa.table({"block": pa.array([], pa.int64()), "payload": pa.array([], pa.binary()), "answers": pa.array([], pa.binary())})
+            return pa.table({"block": right.column("block"), "payload": pa.nulls(right.num_rows, pa.binary()), "answers": right.column("answers")})
         payload = load(left.column("payload")[0].as_py())
-        out = [None] * len(payload[1])
+        out = None
         for data in right.column("answers"):
             own, got = load(data.as_py())
-            for i, x in zip(own.tolist(), got.tolist() if isinstance(got, np.ndarray) else got):
-                out[i] = x
+            if isinstance(got, np.ndarray):
+                out = np.zeros(len(payload[1]), np.int64) if out is None else out
+                out[own] = got
+            else:
+                out = [None] * len(payload[1]) if out is None else out
+                for i, x in zip(own.tolist(), got):
+                    out[i] = x
+        out = [] if out is None else narrow(out) if isinstance(out, np.ndarray) else out
         return pa.table({"block": left.column("block"), "payload": left.column("payload"), "answers": pa.array([dump(out)], pa.binary())})
 
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, "block long, payload binary, answers binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, mixing, quality, secrets, urls
+from quillon.llm import bpe, maxent, mixing, quality, secrets, urls
 from quillon.llm import sql as text_sql
 
 QUERIES, ORACLE = {}, {}
@@ -50,6 +50,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[F.col(f"measures.{n}").alias(n) for n in names], "base_failed", "kept", "host_docs", "host_failed", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
+def remainder(n: int) -> F.Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+@query("op5_maxent_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents").select("doc_id", "text", (remainder(5) == 1).alias("held_out")))
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
