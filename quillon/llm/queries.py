@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, maxent, mixing, quality, secrets, urls
+from quillon.llm import bpe, maxent, mixing, neardup, quality, secrets, urls
 from quillon.llm import sql as text_sql
 
 QUERIES, ORACLE = {}, {}
@@ -43,6 +43,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 @query("op3_quality_rules", text_sql.QUALITY)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
