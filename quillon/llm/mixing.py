@@ -21,7 +21,7 @@ from quillon.llm.common import WORD, cut, lookup
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_REPEATS = 1.5, 2
 #: A hash has BITS * LEVELS bits.
-BITS, LEVELS = 15, 3
+BITS, LEVELS = 11, 4
 
 
 def size_of(text: str = "text") -> F.Column:
