@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, maxent, mixing, neardup, quality, secrets, urls
+from quillon.llm import bpe, langid, maxent, mixing, neardup, quality, secrets, urls, winnow
 from quillon.llm import sql as text_sql
 
 QUERIES, ORACLE = {}, {}
@@ -55,6 +55,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *[F.col(f"measures.{n}").alias(n) for n in names], "base_failed", "kept", "host_docs", "host_failed", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
+@query("op4_winnowing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def remainder(n: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
@@ -64,6 +69,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(read(spark, sf_dir, "documents").select("doc_id", "text", (remainder(5) == 1).alias("held_out")))
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = remainder(4) == 2
+    model, bounds = langid.fit(docs.where(~held).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model, bounds).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
