@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, langid, maxent, mixing, neardup, quality, secrets, urls, winnow
+from quillon.llm import bpe, chat, langid, maxent, mixing, neardup, quality, secrets, urls, winnow
 from quillon.llm import sql as text_sql
 
 QUERIES, ORACLE = {}, {}
@@ -94,3 +94,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mixing.mix_report(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return df.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", "source")
+
+
+@query("op10_chat_format")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = chat.format_chat(read(spark, sf_dir, "conversations"))
+    return df.select("conv_id", "turn", "role", "n_passages", "n_linked", "max_level", "parent_turn", "root_turn", "depth", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))

@@ -239,3 +239,26 @@ def scan_secrets(df: DataFrame, text: str = "text", spans: str = "spans", trunca
     keep = [F.col(f"`{c}`") for c in df.columns if c not in (spans, truncated)]
     out = df.select(*keep, found(F.col(text)).alias("__found"))
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (spans, truncated)], F.col("__found.spans").alias(spans), F.col("__found.truncated").alias(truncated))
+
+
+def redacted(text: str, most: int, mark: str = "[{}]") -> str:
+    """The text with each secret, and each encoded run that holds one, replaced by its kind; overlapping spans are one."""
+    parts, at, kind = [], 0, None
+    spans = sorted((s, e, k) for s, k, e, _, _ in scan(text, most)[0])
+    for s, e, k in spans:
+        if kind is not None and s < at:
+            at = max(at, e)
+            continue
+        parts += [text[at:s], mark.format(KINDS[k])]
+        at, kind = e, k
+    return "".join(parts) + text[at:] if spans else text
+
+
+def redact_secrets(df: DataFrame, text: str = "text", max_layer_bytes: int = 64 << 20) -> DataFrame:
+    """The same rows and columns with secrets replaced in the text (null stays null)."""
+
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else redacted(t, max_layer_bytes) for x in texts], pa.string())
+
+    return df.withColumn(text, of(F.col(f"`{text}`")))
