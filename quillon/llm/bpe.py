@@ -52,12 +52,15 @@ def split_words(text: str) -> list[str]:
     return out
 
 
+def merger(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class _Words:
     """Encodes words; each distinct pre-token once."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.find, self.known = regex.compile(pattern).findall, {}
+    def __init__(self, bpe: tiktoken.Encoding, pattern: str):
+        self.bpe, self.find, self.known = bpe, regex.compile(pattern).findall, {}
 
     def __call__(self, word: str) -> list[int]:
         out = []
@@ -72,11 +75,14 @@ class _Words:
 def encoded_blocks(df: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """(block, payload, answers): the answers are the ids of each word of the block as uint16 or uint32 bytes."""
     sc = df.sparkSession.sparkContext
-    table = sc.broadcast(ranks)  # a row for each token of the tokenizer
+    shared = sc.broadcast({"ranks": ranks})  # a row for each token of the tokenizer
     kind = np.uint16 if max(ranks.values(), default=0) < 65536 else np.uint32
 
     def answer(words, _):
-        encode = _Words(table.value, pattern)
+        own = shared.value  # stays in a Python worker from task to task
+        if "bpe" not in own:
+            own["bpe"] = merger(own["ranks"], pattern)
+        encode = _Words(own["bpe"], pattern)
         return [np.array(encode(w), kind).tobytes() for w in words]
 
     return lookup_words(pack(df, text, keep, split_words), lambda payload: None, answer)

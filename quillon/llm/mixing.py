@@ -45,7 +45,8 @@ def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: f
     w = w.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(whole))
     w = w.withColumn("left", F.col("budget") - F.coalesce(F.sum("stop").over(before), F.lit(0.0)))
     w = w.withColumn("level", F.col("left") / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole)
+    # from the first source that isn't stopped on, each next one's level is no higher
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole)
     level = F.coalesce(level, F.lit(float("inf")))  # only if the budget exceeds all stops
     return w.select("source", "source_size", F.least(level * F.col("weight"), F.col("stop")).alias("target"))
 

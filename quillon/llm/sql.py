@@ -57,7 +57,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
 w AS (SELECT *, {_WEIGHT} AS weight, {float(M.MOST_REPEATS)}::DOUBLE * source_size AS stop FROM k),
 x AS (SELECT *, stop / weight AS ratio, {M.SHARE}::DOUBLE * sum(source_size) OVER () AS budget, sum(weight) OVER () AS weights FROM w),
 y AS (SELECT *, (budget - coalesce(sum(stop) OVER p, 0)) / (weights - coalesce(sum(weight) OVER p, 0)) AS level FROM x WINDOW p AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-z AS (SELECT *, coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), 'inf'::DOUBLE) AS lev FROM y),
+z AS (SELECT *, coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), 'inf'::DOUBLE) AS lev FROM y),
 t AS (SELECT source, source_size, least(lev * weight, stop) AS target FROM z),
 v AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM t),
 g AS (SELECT source, hash, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY hash) AS through FROM d GROUP BY source, hash),
