@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from quillon.plans import q_partition, q_sampling  # noqa: F401
+from quillon.plans import q_metrics, q_partition, q_sampling  # noqa: F401
 
 FLAGSHIP = "split_crosstab"

@@ -89,7 +89,7 @@ def split_invariants(spark, d):
 
 
 @query("minimum_counts", f"""WITH {RESOLVED}, want(split, label, least) AS (VALUES ('train', 0, 5), ('train', 1, 50), ('test', 0, 5), ('test', 1, 50), ('val', 1, 5))
-SELECT w.split, w.label, w.least, count(r.doc_id) AS n, count(r.doc_id) >= w.least AS enough FROM want w LEFT JOIN resolved r ON r.split = w.split AND r.label = w.label AND r.drop_reason IS NULL GROUP BY ALL""")
+SELECT w.split, w.label, w.least, count(r.doc_id) AS n, count(r.doc_id) >= w.least AS enough FROM want w LEFT JOIN resolved r ON r.split = w.split AND r.label = w.label AND r.drop_reason IS NULL GROUP BY w.split, w.label, w.least""")
 def minimum_counts(spark, d):
     want = spark.createDataFrame([("train", 0, 5), ("train", 1, 50), ("test", 0, 5), ("test", 1, 50), ("val", 1, 5)], "split string, label int, least int")
     have = resolved(spark, d).where("drop_reason IS NULL").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
