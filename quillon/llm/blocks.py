@@ -23,21 +23,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, more or less.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
+#: Places below this take one byte.
+SHORT = 192
 
 
-def dump(x) -> bytes:
-    return zlib.compress(pickle.dumps(x, protocol=5), 1)
+def dump(x, squeeze: bool = True) -> bytes:
+    data = pickle.dumps(x, protocol=5)
+    return zlib.compress(data, 1) if squeeze else data
 
 
-def load(b):
-    return pickle.loads(zlib.decompress(b))
+def load(b: bytes):
+    return pickle.loads(b if b[:1] == b"\x80" else zlib.decompress(b))
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
     """As few bytes as hold the numbers."""
     top = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.int64)
+
+
+def join_words(words: list):
+    """Words as one string, if none has the sign that parts them."""
+    if words:
+        sign = b"\0" if isinstance(words[0], bytes) else "\0"
+        one = sign.join(words)
+        if one.count(sign) == len(words) - 1:
+            return one
+    return words
+
+
+def part_words(x) -> list:
+    return x if isinstance(x, list) else x.split(b"\0" if isinstance(x, bytes) else "\0")
+
+
+def put_places(a: np.ndarray) -> tuple:
+    """Places as bytes: one for the most frequent words, else the first of three, the others apart."""
+    if len(a) and int(a.max()) - SHORT >= 64 << 16:  # more words than fit: one very long text
+        return (a,)
+    long = a >= SHORT
+    rest = a[long] - SHORT
+    first = a.astype(np.uint8)
+    first[long] = SHORT + (rest >> 16)
+    return first, rest.astype(np.uint8), (rest >> 8).astype(np.uint8)
+
+
+def get_places(x: tuple) -> np.ndarray:
+    if len(x) == 1:
+        return x[0]
+    first, low, middle = x
+    a = first.astype(np.uint32)
+    long = a >= SHORT
+    a[long] = ((a[long] - SHORT) << 16 | middle.astype(np.uint32) << 8 | low) + SHORT
+    return a
+
+
+def open_block(data: bytes) -> tuple:
+    """(kept columns, words, places, number of words of each row)."""
+    columns, words, places, lens = load(data)
+    return columns, part_words(words), get_places(places), lens
+
+
+def homes(words: list, q: int) -> tuple[list[int], list[np.ndarray]]:
+    """The tasks that the words' hashes name, and for each its words' numbers, in the order of the words."""
+    home = np.fromiter([zlib.crc32(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass")) % q for w in words], np.int32, len(words))
+    order = np.argsort(home, kind="stable")
+    ends = np.searchsorted(home[order], np.arange(q + 1))
+    parts = [i for i in range(q) if ends[i] < ends[i + 1]]
+    return parts, [np.array(sorted(order[ends[i] : ends[i + 1]].tolist(), key=words.__getitem__)) for i in parts]
 
 
 def block_key(part: int, k: int) -> int:
@@ -45,8 +98,8 @@ def block_key(part: int, k: int) -> int:
 
 
 def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]) -> DataFrame:
-    """(block, payload): payload is (kept columns of the rows as lists, words, places of all rows one after
-    another, number of words of each row). split gives the words of a text (null: empty)."""
+    """(block, payload), one row a block; open_block() reads a payload. Words are in the order of their frequency.
+    split gives the words of a text (null: empty)."""
     n = len(keep)
 
     def run(batches):
@@ -54,7 +107,12 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
         rows, ids, places, lens, size = [], {}, [], [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([block_key(part, k)], pa.int64()), pa.array([dump(([list(c) for c in zip(*rows)] or [[]] * n, list(ids), narrow(np.concatenate(places)), narrow(np.array(lens, np.int64))))], pa.binary())], ["block", "payload"])
+            every, words = np.concatenate(places), list(ids)
+            order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words))
+            data = dump(([list(c) for c in zip(*rows)] or [[]] * n, join_words([words[i] for i in order.tolist()]), put_places(rank[every] if len(words) else every), narrow(np.array(lens, np.int64))))
+            return pa.RecordBatch.from_arrays([pa.array([block_key(part, k)], pa.int64()), pa.array([data], pa.binary())], ["block", "payload"])
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(n)]
@@ -86,31 +144,28 @@ def lookup_words(packed: DataFrame, gather: Callable, answer: Callable, total: C
 
     gather(payload) gives a value for each word of a block (or None for all); in the word's task all of
     them are put together: answer(words, sums) gets the distinct words of the partition and the sums of their values, and
-    returns a list or array of answers, one a word. total(words, sums), if given, is what a task
+    returns an array of numbers or a list of bytes, one a word. total(words, sums), if given, is what a task
     knows of all its words: it comes as answers of a row without payload."""
     q = 4 * partitions(packed)
 
     def ask(batches):
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                payload = load(data.as_py())
+                payload = open_block(data.as_py())
                 words, values = payload[1], gather(payload)
-                home = np.fromiter([zlib.crc32(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass")) % q for w in words], np.int32, len(words))
-                order = np.argsort(home, kind="stable")
-                ends = np.searchsorted(home[order], np.arange(q + 1))
-                parts = [i for i in range(q) if ends[i] < ends[i + 1]]
-                own = [order[ends[i] : ends[i + 1]] for i in parts]
-                body = [dump((narrow(o), [words[j] for j in o], None if values is None else values[o])) for o in own]
+                parts, own = homes(words, q)
+                body = [dump((join_words([words[i] for i in o.tolist()]), None if values is None else narrow(values[o]))) for o in own]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([key] * len(parts), pa.int64()), pa.array(body, pa.binary())], ["part", "block", "words"])
 
     def reply(batches):
         ids, sums, asked = {}, [], []
         put = ids.setdefault
         for batch in batches:
-            for key, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-                own, words, values = load(data.as_py())
-                at = np.fromiter([put(w, len(ids)) for w in words], np.int64, len(words))
-                asked.append((key, own, narrow(at)))
+            for part, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words, values = load(data.as_py())
+                words = part_words(words)
+                at = narrow(np.fromiter([put(w, len(ids)) for w in words], np.int64, len(words)))
+                asked.append((part, key, at))
                 if values is not None:
                     sums.append((at, values))
         if not asked:
@@ -123,29 +178,36 @@ def lookup_words(packed: DataFrame, gather: Callable, answer: Callable, total: C
         words = list(ids)
         answers = answer(words, summed)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId()], pa.int64()), pa.array([dump(total(words, summed))], pa.binary())], ["block", "answers"])
-        for key, own, at in asked:
-            got = narrow(answers[at]) if isinstance(answers, np.ndarray) else [answers[i] for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([dump((own, got))], pa.binary())], ["block", "answers"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId()], pa.int64()), pa.array([0], pa.int32()), pa.array([dump(total(words, summed))], pa.binary())], ["block", "part", "answers"])
+        for part, key, at in asked:
+            if isinstance(answers, np.ndarray):
+                got = narrow(answers[at])
+            else:
+                got = [answers[i] for i in at]
+                got = (narrow(np.fromiter(map(len, got), np.int64, len(got))), b"".join(got))
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([dump(got)], pa.binary())], ["block", "part", "answers"])
 
     asks = packed.mapInArrow(ask, "part int, block long, words binary").repartition(q, "part")
-    replies = asks.mapInArrow(reply, "block long, answers binary")
+    replies = asks.mapInArrow(reply, "block long, part int, answers binary")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             return pa.table({"block": right.column("block"), "payload": pa.nulls(right.num_rows, pa.binary()), "answers": right.column("answers")})
-        payload = load(left.column("payload")[0].as_py())
+        data = left.column("payload")[0].as_py()
+        words = part_words(load(data)[1])
+        got = dict(zip(right.column("part").to_pylist(), right.column("answers")))
         out = None
-        for data in right.column("answers"):
-            own, got = load(data.as_py())
-            if isinstance(got, np.ndarray):
-                out = np.zeros(len(payload[1]), np.int64) if out is None else out
-                out[own] = got
+        for part, own in zip(*homes(words, q)):
+            x = load(got[part].as_py())
+            if isinstance(x, np.ndarray):
+                out = np.zeros(len(words), np.int64) if out is None else out
+                out[own] = x
             else:
-                out = [None] * len(payload[1]) if out is None else out
-                for i, x in zip(own.tolist(), got):
-                    out[i] = x
+                out = [None] * len(words) if out is None else out
+                cuts = np.concatenate(([0], np.cumsum(x[0], dtype=np.int64))).tolist()
+                for i, a, b in zip(own.tolist(), cuts, cuts[1:]):
+                    out[i] = x[1][a:b]
         out = [] if out is None else narrow(out) if isinstance(out, np.ndarray) else out
-        return pa.table({"block": left.column("block"), "payload": left.column("payload"), "answers": pa.array([dump(out)], pa.binary())})
+        return pa.table({"block": left.column("block"), "payload": left.column("payload"), "answers": pa.array([dump(out, False)], pa.binary())})
 
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, "block long, payload binary, answers binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.blocks import load, lookup_words, pack
+from quillon.llm.blocks import load, lookup_words, open_block, pack
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -137,7 +137,7 @@ def _per_row(df: DataFrame, ranks, pattern: str, text: str, rows, to: str, kind,
     def unpack(batches):
         for batch in batches:
             for payload, answers in zip(batch.column("payload"), batch.column("answers")):
-                columns, _, places, lens = load(payload.as_py())
+                columns, _, places, lens = open_block(payload.as_py())
                 body = words(load(answers.as_py()))
                 cuts = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
                 many = 2000

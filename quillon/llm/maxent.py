@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.blocks import load, lookup_words, pack
+from quillon.llm.blocks import load, lookup_words, open_block, pack
 from quillon.llm.common import cut
 
 #: No word holds a space.
@@ -172,7 +172,7 @@ def train(blocks: DataFrame, shape: Shape) -> np.ndarray:
             own, squares, seen = start.value.copy(), np.zeros(ROWS + 1, np.float32), 0
             for batch in batches:
                 for data, answers in zip(batch.column(0), batch.column(1)):
-                    (_, held), words, places, lens = load(data.as_py())
+                    (_, held), words, places, lens = open_block(data.as_py())
                     target, _ = shape.of(words, load(answers.as_py()))
                     rows = features(words, places, lens)
                     keep = np.flatnonzero(np.repeat(~np.array(held, bool), lens))
@@ -222,7 +222,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", held: str = "he
     def scored(batches):
         for batch in batches:
             for data, answers in zip(batch.column(0), batch.column(1)):
-                (ids, held), words, places, lens = load(data.as_py())
+                (ids, held), words, places, lens = open_block(data.as_py())
                 counts = np.asarray(load(answers.as_py()), np.int64)
                 of, inner = shape.of(words, counts)
                 rows, base = features(words, places, lens), shape.base(counts)
