@@ -1,8 +1,8 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
 P(word | history) = P(class | history) P(word | class). The class given the history is a softmax over hashed
-features: the last word, the words two and three places back (skips) and the last two words together; each feature
-has one weight for each class in each of BUCKETS rows. The word given its class is its smoothed share of the class's
+features: the last word, the word before it (a skip), the endings of the last two words together and those of the two before
+them (a skip), an ending being a word's last two letters; each feature has one weight for each class in each of BUCKETS rows. The word given its class is its smoothed share of the class's
 training tokens. Words seen at most once in training are one class, which also holds the unknown word, with the share that
 Good and Turing give to unseen words.
 
@@ -40,7 +40,7 @@ BITS, FEATURES = 12, 4
 ROWS = FEATURES << BITS
 #: A word is frequent if its count's bit length is at least that of all tokens less this.
 FREQUENT_BITS = 8
-ROUNDS, STEP, BATCH = 2, 0.25, 8192
+ROUNDS, STEP, BATCH = 2, 0.1, 1024
 CHUNKS = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SUFFIX_SIGNS = b".,;:!?\"'()"
@@ -120,16 +120,19 @@ class Shape:
 def features(words, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The rows of weights of each token: shape (tokens, FEATURES). Before a text stands the word 0."""
     h = np.fromiter([zlib.crc32(w, 7) | 1 for w in words], np.uint64, len(words))[places]
+    ends = np.fromiter([zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:], 7) | 1 for w in words], np.uint64, len(words))[places]
     lens = lens.astype(np.int64)
     place = np.arange(len(places)) - np.repeat(np.cumsum(lens) - lens, lens)
-    back = []
-    for k in (1, 2, 3):
-        b = np.zeros(len(h), np.uint64)
-        b[k:] = h[:-k] if k < len(h) else h[:0]
+
+    def back(x, k):
+        b = np.zeros(len(x), np.uint64)
+        b[k:] = x[:-k]
         b[place < k] = 0
-        back.append(b)
+        return b
+
+    pair = np.uint64(0x9E3779B1)
     out = np.empty((len(places), FEATURES), np.int32)
-    for i, x in enumerate((back[0], back[1] * np.uint64(3), back[2] * np.uint64(5), back[0] * np.uint64(0x9E3779B1) + back[1] * np.uint64(7))):
+    for i, x in enumerate((back(h, 1), back(h, 2) * np.uint64(3), back(ends, 1) * pair + back(ends, 2) * np.uint64(7), back(ends, 3) * pair + back(ends, 4) * np.uint64(11))):
         out[:, i] = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int32) + (i << BITS)
     return out
 
