@@ -10,6 +10,11 @@ def _n(x: Column) -> Column:
     return F.size(x)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once; inside another lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -39,8 +44,7 @@ def peak(x: Column) -> Column:
 
 
 def deviation(x: Column) -> Column:
-    m = mean(x)
-    return F.sqrt(F.greatest(F.lit(0.0), mean_square(x) - m * m))
+    return let(mean(x), lambda m: F.sqrt(F.greatest(F.lit(0.0), mean_square(x) - m * m)))
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -49,14 +53,13 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def minmax(x: Column, eps: float = 0.0) -> Column:
     """Scaled to 0..1; a flat array gives zeros."""
-    low, high = F.array_min(x), F.array_max(x)
-    return F.transform(x, lambda v: F.when(high - low + eps > 0, (v - low) / (high - low + eps)).otherwise(0.0))
+    scaled = lambda b: F.transform(x, lambda v: F.when(b["high"] - b["low"] + eps > 0, (v - b["low"]) / (b["high"] - b["low"] + eps)).otherwise(0.0))
+    return let(F.struct(F.array_min(x).alias("low"), F.array_max(x).alias("high")), scaled)
 
 
 def centre_clip(x: Column, scale: float) -> Column:
     """(v - mean) / scale within -1..1"""
-    m = mean(x)
-    return F.transform(x, lambda v: F.least(F.greatest((v - m) / scale, F.lit(-1.0)), F.lit(1.0)))
+    return let(mean(x), lambda m: F.transform(x, lambda v: F.least(F.greatest((v - m) / scale, F.lit(-1.0)), F.lit(1.0))))
 
 
 def quantise(x: Column, scale: float, zero: int, truncate: bool = False) -> Column:
@@ -95,14 +98,13 @@ def gain_db(x: Column, db: float) -> Column:
 
 
 def scale_to_rms(x: Column, target: float) -> Column:
-    r = rms(x)
-    return F.transform(x, lambda v: v * target / F.greatest(r, F.lit(1e-9)))
+    return let(rms(x), lambda r: F.transform(x, lambda v: v * target / F.greatest(r, F.lit(1e-9))))
 
 
 def mix_at_snr(x: Column, noise: Column, db: float) -> Column:
     """x plus noise scaled so that the ratio of their root mean squares is db."""
-    k = rms(x) / (F.greatest(rms(noise), F.lit(1e-9)) * 10 ** (db / 20))
-    return F.zip_with(x, noise, lambda a, b: a + k * b)
+    ratio = rms(x) / (F.greatest(rms(noise), F.lit(1e-9)) * 10 ** (db / 20))
+    return let(ratio, lambda k: F.zip_with(x, noise, lambda a, b: a + k * b))
 
 
 def tilt(x: Column, a: float) -> Column:
@@ -119,9 +121,8 @@ def add_noise(x: Column, level: float, *seed) -> Column:
     """Noise of a normal shape from hashes, times level times the array's deviation."""
     from quillon.functions.hashing import uniform
 
-    d = deviation(x)
     near = lambda i: sum((uniform(*seed, i, k) for k in range(4)), F.lit(-2.0)) * 3**0.5  # noqa: E731  sum of four uniforms
-    return F.transform(x, lambda v, i: v + level * d * near(i))
+    return let(deviation(x), lambda d: F.transform(x, lambda v, i: v + level * d * near(i)))
 
 
 def pad_centre(x: Column, n: int) -> Column:
