@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import small_batches
+
 #: Bytes of text in a block, more or less.
 BLOCK_BYTES = 12 << 20
 #: Places below this take one byte.
@@ -100,6 +102,7 @@ def block_key(part: int, k: int) -> int:
 def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]) -> DataFrame:
     """(block, payload), one row a block; open_block() reads a payload. Words are in the order of their frequency.
     split gives the words of a text (null: empty)."""
+    small_batches(df.sparkSession)
     n = len(keep)
 
     def run(batches):
@@ -139,8 +142,9 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup_words(packed: DataFrame, gather: Callable, answer: Callable, total: Callable | None = None) -> DataFrame:
-    """(block, payload, answers): for each block the answers to its words, in their order.
+def lookup_words(packed: DataFrame, gather: Callable, answer: Callable, total: Callable | None = None, finish: Callable | None = None, schema=None) -> DataFrame:
+    """(block, payload, answers): for each block the answers to its words, in their order; or what finish(payload, answers)
+    makes of each block, an Arrow table of the schema, in the task where the two meet.
 
     gather(payload) gives a value for each word of a block (or None for all); in the word's task all of
     them are put together: answer(words, sums) gets the distinct words of the partition and the sums of their values, and
@@ -208,6 +212,8 @@ def lookup_words(packed: DataFrame, gather: Callable, answer: Callable, total: C
                 for i, a, b in zip(own.tolist(), cuts, cuts[1:]):
                     out[i] = x[1][a:b]
         out = [] if out is None else narrow(out) if isinstance(out, np.ndarray) else out
+        if finish:
+            return finish(data, out)
         return pa.table({"block": left.column("block"), "payload": left.column("payload"), "answers": pa.array([dump(out, False)], pa.binary())})
 
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, "block long, payload binary, answers binary")
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, schema or "block long, payload binary, answers binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.blocks import load, lookup_words, open_block, pack
+from quillon.llm.blocks import lookup_words, open_block, pack
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,8 +72,8 @@ class _Words:
         return out
 
 
-def encoded_blocks(df: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
-    """(block, payload, answers): the answers are the ids of each word of the block as uint16 or uint32 bytes."""
+def encoded_blocks(df: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str, finish, schema) -> DataFrame:
+    """What finish makes of each block and its answers: the ids of each word of the block as uint16 or uint32 bytes."""
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast({"ranks": ranks})  # a row for each token of the tokenizer
     kind = np.uint16 if max(ranks.values(), default=0) < 65536 else np.uint32
@@ -85,7 +85,7 @@ def encoded_blocks(df: DataFrame, ranks: dict[bytes, int], pattern: str, keep: l
         encode = _Words(own["bpe"], pattern)
         return [np.array(encode(w), kind).tobytes() for w in words]
 
-    return lookup_words(pack(df, text, keep, split_words), lambda payload: None, answer)
+    return lookup_words(pack(df, text, keep, split_words), lambda payload: None, answer, finish=finish, schema=schema)
 
 
 def _wide(ranks) -> type:
@@ -128,24 +128,22 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
 def _per_row(df: DataFrame, ranks, pattern: str, text: str, rows, to: str, kind, words) -> DataFrame:
     keep = [c for c in df.columns if c not in (text, to)]
     fields = [f for f in df.schema.fields if f.name in keep]
-    blocks = encoded_blocks(df, ranks, pattern, keep, text)
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField(to, kind)])
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [to_arrow_type(f.dataType) for f in fields]
 
-    def unpack(batches):
-        for batch in batches:
-            for payload, answers in zip(batch.column("payload"), batch.column("answers")):
-                columns, _, places, lens = open_block(payload.as_py())
-                body = words(load(answers.as_py()))
-                cuts = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
-                many = 2000
-                for a in range(0, len(lens), many):
-                    own = [places[cuts[i] : cuts[i + 1]].tolist() for i in range(a, min(a + many, len(lens)))]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c[a : a + many], t) for c, t in zip(columns, types)], rows(body, own)], [*[f.name for f in fields], to])
-
-    return blocks.mapInArrow(unpack, schema)
+    def unpack(payload: bytes, answers: list[bytes]) -> pa.Table:
+        columns, _, places, lens = open_block(payload)
+        body = words(answers)
+        cuts = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+        many, out = 2000, []
+        for a in range(0, len(lens), many):
+            own = [places[cuts[i] : cuts[i + 1]].tolist() for i in range(a, min(a + many, len(lens)))]
+            out.append(pa.RecordBatch.from_arrays([*[pa.array(c[a : a + many], t) for c, t in zip(columns, types)], rows(body, own)], [*[f.name for f in fields], to]))
+        return pa.Table.from_batches(out)
+
+    return encoded_blocks(df, ranks, pattern, keep, text, unpack, schema)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:

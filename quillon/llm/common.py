@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a lookup table that are few enough to send to every executor (each a short key and some numbers).
 BROADCAST_ROWS = 100_000
 
+#: Bytes of an Arrow batch of texts (one text at least): a batch is held by the JVM and by Python at once.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +29,14 @@ def _shared(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of texts, where the session hasn't set its own bounds."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later steps start from the files."""
     spark = df.sparkSession

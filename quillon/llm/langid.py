@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import lookup
+from quillon.llm.common import lookup, small_batches
 
 ORDER = 4
 TRAIN_ROWS, CALIBRATION, CALIBRATED = 2000, 0.2, 0.995
@@ -226,6 +226,7 @@ def fit(df: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Model | None, dict[str,
 
 def identify(df: DataFrame, model: Model | None, bounds: dict[str, float], text: str = "text") -> DataFrame:
     """Add lang_pred, score (0 to 1), cross_entropy (nats a character) and rejected."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model, bounds))
 
     @F.arrow_udf("struct<lang_pred: string, score: double, cross_entropy: double, rejected: boolean>")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import lookup
+from quillon.llm.common import lookup, small_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SPACE = b" \t\n\r\x0b\f"
@@ -52,6 +52,8 @@ def measure(b: bytes) -> tuple[int, ...]:
 def measured(df: DataFrame, text: str = "text", to: str = "measures") -> DataFrame:
     """Add a struct of MEASURES."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">")
     def of(texts: pa.Array) -> pa.Array:
         found = [measure(x.as_py() or b"") for x in texts.cast(pa.binary())]

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import small_batches
+
 #: Kinds in the order in which spans of the same start are listed.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -228,6 +230,8 @@ def scan_secrets(df: DataFrame, text: str = "text", spans: str = "spans", trunca
     was decoded) and truncated: some compressed layer is longer than max_layer_bytes (a decompression bomb)
     and was scanned up to there."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf(RESULT)
     def found(texts: pa.Array) -> pa.Array:
         out = []
@@ -257,6 +261,8 @@ def redacted(text: str, most: int, mark: str = "[{}]") -> str:
 def redact_secrets(df: DataFrame, text: str = "text", max_layer_bytes: int = 64 << 20) -> DataFrame:
     """The same rows and columns with secrets replaced in the text (null stays null)."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([None if (t := x.as_py()) is None else redacted(t, max_layer_bytes) for x in texts], pa.string())

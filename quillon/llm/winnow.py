@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.common import small_batches
+
 GRAM, WINDOW = 24, 64
 #: A hash has so many bits; below them stands the place, in pieces of a text so long.
 HASH_BITS, PLACE_BITS = 40, 24
@@ -136,6 +138,7 @@ def with_next(df: DataFrame, id: str, text: str, ranges: int) -> DataFrame:
 
 def compare_edits(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row."""
+    small_batches(df.sparkSession)
     id_type = df.schema[id].dataType
     ranges = max(1, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = with_next(df, id, text, ranges)
