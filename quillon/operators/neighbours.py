@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.arrays import let, mean
@@ -31,15 +31,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name where all executors can read and write."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at}/quillon-{uuid.uuid4().hex}"
+    return f"{at}/quillon-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def similar_pairs(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:

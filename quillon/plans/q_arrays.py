@@ -14,6 +14,16 @@ X = "x AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 R = "list_transform({}, lambda v: round(v, 6))"
 
 
+def unnested(sql, key, *arrays):
+    """The SQL's arrays as rows: key, pos and a value of each array."""
+    return f"SELECT {key}, unnest(range(len({arrays[0]})))::INT AS pos, {', '.join(f'unnest({a}) AS {a}' for a in arrays)} FROM ({sql})"
+
+
+def by_place(df, key, *arrays):
+    rows = df.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "z"))
+    return rows.select(key, "pos", *[F.col(f"z.{a}").alias(a) for a in arrays])
+
+
 def frames(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
@@ -37,47 +47,47 @@ def band_ratio(spark, d):
     return r6(frames(spark, d).select("vec_id", A.band_ratio(F.col("x"), 64 * 2 * 150.0).alias("ratio")))
 
 
-@query("vector_normalise", f"WITH {X} SELECT vec_id, list_transform(x, lambda v: round((v - list_min(x)) / (list_max(x) - list_min(x)), 6)) AS minmax, list_transform(x, lambda v: round(greatest(least((v - list_sum(x) / len(x)) / 0.2, 1), -1), 6)) AS centred FROM x")
+@query("vector_normalise", unnested(f"WITH {X} SELECT vec_id, list_transform(x, lambda v: round((v - list_min(x)) / (list_max(x) - list_min(x)), 6)) AS minmax, list_transform(x, lambda v: round(greatest(least((v - list_sum(x) / len(x)) / 0.2, 1), -1), 6)) AS centred FROM x", "vec_id", "minmax", "centred"))
 def vector_normalise(spark, d):
-    return frames(spark, d).select("vec_id", rounded(A.minmax(F.col("x"))).alias("minmax"), rounded(A.centre_clip(F.col("x"), 0.2)).alias("centred"))
+    return by_place(frames(spark, d).select("vec_id", rounded(A.minmax(F.col("x"))).alias("minmax"), rounded(A.centre_clip(F.col("x"), 0.2)).alias("centred")), "vec_id", "minmax", "centred")
 
 
-@query("vector_quantise_int8", f"WITH {X} SELECT vec_id, list_transform(x, lambda v: greatest(least(round_even(v / 0.01::DOUBLE, 0) + 3, 127), -128)::INT) AS q, list_transform(x, lambda v: round((greatest(least(round_even(v / 0.01::DOUBLE, 0) + 3, 127), -128)::INT - 3) * 0.01::DOUBLE, 6)) AS back FROM x")
+@query("vector_quantise_int8", unnested(f"WITH {X} SELECT vec_id, list_transform(x, lambda v: greatest(least(round_even(v / 0.01::DOUBLE, 0) + 3, 127), -128)::INT) AS q, list_transform(x, lambda v: round((greatest(least(round_even(v / 0.01::DOUBLE, 0) + 3, 127), -128)::INT - 3) * 0.01::DOUBLE, 6)) AS back FROM x", "vec_id", "q", "back"))
 def vector_quantise_int8(spark, d):
     q = frames(spark, d).select("vec_id", A.quantise(F.col("x"), 0.01, 3).alias("q"))
-    return q.select("vec_id", "q", rounded(A.dequantise(F.col("q"), 0.01, 3)).alias("back"))
+    return by_place(q.select("vec_id", "q", rounded(A.dequantise(F.col("q"), 0.01, 3)).alias("back")), "vec_id", "q", "back")
 
 
-@query("pcm_round_trip", f"WITH {X} SELECT vec_id, list_transform(x, lambda v: round_even(greatest(least(v, 1), -1) * 32767, 0)::INT) AS pcm FROM x")
+@query("pcm_round_trip", unnested(f"WITH {X} SELECT vec_id, list_transform(x, lambda v: round_even(greatest(least(v, 1), -1) * 32767, 0)::INT) AS pcm FROM x", "vec_id", "pcm"))
 def pcm_round_trip(spark, d):
-    return frames(spark, d).select("vec_id", A.to_pcm(F.col("x")).alias("pcm"))
+    return by_place(frames(spark, d).select("vec_id", A.to_pcm(F.col("x")).alias("pcm")), "vec_id", "pcm")
 
 
-@query("shift_roll_mask", f"WITH {X} SELECT vec_id, {R.format('list_concat([0.0::DOUBLE, 0, 0], x[1:61])')} AS shifted, {R.format('list_concat(x[60:64], x[1:59])')} AS rolled, {R.format('list_concat(x[1:10], list_transform(range(8), lambda i: 0.0::DOUBLE), x[19:])')} AS masked FROM x")
+@query("shift_roll_mask", unnested(f"WITH {X} SELECT vec_id, {R.format('list_concat([0.0::DOUBLE, 0, 0], x[1:61])')} AS shifted, {R.format('list_concat(x[60:64], x[1:59])')} AS rolled, {R.format('list_concat(x[1:10], list_transform(range(8), lambda i: 0.0::DOUBLE), x[19:])')} AS masked FROM x", "vec_id", "shifted", "rolled", "masked"))
 def shift_roll_mask(spark, d):
     x = F.col("x")
-    return frames(spark, d).select("vec_id", rounded(A.shift(x, 3)).alias("shifted"), rounded(A.roll(x, 5)).alias("rolled"), rounded(A.mask(x, F.lit(10), F.lit(8))).alias("masked"))
+    return by_place(frames(spark, d).select("vec_id", rounded(A.shift(x, 3)).alias("shifted"), rounded(A.roll(x, 5)).alias("rolled"), rounded(A.mask(x, F.lit(10), F.lit(8))).alias("masked")), "vec_id", "shifted", "rolled", "masked")
 
 
 RMS = "sqrt(list_sum(list_transform({0}, lambda v: v * v)) / len({0}))"
 
 
-@query("mix_at_snr", f"WITH {X}, n AS (SELECT a.vec_id, a.x AS x, b.x AS n FROM x a JOIN x b ON b.vec_id = a.vec_id + 1) SELECT vec_id, list_transform(range(1, 65), lambda i: round(x[i] + {RMS.format('x')} / (greatest({RMS.format('n')}, 1e-9) * pow(10, 0.5::DOUBLE)) * n[i], 5)) AS mixed FROM n")
+@query("mix_at_snr", unnested(f"WITH {X}, n AS (SELECT a.vec_id, a.x AS x, b.x AS n FROM x a JOIN x b ON b.vec_id = a.vec_id + 1) SELECT vec_id, list_transform(range(1, 65), lambda i: round(x[i] + {RMS.format('x')} / (greatest({RMS.format('n')}, 1e-9) * pow(10, 0.5::DOUBLE)) * n[i], 5)) AS mixed FROM n", "vec_id", "mixed"))
 def mix_at_snr(spark, d):
     x = frames(spark, d)
     n = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("n"))
-    return x.join(n, "vec_id").select("vec_id", F.transform(A.mix_at_snr(F.col("x"), F.col("n"), 10.0), lambda v: F.round(v, 5) + 0.0).alias("mixed"))
+    return by_place(x.join(n, "vec_id").select("vec_id", F.transform(A.mix_at_snr(F.col("x"), F.col("n"), 10.0), lambda v: F.round(v, 5) + 0.0).alias("mixed")), "vec_id", "mixed")
 
 
-@query("gain_and_target_rms", f"WITH {X} SELECT vec_id, list_transform(x, lambda v: round(greatest(least(v * pow(10, 6 / 20.0::DOUBLE), 1), -1), 6)) AS louder, list_transform(x, lambda v: round(v * 0.1 / greatest({RMS.format('x')}, 1e-9), 6)) AS levelled FROM x")
+@query("gain_and_target_rms", unnested(f"WITH {X} SELECT vec_id, list_transform(x, lambda v: round(greatest(least(v * pow(10, 6 / 20.0::DOUBLE), 1), -1), 6)) AS louder, list_transform(x, lambda v: round(v * 0.1 / greatest({RMS.format('x')}, 1e-9), 6)) AS levelled FROM x", "vec_id", "louder", "levelled"))
 def gain_and_target_rms(spark, d):
-    return frames(spark, d).select("vec_id", rounded(A.gain_db(F.col("x"), 6.0)).alias("louder"), rounded(A.scale_to_rms(F.col("x"), 0.1)).alias("levelled"))
+    return by_place(frames(spark, d).select("vec_id", rounded(A.gain_db(F.col("x"), 6.0)).alias("louder"), rounded(A.scale_to_rms(F.col("x"), 0.1)).alias("levelled")), "vec_id", "louder", "levelled")
 
 
-@query("pad_and_fit", f"WITH {X} SELECT vec_id, {R.format('x[17:48]')} AS centre, len(list_concat(list_transform(range(18), lambda i: 0.0::DOUBLE), x, list_transform(range(18), lambda i: 0.0::DOUBLE)))::INT AS padded, {R.format('list_concat(x[51:], list_transform(range(18), lambda i: 0.0::DOUBLE))')} AS tail FROM x")
+@query("pad_and_fit", unnested(f"WITH {X} SELECT vec_id, {R.format('x[17:48]')} AS centre, {R.format('list_concat(x[51:], list_transform(range(18), lambda i: 0.0::DOUBLE))')} AS tail FROM x", "vec_id", "centre", "tail"))
 def pad_and_fit(spark, d):
     x = F.col("x")
-    return frames(spark, d).select("vec_id", rounded(A.pad_centre(x, 32)).alias("centre"), F.size(A.pad_centre(x, 100)).alias("padded"), rounded(A.fit_window(x, F.lit(50), 32)).alias("tail"))
+    return by_place(frames(spark, d).select("vec_id", rounded(A.pad_centre(x, 32)).alias("centre"), rounded(A.fit_window(x, F.lit(50), 32)).alias("tail")), "vec_id", "centre", "tail")
 
 
 @query("overlapping_frames", f"WITH {X}, f AS (SELECT vec_id, unnest(range(0, 7)) AS frame, x FROM x) SELECT vec_id, frame::INT AS frame, round(list_sum(x[frame * 8 + 1:frame * 8 + 16]), 6) AS total FROM f")
@@ -86,10 +96,10 @@ def overlapping_frames(spark, d):
     return r6(f.select("vec_id", "frame", A.total(F.col("f")).alias("total")))
 
 
-@query("fixed_stride_offsets", "SELECT doc_id, list_transform(CASE WHEN n_chars >= 200 THEN range(0, n_chars - 200 + 1, 150)[1:4] ELSE [] END, lambda x: x::INT) AS offsets, greatest((n_chars - 200) // 2, 0)::INT AS centre FROM documents")
+@query("fixed_stride_offsets", "SELECT doc_id, array_to_string(CASE WHEN n_chars >= 200 THEN range(0, n_chars - 200 + 1, 150)[1:4] ELSE [] END, ',') AS offsets, greatest((n_chars - 200) // 2, 0)::INT AS centre FROM documents")
 def fixed_stride_offsets(spark, d):
     n = F.col("n_chars").cast("int")
-    return table(spark, d, "documents").select("doc_id", W.mixed_offsets(n, 200, 150, 4).alias("offsets"), F.greatest(F.floor((n - 200) / 2), F.lit(0)).cast("int").alias("centre"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(W.mixed_offsets(n, 200, 150, 4).cast("array<string>"), ",").alias("offsets"), F.greatest(F.floor((n - 200) / 2), F.lit(0)).cast("int").alias("centre"))
 
 
 @query("mel_scale", "SELECT p_partkey, round(2595 * log10(1 + p_retailprice / 700), 6) AS mel, round(700 * (pow(10, (2595 * log10(1 + p_retailprice / 700)) / 2595) - 1), 4) AS hz FROM part")
@@ -119,7 +129,7 @@ def near_dup_pairs(spark, d):
     return r6(N.similar_pairs(word_vectors(spark, d), "doc_id", "v", 0.98, BUCKETS))
 
 
-@query("near_dup_clusters", f"WITH RECURSIVE {V}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, root) AS (SELECT doc_id, doc_id FROM z UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY id) SELECT id AS doc_id, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM m")
+@query("near_dup_clusters", f"WITH RECURSIVE {V}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, root) AS (SELECT doc_id, doc_id FROM z UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), low AS (SELECT id, min(root) AS root FROM r GROUP BY id) SELECT id AS doc_id, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM low")
 def near_dup_clusters(spark, d):
     v = N.kept(word_vectors(spark, d))
     return N.clusters(v, "doc_id", N.similar_pairs(v, "doc_id", "v", 0.98, BUCKETS)).select(F.col("id").alias("doc_id"), "root", "cluster")
