@@ -72,6 +72,42 @@ def test_near_duplicates(spark):
     assert neardup.classes(df.limit(0)).count() == 0 and neardup.distinct_documents(df.limit(0)).count() == 0
 
 
+def test_pairs_in_large_mixed_buckets(spark):
+    """Texts that share boilerplate (J_P 0.77) meet in the same buckets; pairs among them at 0.81 have hardly a bucket of their own."""
+    random.seed(21)
+    frame = [f"b{i}" for i in range(140)]
+    rows = []
+    for k in range(900):
+        own = [f"w{k}x{i}" for i in range(20)]
+        rows.append((k, " ".join(frame + own)))
+        if k < 200:
+            rows.append((10_000 + k, " ".join(frame + own[:4] + [f"v{k}x{i}" for i in range(16)])))
+    a, b, c = (shingle_counts(rows[i][1]) for i in (0, 1, 2))
+    assert 0.8 < jp(a, b) < 0.82 and jp(a, c) < 0.78
+    random.shuffle(rows)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.classes(spark.createDataFrame([(i, t, "l", "s", 0) for i, t in rows], DOCS).repartition(4)).collect()}
+    assert got == {i: (i % 10_000, 2 if i % 10_000 < 200 else 1) for i, _ in rows}
+
+
+def test_a_prefix_holds_a_shingle_of_every_possible_pair():
+    random.seed(22)
+    seen = np.random.default_rng(22).integers(0, 9, 1 << neardup.CELL_BITS).astype(np.int32)
+    pairs = 0
+    for _ in range(400):
+        a = [f"w{random.randint(0, 60)}" for _ in range(random.randint(20, 120))]
+        b = list(a) * random.choice([1, 1, 2])
+        for _ in range(random.randint(0, 4)):
+            b[random.randrange(len(b))] = f"w{random.randint(0, 60)}"
+        x, y = neardup.sets_of(pa.array([" ".join(a), " ".join(b)])).to_pylist()
+        if neardup.similarity(x, y) < neardup.THRESHOLD:
+            continue
+        pairs += 1
+        (e, p), (f, q) = neardup.prefix(x, seen), neardup.prefix(y, seen)
+        p, q = dict(zip(e.tolist(), p)), dict(zip(f.tolist(), q))
+        assert any(1 / (1 - p[s]) + 1 / (1 - q[s]) <= 1 + 1 / neardup.THRESHOLD + 1e-5 for s in p.keys() & q.keys())
+    assert pairs > 50
+
+
 def test_signatures_estimate_similarity():
     random.seed(10)
     with np.errstate(over="ignore"):
