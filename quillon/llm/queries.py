@@ -45,7 +45,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_near_duplicates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", F.hex("class_key").alias("class_key"))
 
 
 @query("op3_quality_rules", text_sql.QUALITY)

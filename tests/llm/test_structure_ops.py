@@ -72,6 +72,17 @@ def test_near_duplicates(spark):
     assert neardup.classes(df.limit(0)).count() == 0 and neardup.distinct_documents(df.limit(0)).count() == 0
 
 
+def test_distinct_texts_under_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(k)) for k in range(20)] + [(7, text(k)) for k in range(20, 40)] + [(None, text(3)), (5, text(4)), (7, text(25)), (None, text(25)), (7, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "l", "s", 0) for i, t in rows], DOCS).repartition(3)
+    out = neardup.classes(df).where("key IS NOT NULL").select("key", "class_key").distinct().collect()
+    assert len(out) == 40 == len({bytes(r.class_key) for r in out})
+    kept = [(r.doc_id, r.text) for r in neardup.distinct_documents(df).collect()]
+    want = [(5 if k == 4 else None if k < 20 else 7, text(k)) for k in range(40)] + [(7, None), (None, None)]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
 def test_pairs_in_large_mixed_buckets(spark):
     """Texts that share boilerplate (J_P 0.77) meet in the same buckets; pairs among them at 0.81 have hardly a bucket of their own."""
     random.seed(21)
