@@ -21,11 +21,12 @@ from quillon.llm.common import BROADCAST_ROWS
 
 #: (verdict, host, path)
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: (name, verdict, pattern, literal tokens of it). Tokens are whole runs of lower-case letters and digits.
+#: (name, verdict, pattern, literal tokens of it). Tokens are whole runs of lower-case letters and digits that every match has as
+#: whole runs: click-redirect has none, as its target may be http or https, after any letter.
 PATTERN_RULES = (
     ("spam-host", "block", r"(?i)^[a-z]+://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
     ("tracked-feed", "block", r"(?i)[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed")),
-    ("click-redirect", "block", r"(?i)/(out|redirect|click)[/?].*https?(:|%3a)", ("https",)),
+    ("click-redirect", "block", r"(?i)/(out|redirect|click)[/?].*https?(:|%3a)", ()),
     ("archive", "block", r"(?i)\.(zip|exe|tar\.gz)([?#]|$)", ()),
     ("mobile-article", "allow", r"(?i)^https?://m\.[^/]+/[a-z]{2}/\d+\.html$", ("m", "html")),
 )

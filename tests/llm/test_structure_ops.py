@@ -156,6 +156,27 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_redirects_to_http(spark):
+    rows = ["http://u.com/a/out?to=http://v.com", "http://u.com/click/xhttp%3A//v", "HTTP://u.com/redirect?u=xhttps://v", "http://u.com/out", "http://u.com/http://v"]
+    out = {r.url: (r.pattern, r.verdict) for r in urls.judge(spark.createDataFrame([(u,) for u in rows], "url string")).collect()}
+    assert [out[u] for u in rows] == [("click-redirect", "block")] * 3 + [(None, "allow")] * 2
+
+
+def test_matches_have_their_rules_tokens(spark):
+    matches = {
+        "spam-host": ["http://spam-farm.", "x://a.b.SPAM-farm.org/", "x://u:p@a.spam-farm.c"],
+        "tracked-feed": ["?utm_source=feed", "x&UTM_SOURCE=feed&y", "a?utm_source=Feed#"],
+        "click-redirect": ["/out/http:", "/click?xhttps%3A", "/redirect/1http%3a", "/OUT?https:"],
+        "archive": ["a.zip", "b.tar.gz?x", "c.EXE#"],
+        "mobile-article": ["http://m.a/xx/1.html", "https://M.a.b/yy/22.HTML"],
+    }
+    assert set(matches) == {r[0] for r in urls.PATTERN_RULES}
+    rows = [(u, list(r[3]), r[2]) for r in urls.PATTERN_RULES for u in matches[r[0]]]
+    df = spark.createDataFrame(rows, "url string, tokens array<string>, regex string")
+    wrong = df.withColumn("own", urls.tokens_of(df.url)).where("NOT url RLIKE regex OR size(array_except(tokens, own)) > 0")
+    assert wrong.collect() == []
+
+
 def plain_chat(rows):
     """Parents by a scan of all earlier messages."""
     import re
