@@ -37,6 +37,9 @@ HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 
 #: A run that may be base64, over several lines if they are long.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of such signs, each but the last ended; what of them is one wrapped run is told by their widths.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}+\r?\n)+[A-Za-z0-9+/_-]*={0,2}")
+LINE = re.compile(r"([A-Za-z0-9+/_-]+={0,2})\r?\n?")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
@@ -86,9 +89,15 @@ def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
         if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0):
             d = zlib.decompressobj(47)
             out = d.decompress(data, most)
+            while d.eof and d.unused_data[:2] == b"\x1f\x8b" and len(out) < most:  # further gzip members
+                d, rest = zlib.decompressobj(47), d.unused_data
+                out += d.decompress(rest, most - len(out))
         elif data[:3] == b"BZh":
             d = bz2.BZ2Decompressor()
             out = d.decompress(data, most)
+            while d.eof and d.unused_data[:3] == b"BZh" and len(out) < most:
+                d, rest = bz2.BZ2Decompressor(), d.unused_data
+                out += d.decompress(rest, most - len(out))
         elif data[:6] == b"\xfd7zXZ\x00":
             d = lzma.LZMADecompressor(memlimit=128 << 20)
             out = d.decompress(data, most)
@@ -99,20 +108,16 @@ def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
     return (out, not d.eof and len(out) >= most) if out else None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\n\r\t" for c in text) else None
+def _readable(text: str) -> bool:
+    return all(c.isprintable() or c in "\n\r\t" for c in text)
 
 
 def _byte_places(text: str) -> list[int]:
-    """For each character of a text, where its bytes begin; then the end."""
+    """For each character of a text with escaped bytes, where its bytes begin; then the end."""
     out, at = [], 0
     for c in text:
         out.append(at)
-        at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+        at += 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
     return [*out, at]
 
 
@@ -129,8 +134,10 @@ def _bytes_layers(data: bytes, above: _Layer, places, whole: tuple[int, int], na
     if places is None:
         text = data.decode("utf-8", "replace")
         yield _Layer(text, [(0, *whole, False)], above, name)
-    elif (text := _readable(data)) is not None:
+    else:
+        text = data.decode("utf-8", "surrogateescape")
         at = _byte_places(text)
+        text = re.sub("[\udc80-\udcff]", "\ufffd", text)
         yield _Layer(text, [(i, places(at[i])[0], places(at[i + 1] - 1)[1], False) for i in range(len(text))], above, name)
 
 
@@ -183,8 +190,13 @@ def _children(layer: _Layer, most: int, cut: list):
                 yield from _bytes_layers(data, layer, None, m.span(), "url", most, cut)
     if "\\" in text or "&#" in text:
         yield from _rewritten(layer, ESCAPE, _escapes, "unicode")
-    for m in BASE64.finditer(text):
-        for run, at in _base64_parts(m[0], m.start()):
+    runs = [((run, at),) for m in WRAPPED.finditer(text) for run, at in _wrapped(m[0], m.start())]
+    runs += [tuple(_base64_parts(m[0], m.start())) for m in BASE64.finditer(text)]
+    done = []  # wrapped runs that were readable: what BASE64 finds in them are pieces of them
+    for parts in runs:
+        for run, at in parts:
+            if any(a <= at and at + len(run) <= b for a, b in done):
+                continue
             keep = [i for i, c in enumerate(run) if c not in "\r\n="] if "\n" in run else None
             body = "".join(run[i] for i in keep) if keep else run.rstrip("=")
             if len(body) % 4 == 1:
@@ -193,10 +205,27 @@ def _children(layer: _Layer, most: int, cut: list):
             place = (lambda i, keep=keep, at=at: at + (keep[i] if keep else i))
             found = list(_bytes_layers(data, layer, lambda j, p=place, n=len(body): (p(j // 3 * 4 + j % 3), p(min(n - 1, j // 3 * 4 + j % 3 + 1)) + 1), (at, at + len(run)), "base64", most, cut))
             yield from found
-            if found:
+            if any(x.name != "base64" or _readable(x.text) for x in found):
+                if "\n" in run:
+                    done.append((at, at + len(run)))
                 break
 
 
+def _wrapped(block: str, at: int):
+    """The wrapped runs of a block of lines: lines of one width with what follows them, if that is shorter."""
+    lines = [(m.start(), m.end(1), m.end(1) - m.start()) for m in LINE.finditer(block)]
+    k = 0
+    while k < len(lines):
+        j = k
+        while j + 1 < len(lines) and lines[j + 1][2] == lines[k][2]:
+            j += 1
+        short = j + 1 < len(lines) and lines[j + 1][2] < lines[k][2]
+        for last in (j + 1, j) if short else (j,):  # a shorter line may also be other text
+            if last > k:
+                yield block[lines[k][0] : lines[last][1]], at + lines[k][0]
+        k = j + 1
+
+
 def _base64_parts(run: str, at: int):
     """The run, and if it has signs that may also divide words, what lies between them."""
     yield run, at
@@ -210,7 +239,7 @@ def scan(text: str, most: int) -> tuple[list[tuple[int, int, int, int, str]], bo
     top = _Layer(text, [], None, "")
     found = {(s, k, e): (0, "") for s, k, e in base_spans(text)}
     cut: list[bool] = []
-    if "%" in text or "\\" in text or "&#" in text or BASE64.search(text):
+    if "%" in text or "\\" in text or "&#" in text or BASE64.search(text) or WRAPPED.search(text):
         seen, work = {hashlib.sha256(text.encode("utf-8", "replace")).digest()}, [top]
         while work:
             for child in _children(work.pop(), most, cut):

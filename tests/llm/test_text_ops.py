@@ -71,6 +71,27 @@ def test_decoded_layers(name):
     assert hidden not in clean and clean.startswith("é before ") and clean.endswith(" after")
 
 
+@pytest.mark.parametrize("width", [12, 40, 60, 64, 76])
+@pytest.mark.parametrize("tail", range(0, 60, 7))
+def test_ends_of_wrapped_layers(width, tail):
+    whole = b"x" * (100 + tail) + b" token=abcdef12"
+    for data in (whole, gzip.compress(random.Random(tail).randbytes(90).hex().encode() + b" " + whole)):
+        run = base64.b64encode(data).decode()
+        text = "see\n" + "\n".join(run[i : i + width] for i in range(0, len(run), width)) + "\n\nend of it"
+        found, short = secrets.scan(text, 1 << 20)
+        assert not short and [k for _, k, _, d, _ in found if d and k == 0] == [0]
+        assert "token" not in secrets.redacted(text, 1 << 20)
+
+
+@pytest.mark.parametrize("odd", [b"\0", b"\x0c", "\u00a0".encode(), b"\xa0", b"\xff\xfe"])
+def test_layers_with_odd_bytes_and_further_members(odd):
+    secret = b"password=hunter2secret"
+    at = base64.b64encode(b"a few words " + odd + b" then " + secret).decode()
+    assert [k for _, k, _, d, _ in secrets.scan(f"see {at} end", 1 << 20)[0] if d] == [0]
+    two = base64.b64encode(gzip.compress(b"first " + odd) + gzip.compress(secret)).decode()
+    assert [k for _, k, _, d, _ in secrets.scan(f"see {two} end", 1 << 20)[0] if d] == [0]
+
+
 def test_secret_cases(spark):
     bomb = base64.b64encode(gzip.compress(b"z" * 100_000)).decode()
     df = frame(spark, [None, "", "token=abcdef", "token=abcdef", "x" * 300_000 + " secret: 'abcdefg'", bomb])
