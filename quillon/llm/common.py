@@ -21,9 +21,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only where the session names none and all tasks run on this machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -67,3 +69,18 @@ def lookup(df: DataFrame, small: DataFrame, on: str, rows: int | None = None) ->
     if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
         right = F.broadcast(right)
     return df.join(right, df[on].eqNullSafe(right["__on"]), "left").drop("__on")
+
+
+#: A key is hot if it has 1 / HOT of all rows; so there are at most HOT hot keys.
+HOT = 1000
+
+
+def with_hot(rows: DataFrame, table: DataFrame, on: str, n: str) -> DataFrame:
+    """rows left joined with table (one row a key, n: how many of rows have it) on one column. The table's rows of hot keys, HOT at
+    most, go to all executors, so that the rows of a hot key needn't meet in one task; the others are joined by a shuffle."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    others = [c for c in table.columns if c not in (on, n)]
+    hot = F.broadcast(table.where(F.col(n) * HOT >= total).select(on, F.struct(*others).alias("__hot")))
+    marked = rows.join(hot, on, "left")
+    few = marked.where("__hot IS NULL").drop("__hot").join(table.where(F.col(n) * HOT < total).drop(n), on, "left")
+    return few.select(*rows.columns, *others).union(marked.where("__hot IS NOT NULL").select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in others]))

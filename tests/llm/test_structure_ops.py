@@ -72,6 +72,16 @@ def test_near_duplicates(spark):
     assert neardup.classes(df.limit(0)).count() == 0 and neardup.distinct_documents(df.limit(0)).count() == 0
 
 
+def test_hot_texts_long_texts_and_rows_that_differ_elsewhere(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(i, "the same text again", "l", f"s{i}", 0) for i in range(3000)] + [(5000, long, "l", "s", 0), (5001, long + " end", "l", "s", 0)] + [(6000, "one more", "l", x, 0) for x in "ab"]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.classes(df).collect()}
+    assert got == {i: (0, 3000) for i in range(3000)} | {5000: (5000, 2), 5001: (5000, 2), 6000: (6000, 2)}
+    one, two = (sorted(map(tuple, neardup.distinct_documents(d).collect())) for d in (df, df.repartition(7, "source")))
+    assert one == two and [r[0] for r in one] == [0, 5000, 6000]
+
+
 def test_distinct_texts_under_null_and_repeated_ids(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
     rows = [(None, text(k)) for k in range(20)] + [(7, text(k)) for k in range(20, 40)] + [(None, text(3)), (5, text(4)), (7, text(25)), (None, text(25)), (7, None), (None, None)]
@@ -100,9 +110,10 @@ def test_pairs_in_large_mixed_buckets(spark):
     assert got == {i: (i % 10_000, 2 if i % 10_000 < 200 else 1) for i, _ in rows}
 
 
-def test_a_prefix_holds_a_shingle_of_every_possible_pair():
+def test_a_prefix_holds_a_shingle_of_every_possible_pair(spark):
     random.seed(22)
-    seen = np.random.default_rng(22).integers(0, 9, 1 << neardup.CELL_BITS).astype(np.int32)
+    wanted = []
+    seen = np.random.default_rng(22).integers(2, 9, 1 << neardup.CELL_BITS).astype(np.int32)
     pairs = 0
     for _ in range(400):
         a = [f"w{random.randint(0, 60)}" for _ in range(random.randint(20, 120))]
@@ -115,8 +126,16 @@ def test_a_prefix_holds_a_shingle_of_every_possible_pair():
         pairs += 1
         (e, p), (f, q) = neardup.prefix(x, seen), neardup.prefix(y, seen)
         p, q = dict(zip(e.tolist(), p)), dict(zip(f.tolist(), q))
-        assert any(1 / (1 - p[s]) + 1 / (1 - q[s]) <= 1 + 1 / neardup.THRESHOLD + 1e-5 for s in p.keys() & q.keys())
+        shared = p.keys() & q.keys()
+        assert any(1 / (1 - p[s]) + 1 / (1 - q[s]) <= 1 + 1 / neardup.THRESHOLD + 1e-5 for s in shared)
+        # and the filter of the join lets the pair through
+        rows = [(min(p.items(), key=lambda i: i[1] + q.get(i[0], 9))[0], t) for t in (x, y)]
+        e = rows[0][0]
+        wanted.append([(float(z[e]), neardup.marks(t).tolist(), len(neardup._set(t)[0]), float(neardup._set(t)[1].sum())) for z, t in ((p, x), (q, y))])
     assert pairs > 50
+    kind = "struct<p: double, marks: array<bigint>, n: int, weight: double>"
+    df = spark.createDataFrame([tuple(r) for r in wanted], f"a {kind}, b {kind}")
+    assert df.where(neardup._possible()).count() == pairs
 
 
 def test_signatures_estimate_similarity():
