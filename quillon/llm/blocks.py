@@ -8,6 +8,9 @@ distinct word goes back to the blocks, which put it at its positions.
 Plan: one shuffle by block (the blocks; Spark reuses its files for both sides), one by word, one back. All are
 spread evenly by hashes, whatever words or documents are frequent: a word comes once from each block. A task holds
 one block, or the distinct words of one hash partition.
+
+Why not a row for each (block, word): the text of 0.51 GB of Parquet has 165 million pre-tokens, and its blocks of 3 MB together 29 million
+distinct ones; as rows, words, answers and places take over 2 times the input in shuffle files, these blocks 1.3 times.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import small_batches
 
 #: Bytes of text in a block, more or less.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: Places below this take one byte.
 SHORT = 192
 

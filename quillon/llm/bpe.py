@@ -1,21 +1,20 @@
-"""Byte-level BPE encoding and decoding over globally distinct words.
+"""Byte-level BPE encoding and decoding over globally distinct pre-tokens.
 
-Texts are split at single spaces; the pieces ("words", each with the space before it) are exploded with their
-positions inside blocks of documents (see blocks.py). Each distinct word of the whole table is encoded once, in the task
-that its hash names: the tokenizer's pattern divides it into pre-tokens, and each distinct pre-token's bytes are merged by rank.
-The ids go back to the blocks and are put together by position. Decoding joins ids with the token-byte table, which has
-a row for each of the tokenizer's ids (about 50,000) and so goes to every task.
+The tokenizer's pattern divides texts into pre-tokens, which are exploded with their positions inside blocks of documents (see
+blocks.py). Each distinct pre-token of the whole table is encoded once, in the task that its hash names. The ids go back
+to the blocks and are put together by position. Decoding joins ids with the token-byte table, which has a row for each of the
+tokenizer's ids (about 50,000) and so goes to every task.
 
-Why splitting at spaces gives the pattern's own matches: a match that holds a space and something else begins with that space, so
-a space followed by something that isn't white space always begins a new match, whatever stands before it.
+A pre-token alone is a single match of the pattern, so that tiktoken encodes it as it does where it stands in a text.
 
-Cases: a null text counts as empty; an empty text has no ids; repeated rows give repeated results; other
-columns are kept, unless an added column has their name; an empty table gives an empty result.
+Cases: a null text counts as empty; an empty text has no ids; a very long text is taken whole, as a block of its own; repeated rows give
+repeated results; other columns are kept, unless an added column has their name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,58 +33,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def split_words(text: str) -> list[str]:
-    """The text cut before each single space that begins a pre-token. Joined, the words are the text."""
-    parts = text.split(" ")
-    if not parts[0] and len(parts) == 1:
-        return []
-    out = [parts[0]] if parts[0] else []
-    first = not parts[0]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and not "\x1c" <= p[0] <= "\x1f":
-            out.append(" " + p)
-        elif out and not first:
-            out[-1] += " " + p
-        else:
-            out.append(" " + p)
-        first = False
-    return out
-
-
-def merger(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-class _Words:
-    """Encodes words; each distinct pre-token once."""
-
-    def __init__(self, bpe: tiktoken.Encoding, pattern: str):
-        self.bpe, self.find, self.known = bpe, regex.compile(pattern).findall, {}
-
-    def __call__(self, word: str) -> list[int]:
-        out = []
-        for piece in self.find(word):
-            ids = self.known.get(piece)
-            if ids is None:
-                ids = self.known[piece] = self.bpe._encode_single_piece(piece.encode("utf-8", "replace"))
-            out += ids
-        return out
+#: Encodings that a Python worker has made, by the digest of their ranks: one serves all tasks and queries.
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def merger(ranks: dict[bytes, int], pattern: str, name: str = "") -> tiktoken.Encoding:
+    """The encoding of these ranks; kept under a name, if one is given."""
+    if name not in _encodings:
+        made = tiktoken.Encoding("pretokens", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        if not name:
+            return made
+        _encodings.clear()
+        _encodings[name] = made
+    return _encodings[name]
+
+
+def _name(ranks: dict[bytes, int], pattern: str) -> str:
+    d = hashlib.sha256(pattern.encode())
+    for t, i in ranks.items():
+        d.update(b"%d %d " % (i, len(t)) + t)
+    return d.hexdigest()
 
 
 def encoded_blocks(df: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str, finish, schema) -> DataFrame:
-    """What finish makes of each block and its answers: the ids of each word of the block as uint16 or uint32 bytes."""
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast({"ranks": ranks})  # a row for each token of the tokenizer
-    kind = np.uint16 if max(ranks.values(), default=0) < 65536 else np.uint32
+    """What finish makes of each block and its answers: the ids of each pre-token of the block as uint16 or uint32 bytes."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)  # a row for each token of the tokenizer
+    name, kind = _name(ranks, pattern), _wide(ranks)
 
     def answer(words, _):
-        own = shared.value  # stays in a Python worker from task to task
-        if "bpe" not in own:
-            own["bpe"] = merger(own["ranks"], pattern)
-        encode = _Words(own["bpe"], pattern)
+        encode = (_encodings.get(name) or merger(shared.value, pattern, name)).encode_ordinary
         return [np.array(encode(w), kind).tobytes() for w in words]
 
-    return lookup_words(pack(df, text, keep, split_words), lambda payload: None, answer, finish=finish, schema=schema)
+    return lookup_words(pack(df, text, keep, lambda t: regex.findall(pattern, t)), lambda payload: None, answer, finish=finish, schema=schema)
 
 
 def _wide(ranks) -> type:
@@ -99,8 +78,6 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
 def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """The other columns, n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 (of the bytes that the ids stand for)."""
-    import hashlib
-
     wide = _wide(ranks)
     table = df.sparkSession.sparkContext.broadcast([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])] if sorted(ranks.values()) == list(range(len(ranks))) else {i: t for t, i in ranks.items()})
 
@@ -108,16 +85,16 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
         tokens, out = table.value, []
         for b in body:
             own = np.frombuffer(b, wide).tolist()
-            out.append((len(own), b" ".join([b"%d" % i for i in own]), b"".join([tokens[i] for i in own])))
+            out.append((len(own), " ".join(map(str, own)).encode(), b"".join([tokens[i] for i in own])))
         return out
 
     def rows(body, places):
         n, a, b = [], [], []
+        counts, decimal, decoded = zip(*body) if body else ((), (), ())
         for p in places:
-            own = [body[i] for i in p]
-            n.append(sum([x[0] for x in own]))
-            a.append(hashlib.sha256(b" ".join([x[1] for x in own])).hexdigest())
-            b.append(hashlib.sha256(b"".join([x[2] for x in own])).hexdigest())
+            n.append(sum(map(counts.__getitem__, p)))
+            a.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, p))).hexdigest())
+            b.append(hashlib.sha256(b"".join(map(decoded.__getitem__, p))).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = _per_row(df, ranks, pattern, text, rows, "__d", T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]), words)
