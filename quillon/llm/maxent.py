@@ -1,22 +1,24 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). The class given the history is a softmax over hashed
-features: the last word, the word before it (a skip), the endings of the last two words together and those of the two before
-them (a skip), an ending being a word's last two letters; each feature has one weight for each class in each of BUCKETS rows. The word given its class is its smoothed share of the class's
-training tokens. Words seen at most once in training are one class, which also holds the unknown word, with the share that
-Good and Turing give to unseen words.
+P(word | history) = P(class | history) P(slot | class, history) P(slot within it | class, slot, history) P(word | leaf). The first three are
+softmaxes over hashed features of the history: the last word, the word before it (a skip), both words together, and the endings of both (an
+ending is a word's last two letters). Each has a weight for each outcome in each of 2^bits rows a feature; a row is named by the feature and
+by what has been chosen before, so that the context also decides among the words of a class. A leaf is what three choices lead to; its words have
+their smoothed shares of its training tokens. bits grows with the number of distinct words (see Shape).
 
-Classes: 0 the end of a text, 1 words seen once or never, then FREQUENT slots for words that
-make up a 256th of all tokens or so, then SUFFIXES classes of the remaining words by their last two letters.
+Classes: 0 the end of a text; 1 words seen once in training, and one symbol for all that were never seen, with the share that Good
+and Turing give to unseen words (neither is divided further); then FREQUENT classes for words that make up a 256th of all tokens or so, by
+hash, and SUFFIXES classes of the other words by their last two letters. Slots are by hash. All words and the
+unknown symbol together have probability 1.
 
 Training: each task runs gradient steps over its own blocks of training documents, starting from the common weights;
 the changes are averaged by the tokens seen (a shuffle of chunks of weights), and the next round starts from there. Rounds
-take disjoint parts of the blocks, so that each training token is used once. The weights have
-a fixed size (ROWS x CLASSES), which bounds what the driver holds. Word counts are summed over the
-whole corpus by a shuffle of each block's distinct words (blocks.py).
+take disjoint parts of the blocks, so that each training token is used once. Word counts are summed over the
+whole corpus by a shuffle of each block's distinct words (blocks.py); the tokens and words of the leaves are summed over the blocks.
 
 Cases: a null text counts as empty, which has only its end; without training documents all words are unknown and the
-classes are equally likely; repeated rows count as often as they stand there; an empty table gives an empty result.
+classes are equally likely; null ids are kept; a null held_out counts as false; repeated rows count as often as they stand there; a very long text is
+a block of its own; an empty table gives an empty result; other columns are not returned.
 """
 
 from __future__ import annotations
@@ -34,13 +36,19 @@ from quillon.llm.common import cut
 
 #: No word holds a space.
 END = b" "
-FREQUENT, SUFFIXES = 14, 16
-CLASSES = 2 + FREQUENT + SUFFIXES
-BITS, FEATURES = 12, 4
-ROWS = FEATURES << BITS
+FREQUENT, SUFFIXES = 6, 8
+CLASSES, SLOTS = 2 + FREQUENT + SUFFIXES, 16
+LEAVES = CLASSES * SLOTS * SLOTS
+FEATURES = 4
+#: Rows of weights a feature, as a power of 2: a 512th of the distinct words or so, within these.
+LEAST_BITS, MOST_BITS = 10, 15
+#: Outcomes that a choice has, and the groups of outcomes chosen before.
+LAYERS = ((1, CLASSES), (CLASSES, SLOTS), (CLASSES * SLOTS, SLOTS))
 #: A word is frequent if its count's bit length is at least that of all tokens less this.
 FREQUENT_BITS = 8
-ROUNDS, STEP, BATCH = 2, 0.1, 1024
+#: The log weight of outcomes that no word has.
+NEVER = -30.0
+ROUNDS, STEP, BATCH = 2, 0.1, 2048
 CHUNKS = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SUFFIX_SIGNS = b".,;:!?\"'()"
@@ -52,12 +60,12 @@ def split(text: str) -> list[bytes]:
     return words
 
 
-def suffix_class(words) -> np.ndarray:
-    return np.fromiter([zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:]) % SUFFIXES for w in words], np.int64, len(words))
+def _crc(words, seed: int = 0) -> np.ndarray:
+    return np.fromiter([zlib.crc32(w, seed) for w in words], np.int64, len(words))
 
 
-def slot(words) -> np.ndarray:
-    return np.fromiter([zlib.crc32(w) % FREQUENT for w in words], np.int64, len(words))
+def _ending(words, seed: int = 0) -> np.ndarray:
+    return np.fromiter([zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:], seed) for w in words], np.int64, len(words))
 
 
 def bit_length(counts: np.ndarray) -> np.ndarray:
@@ -72,55 +80,68 @@ def block_counts(payload) -> np.ndarray:
 
 
 def partition_totals(words, counts) -> tuple:
-    """Tokens and types by suffix class or slot and bit length; the end's tokens; words seen once and twice."""
+    """Tokens (with the end's) and types, the end's tokens, words seen once and twice, of a part of all words."""
     end = np.fromiter([w == END for w in words], bool, len(words))
     c = np.where(end, 0, counts)
-    bits, size = bit_length(c), 64
-    sums = []
-    for n, of in ((SUFFIXES, suffix_class(words)), (FREQUENT, slot(words))):
-        at = of * size + bits
-        sums.append((np.bincount(at, c, n * size).reshape(n, size), np.bincount(at, c > 0, n * size).reshape(n, size)))
-    return sums, int(counts[end].sum()), int((c == 1).sum()), int((c == 2).sum())
+    return int(counts.sum()), int((counts > 0).sum()), int(counts[end].sum()), int((c == 1).sum()), int((c == 2).sum())
 
 
 class Shape:
-    """What is known of the whole corpus: tokens, types, and each class's tokens and types."""
+    """What is known of the whole corpus: tokens, types, and each leaf's tokens and types."""
 
     def __init__(self, totals):
-        zero = lambda n: np.zeros((n, 64))
-        (st, sy), (ft, fy) = (zero(SUFFIXES), zero(SUFFIXES)), (zero(FREQUENT), zero(FREQUENT))
-        ends = once = twice = 0
-        for ((a, b), (c, d)), e, o, t in totals:
-            st, sy, ft, fy = st + a, sy + b, ft + c, fy + d
-            ends, once, twice = ends + e, once + o, twice + t
-        self.tokens, self.types = int(st.sum()) + ends, int(sy.sum()) + (ends > 0)
+        self.tokens, self.types, self.ends, self.once, twice = (sum(x) for x in zip(*totals)) if totals else (0,) * 5
         self.border = max(2, self.tokens.bit_length() - FREQUENT_BITS)
-        b = self.border
-        self.size = np.concatenate(([ends, once], ft[:, b:].sum(1), st[:, 2:b].sum(1)))
-        self.kinds = np.concatenate(([1, once], fy[:, b:].sum(1), sy[:, 2:b].sum(1)))
-        self.unseen = once / (once + 2 * twice) if once else 1.0
-        self.once = once
-
-    def of(self, words, counts) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each word and log10 P(word | class)."""
-        counts, bits = np.asarray(counts, np.int64), bit_length(np.asarray(counts))
-        of = np.where(bits >= self.border, 2 + slot(words), 2 + FREQUENT + suffix_class(words))
+        self.bits = min(MOST_BITS, max(LEAST_BITS, self.types.bit_length() - 9))
+        self.unseen = self.once / (self.once + 2 * twice) if self.once else 1.0
+        self.size = self.kinds = np.zeros(LEAVES)
+
+    def choices(self, words, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class and the two slots of each word."""
+        counts, h = np.asarray(counts, np.int64), _crc(words)
+        of = np.where(bit_length(counts) >= self.border, 2 + h % FREQUENT, 2 + FREQUENT + _ending(words) % SUFFIXES)
         of[counts <= 1] = 1
-        end = np.fromiter([w == END for w in words], bool, len(words))
-        of[end] = 0
-        share = (counts + 0.5) / (self.size[of] + 0.5 * np.maximum(self.kinds[of], 1))
+        of[np.fromiter([w == END for w in words], bool, len(words))] = 0
+        return of, (h >> 8) % SLOTS, (h >> 16) % SLOTS
+
+    def leaves(self, words, counts, here) -> np.ndarray:
+        """Tokens and types by leaf, of words of which here are in a part of the corpus: over all parts a word adds up to one type."""
+        of, one, two = self.choices(words, counts)
+        leaf = (of * SLOTS + one) * SLOTS + two
+        share = np.asarray(here) / np.maximum(counts, 1)
+        return np.stack((np.bincount(leaf, here, LEAVES), np.bincount(leaf, share, LEAVES)))
+
+    def fill(self, sums: np.ndarray) -> None:
+        self.size, self.kinds = np.rint(sums[0]), np.rint(sums[1])
+
+    def of(self, words, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The class and slots of each word, and log10 P(word | leaf)."""
+        counts = np.asarray(counts, np.int64)
+        of, one, two = self.choices(words, counts)
+        leaf = (of * SLOTS + one) * SLOTS + two
+        share = (counts + 0.5) / (self.size[leaf] + 0.5 * np.maximum(self.kinds[leaf], 1))
         share = np.where(counts == 0, self.unseen, np.where(counts == 1, (1 - self.unseen) / max(self.once, 1), share))
-        share[end] = 1.0
-        return of, np.log10(np.maximum(share, 1e-300))
+        share[of == 0] = 1.0
+        return of, one, two, np.log10(np.maximum(share, 1e-300))
 
     def base(self, counts) -> np.ndarray:
         return np.log10((np.asarray(counts) + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
+    def start(self) -> list[np.ndarray]:
+        """The weights that training starts with: by group of outcomes, their shares. Rows of features first, then one for each group."""
+        size = self.size.reshape(CLASSES, SLOTS, SLOTS).copy()
+        size[1, 0, 0] += 0.5  # the unknown symbol, also where no word is seen once
+        out = []
+        for (groups, n), own in zip(LAYERS, (size.sum((1, 2)), size.sum(2), size)):
+            w = np.zeros(((FEATURES << self.bits) + groups, n), np.float32)
+            w[FEATURES << self.bits :] = np.maximum(np.log(own.reshape(groups, n) + 1e-30), NEVER)
+            out.append(w)
+        return out
+
 
 def features(words, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The rows of weights of each token: shape (tokens, FEATURES). Before a text stands the word 0."""
-    h = np.fromiter([zlib.crc32(w, 7) | 1 for w in words], np.uint64, len(words))[places]
-    ends = np.fromiter([zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:], 7) | 1 for w in words], np.uint64, len(words))[places]
+    """The features of each token: shape (tokens, FEATURES). Before a text stands the word 0."""
+    h, e = ((x(words, 7) | 1).astype(np.uint64)[places] for x in (_crc, _ending))
     lens = lens.astype(np.int64)
     place = np.arange(len(places)) - np.repeat(np.cumsum(lens) - lens, lens)
 
@@ -130,18 +151,25 @@ def features(words, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
         b[place < k] = 0
         return b
 
-    pair = np.uint64(0x9E3779B1)
-    out = np.empty((len(places), FEATURES), np.int32)
-    for i, x in enumerate((back(h, 1), back(h, 2) * np.uint64(3), back(ends, 1) * pair + back(ends, 2) * np.uint64(7), back(ends, 3) * pair + back(ends, 4) * np.uint64(11))):
-        out[:, i] = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int32) + (i << BITS)
+    pair, h1, h2 = np.uint64(0x9E3779B1), back(h, 1), back(h, 2)
+    return np.stack((h1, h2 * np.uint64(3), h1 * pair + h2 * np.uint64(5), back(e, 1) * pair + back(e, 2) * np.uint64(7)), 1)
+
+
+def rows_of(feats: np.ndarray, group: np.ndarray | int, bits: int) -> np.ndarray:
+    """The rows of weights of each token, those of its features and that of its group: shape (tokens, FEATURES + 1)."""
+    out = np.empty((len(feats), FEATURES + 1), np.int32)
+    g = np.broadcast_to(np.asarray(group, np.int64), len(feats))
+    with np.errstate(over="ignore"):
+        x = (feats ^ (g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) * np.uint64(0xD1B54A32D192ED03)
+    out[:, :FEATURES] = (x >> np.uint64(64 - bits)).astype(np.int32) + (np.arange(FEATURES, dtype=np.int32) << bits)
+    out[:, FEATURES] = (FEATURES << bits) + g
     return out
 
 
-def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights[rows[:, 0]]
-    for i in range(1, FEATURES):
+    for i in range(1, FEATURES + 1):
         z += weights[rows[:, i]]
-    z += weights[-1]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
@@ -149,63 +177,104 @@ def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step over a batch, with a step size that shrinks by row as its gradients add up."""
-    g = np.exp(log_classes(weights, rows))
+    g = np.exp(log_softmax(weights, rows))
     g[np.arange(len(target)), target] -= 1
-    for i in range(FEATURES):
+    for i in range(FEATURES + 1):
         order = np.argsort(rows[:, i])
         own = rows[order, i]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         sums, at = np.add.reduceat(g[order], first), own[first]
-        squares[at] += np.square(sums).mean(1)
-        weights[at] -= STEP * sums / np.sqrt(squares[at, None] + 1)
-    sums = g.sum(0)
-    squares[-1] += np.square(sums).mean()
-    weights[-1] -= STEP * sums / np.sqrt(squares[-1] + 1)
-
-
-def train(blocks: DataFrame, shape: Shape) -> np.ndarray:
-    """Weights of shape (ROWS + 1, CLASSES); the last row is for every token."""
-    weights = np.zeros((ROWS + 1, CLASSES), np.float32)
-    weights[-1] = np.log(shape.size + 1.0)
-    sc = blocks.sparkSession.sparkContext
+        squares[at] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        weights[at] -= sums * (STEP / np.sqrt(squares[at] + 1))[:, None]
+
+
+def log10_tokens(shape: Shape, weights: list[np.ndarray], words, counts, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """log10 P of each token of some texts, whose words stand at places."""
+    of, one, two, inner = shape.of(words, counts)
+    feats, out = features(words, places, lens), inner[places]
+    for a in range(0, len(places), 1 << 14):
+        own = places[a : a + (1 << 14)]
+        c, s = of[own], one[own]
+        x = log_softmax(weights[0], rows_of(feats[a : a + (1 << 14)], 0, shape.bits))
+        p = x[np.arange(len(own)), c]
+        deep = np.flatnonzero(c > 1)
+        f = feats[a : a + (1 << 14)][deep]
+        for w, group, to in ((weights[1], c[deep], s[deep]), (weights[2], c[deep] * SLOTS + s[deep], two[own][deep])):
+            p[deep] += log_softmax(w, rows_of(f, group, shape.bits))[np.arange(len(deep)), to]
+        out[a : a + (1 << 14)] += p / np.log(10)
+    return out
+
+
+def measure_leaves(blocks: DataFrame, shape: Shape) -> None:
+    """Sum the leaves' tokens and types over all blocks: LEAVES rows reach the driver."""
+
+    def count(batches):
+        total = np.zeros((2, LEAVES))
+        for batch in batches:
+            for data, answers in zip(batch.column(0), batch.column(1)):
+                payload = open_block(data.as_py())
+                total += shape.leaves(payload[1], load(answers.as_py()), block_counts(payload))
+        at = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[0, at]), pa.array(total[1, at])], ["leaf", "size", "kinds"])
+
+    parts = blocks.where("block >= 0").select("payload", "answers").mapInArrow(count, "leaf long, size double, kinds double")
+    sums = np.zeros((2, LEAVES))
+    for r in parts.groupBy("leaf").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds")).collect():
+        sums[:, r.leaf] = r["size"], r["kinds"]
+    shape.fill(sums)
+
+
+def train(blocks: DataFrame, shape: Shape) -> list[np.ndarray]:
+    """The weights of the layers."""
+    weights = shape.start()
+    sc, bits = blocks.sparkSession.sparkContext, shape.bits
     for turn in range(ROUNDS):
         start = sc.broadcast(weights)
 
-        def step(batches, start=start, turn=turn):
-            own, squares, seen = start.value.copy(), np.zeros(ROWS + 1, np.float32), 0
+        def step(batches, start=start):
+            own, seen = [w.copy() for w in start.value], 0
+            squares = [np.zeros(len(w), np.float32) for w in own]
             for batch in batches:
                 for data, answers in zip(batch.column(0), batch.column(1)):
                     (_, held), words, places, lens = open_block(data.as_py())
-                    target, _ = shape.of(words, load(answers.as_py()))
-                    rows = features(words, places, lens)
+                    of, one, two = shape.choices(words, load(answers.as_py()))
+                    feats = features(words, places, lens)
                     keep = np.flatnonzero(np.repeat(~np.array(held, bool), lens))
                     for a in range(0, len(keep), BATCH):
                         at = keep[a : a + BATCH]
-                        descend(own, squares, rows[at], target[places[at]])
+                        w, f = places[at], feats[at]
+                        descend(own[0], squares[0], rows_of(f, 0, bits), of[w])
+                        deep = of[w] > 1
+                        w, f = w[deep], f[deep]
+                        if len(w):
+                            descend(own[1], squares[1], rows_of(f, of[w], bits), one[w])
+                            descend(own[2], squares[2], rows_of(f, of[w] * SLOTS + one[w], bits), two[w])
                     seen += len(keep)
             if seen:
-                change = (own - start.value) * np.float32(1)
-                for k, part in enumerate(np.array_split(change, CHUNKS)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.astype(np.float16).tobytes()], pa.binary())], ["chunk", "seen", "change"])
+                for layer, (new, old) in enumerate(zip(own, start.value)):
+                    for k, part in enumerate(np.array_split(new - old, CHUNKS)):
+                        yield pa.RecordBatch.from_arrays([pa.array([layer], pa.int32()), pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.astype(np.float16).tobytes()], pa.binary())], ["layer", "chunk", "seen", "change"])
 
         def merge(batches):
             sums: dict = {}
             for batch in batches:
-                for k, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    a = np.frombuffer(data, np.float16).astype(np.float32)
+                for layer, k, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    a = np.frombuffer(data, np.float16).astype(np.float32).reshape(-1, LAYERS[layer][1])
                     # a row that few tasks have changed is not pulled back by those that have not
-                    size = np.repeat((a.reshape(-1, CLASSES) != 0).any(1), CLASSES) * np.float32(n)
-                    s, m = sums.get(k, (0, 0))
-                    sums[k] = (s + a * size, m + size)
-            for k, (s, m) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(s / np.maximum(m, 1)).astype(np.float32).tobytes()], pa.binary())], ["chunk", "change"])
+                    size = (a != 0).any(1)[:, None] * np.float32(n)
+                    s, m = sums.get((layer, k), (0, 0))
+                    sums[layer, k] = (s + a * size, m + size)
+            for (layer, k), (s, m) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([layer], pa.int32()), pa.array([k], pa.int32()), pa.array([(s / np.maximum(m, 1)).astype(np.float32).tobytes()], pa.binary())], ["layer", "chunk", "change"])
 
         part = blocks.where((F.col("block") >= 0) & (F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn)).select("payload", "answers")
-        changes = part.mapInArrow(step, "chunk int, seen long, change binary").repartition(CHUNKS, "chunk").mapInArrow(merge, "chunk int, change binary").collect()
-        parts = np.array_split(weights, CHUNKS)
+        changes = part.mapInArrow(step, "layer int, chunk int, seen long, change binary").repartition(CHUNKS, "chunk", "layer").mapInArrow(merge, "layer int, chunk int, change binary").collect()
+        parts = [np.array_split(w, CHUNKS) for w in weights]
         for r in changes:
-            parts[r.chunk] = parts[r.chunk] + np.frombuffer(r.change, np.float32).reshape(parts[r.chunk].shape)
-        weights = np.concatenate(parts)
+            own = parts[r.layer]
+            own[r.chunk] = own[r.chunk] + np.frombuffer(r.change, np.float32).reshape(own[r.chunk].shape)
+        weights = [np.concatenate(p) for p in parts]
+        start.unpersist()
     return weights
 
 
@@ -217,6 +286,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", held: str = "he
     blocks = cut(lookup_words(packed, block_counts, lambda words, sums: sums, partition_totals))
     # a row for each task of the words' shuffle
     shape = Shape([load(r.answers) for r in blocks.where("block < 0").select("answers").collect()])
+    measure_leaves(blocks, shape)
     weights = blocks.sparkSession.sparkContext.broadcast(train(blocks, shape))
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -227,13 +297,8 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", held: str = "he
             for data, answers in zip(batch.column(0), batch.column(1)):
                 (ids, held), words, places, lens = open_block(data.as_py())
                 counts = np.asarray(load(answers.as_py()), np.int64)
-                of, inner = shape.of(words, counts)
-                rows, base = features(words, places, lens), shape.base(counts)
-                log10 = np.empty(len(places))
-                for a in range(0, len(places), 1 << 16):
-                    own = places[a : a + (1 << 16)]
-                    z = log_classes(weights.value, rows[a : a + (1 << 16)])
-                    log10[a : a + (1 << 16)] = z[np.arange(len(own)), of[own]] / np.log(10) + inner[own]
+                base = shape.base(counts)
+                log10 = log10_tokens(shape, weights.value, words, counts, places, lens)
                 lens = lens.astype(np.int64)
                 first = np.cumsum(lens) - lens  # each row has a token at least, its end
                 yield pa.RecordBatch.from_arrays(

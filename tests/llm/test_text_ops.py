@@ -171,16 +171,17 @@ def test_winnowing(spark):
 
 def test_tokens(spark):
     public = pytest.importorskip("public_tokenizers")
+    import regex
     import tiktoken
 
     ranks = bpe.read_ranks(public.path("byte_bpe_50k.tiktoken"))
     whole = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    encode = bpe._Words(whole, public.PATTERN)
     random.seed(6)
     texts = ["".join(random.choice(" \n\t\r\x0b\x1c\x85　  ab'sS.é1²½_-日") for _ in range(random.randint(0, 14))) for _ in range(5000)]
     for t in texts:
-        assert [i for w in bpe.split_words(t) for i in encode(w)] == whole.encode_ordinary(t), repr(t)
+        assert [i for w in regex.findall(public.PATTERN, t) for i in whole.encode_ordinary(w)] == whole.encode_ordinary(t), repr(t)
     df = frame(spark, [*texts[:200], None, "", "a b " * 50_000, texts[0]]).repartition(3)
+    assert bpe.merger(ranks, public.PATTERN, "x") is bpe.merger(ranks, public.PATTERN, "x")
     rows = bpe.encode(df, ranks, public.PATTERN).join(df.select("doc_id", "text"), "doc_id").collect()
     assert len(rows) == 204 and all(r.ids == whole.encode_ordinary(r.text or "") for r in rows) and rows[0].source == "s"
     back = bpe.decode(bpe.encode(df, ranks, public.PATTERN), ranks).join(df.select("doc_id", "text"), "doc_id").collect()
@@ -216,19 +217,81 @@ def test_language_model(spark):
     held = [r for r in out if r.held_out and r.doc_id < 1000]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # the context tells the two vocabularies apart
     assert maxent.score(df.limit(0)).count() == 0
-
-
-def test_model_is_a_distribution():
+    odd = spark.createDataFrame([(None, "w " * 150_000, False), (None, "a b", False), (2, "a b", None)], "doc_id long, text string, held_out boolean")
+    assert sorted((r.n_tokens, r.held_out, math.isfinite(r.score)) for r in maxent.score(odd).collect()) == [(3, False, True), (3, False, True), (150_001, False, True)]
+
+
+def plain_log10(shape, weights, text, counts):
+    """log10 P of a text, token by token, each softmax summed over its outcomes."""
+    words, total = maxent.split(text), 0.0
+    mask = (1 << 64) - 1
+
+    def hashed(b):
+        return zlib.crc32(b, 7) | 1
+
+    def softmax(layer, group, feats, want):
+        w, bits = weights[layer], shape.bits
+        z = np.zeros(w.shape[1])
+        for i, f in enumerate(feats):
+            x = (f ^ (group * 0x9E3779B97F4A7C15)) & mask
+            z += w[(i << bits) + ((x * 0xD1B54A32D192ED03 & mask) >> (64 - bits))]
+        z += w[(maxent.FEATURES << bits) + group]
+        e = [math.exp(v) for v in z]
+        return math.log10(e[want] / sum(e))
+
+    for at, w in enumerate(words):
+        before = [words[at - k] if at >= k else None for k in (1, 2)]
+        h = [0 if b is None else hashed(b) for b in before]
+        e = [0 if b is None else hashed(b.rstrip(maxent.SUFFIX_SIGNS)[-2:]) for b in before]
+        pair = 0x9E3779B1
+        feats = [h[0] & mask, h[1] * 3 & mask, (h[0] * pair + h[1] * 5) & mask, (e[0] * pair + e[1] * 7) & mask]
+        of, one, two, inner = (x[0] for x in shape.of([w], [counts[w]]))
+        total += softmax(0, 0, feats, of) + inner
+        if of > 1:
+            total += softmax(1, int(of), feats, one) + softmax(2, int(of * maxent.SLOTS + one), feats, two)
+    return total
+
+
+def small_model(seed):
+    random.seed(seed)
+    names = [f"w{i}".encode() for i in range(40)]
+    counts = {w: random.choice([1, 1, 2, 3, 40]) for w in names} | {maxent.END: 10}
+    words, n = list(counts), np.array(list(counts.values()))
+    shape = maxent.Shape([maxent.partition_totals(words[:9], n[:9]), maxent.partition_totals(words[9:], n[9:])])
+    shape.fill(shape.leaves(words[:20], n[:20], n[:20]) + shape.leaves(words[20:], n[20:], n[20:]))
+    return counts, words, n, shape
+
+
+def test_scores_are_products_of_the_softmaxes():
+    counts, words, n, shape = small_model(3)
+    weights = [w + np.random.default_rng(k).normal(size=w.shape).astype(np.float32) for k, w in enumerate(shape.start())]
+    text = "w1 w2 w3 w1 new w39 w7 w7"
+    tokens = maxent.split(text)
+    every = sorted(set(tokens))
+    places = np.array([every.index(w) for w in tokens])
+    c = [counts.get(w, 0) for w in every]
+    got = maxent.log10_tokens(shape, weights, every, c, places, np.array([len(places)]))
+    assert abs(got.sum() - plain_log10(shape, weights, text, Counter(counts))) < 1e-3
+    # all words and the unknown one together have probability 1 after any history
+    for history in ("", "w1 ", "w5 w6 "):
+        size = len(maxent.split(history)) - 1
+        p = 0.0
+        for w in [*words, b"never seen"]:
+            if w != maxent.END:
+                row = [*maxent.split(history)[:-1], w]
+                own = sorted(set(row))
+                p += 10 ** maxent.log10_tokens(shape, weights, own, [counts.get(x, 0) for x in own], np.array([own.index(x) for x in row]), np.array([len(row)]))[size]
+            else:
+                row = maxent.split(history)
+                own = sorted(set(row))
+                p += 10 ** maxent.log10_tokens(shape, weights, own, [counts.get(x, 0) for x in own], np.array([own.index(x) for x in row]), np.array([len(row)]))[size]
+        assert abs(p - 1) < 1e-3, (history, p)
+
+
+def test_a_text_does_not_see_the_text_before():
     words = [b"a", b"b", b"c", b"d", b"e", maxent.END]
-    counts = np.array([40, 30, 2, 1, 1, 10])
-    shape = maxent.Shape([maxent.partition_totals(words[:3], counts[:3]), maxent.partition_totals(words[3:], counts[3:])])
-    of, inner = shape.of([*words, b"new"], [*counts, 0])
-    for k in set(of.tolist()):
-        assert 0.5 < (10 ** inner[of == k]).sum() < 1 + 1e-9
-    weights = np.random.default_rng(1).normal(size=(maxent.ROWS + 1, maxent.CLASSES)).astype(np.float32)
     rows = maxent.features(words, np.array([0, 1, 2, 5, 3]), np.array([4, 1]))
-    assert np.allclose(np.exp(maxent.log_classes(weights, rows)).sum(1), 1, atol=1e-4)
-    assert (rows[0] == rows[4]).all()  # a text's beginning doesn't see the text before
+    assert (rows[0] == rows[4]).all() and (rows[0] != rows[1]).any()
 
 
 def test_language_id(spark):
