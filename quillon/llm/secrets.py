@@ -5,7 +5,8 @@ and compressed bytes are decoded; each decoded layer is scanned and decoded agai
 A layer whose content has been seen in this text is not visited again, which ends cycles.
 
 Cases: a null text counts as empty and has no span; repeated rows give repeated results; other columns,
-also such named like those added, are kept (an added column takes the place of one with its name).
+also such named like those added, are kept (an added column takes the place of one with its name); an empty table gives an empty result; a very long text is scanned whole, in
+time that grows with its length.
 Work is per row: no shuffle, and memory is bounded by a batch of rows and the layers of one text.
 """
 
@@ -35,6 +36,8 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Runs are maximal, so asking for the length here drops what dropping short matches would.
 HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 
+#: Bytes that pieces of a long layer have in common, and what an xz layer may take to decompress.
+OVERLAP, XZ_MEMORY = 64 << 10, 128 << 20
 #: A run that may be base64, over several lines if they are long.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of such signs, each but the last ended; what of them is one wrapped run is told by their widths.
@@ -83,29 +86,45 @@ class _Layer:
         return f"{self.above.path()}>{self.name}".lstrip(">") if self.above else ""
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """The decompressed bytes, and whether they were cut at the bound; None if this isn't compressed."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, most)
-            while d.eof and d.unused_data[:2] == b"\x1f\x8b" and len(out) < most:  # further gzip members
-                d, rest = zlib.decompressobj(47), d.unused_data
-                out += d.decompress(rest, most - len(out))
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, most)
-            while d.eof and d.unused_data[:3] == b"BZh" and len(out) < most:
-                d, rest = bz2.BZ2Decompressor(), d.unused_data
-                out += d.decompress(rest, most - len(out))
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=128 << 20)
-            out = d.decompress(data, most)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    return (out, not d.eof and len(out) >= most) if out else None
+def _opener(data: bytes):
+    """What decompresses these bytes; None if they aren't compressed."""
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
+    return None
+
+
+def _inflate(data: bytes, most: int, cut: list):
+    """The decompressed bytes of all members, in pieces of at most most bytes; each piece but the first begins with the last OVERLAP bytes of the
+    one before. cut gets an entry if there is more than one piece, or a member needs too much memory."""
+    piece, first = b"", True
+    while (d := _opener(data)) is not None:
+        try:
+            got = d.decompress(data, max(1, most - len(piece)))
+            while True:
+                piece += got
+                if len(piece) >= most:
+                    yield piece
+                    piece, first = piece[-min(OVERLAP, most // 2) :], False
+                if d.eof:
+                    break
+                got = d.decompress(getattr(d, "unconsumed_tail", b""), max(1, most - len(piece)))
+                if not got and not d.eof:
+                    break  # the member has no end
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError) as e:
+            if "emory" in str(e):
+                cut.append(True)
+            break
+        if not d.eof or not d.unused_data:
+            break
+        data = d.unused_data
+    if not first:
+        cut.append(True)
+    if first and piece or not first and len(piece) > min(OVERLAP, most // 2):
+        yield piece
 
 
 def _readable(text: str) -> bool:
@@ -124,13 +143,18 @@ def _byte_places(text: str) -> list[int]:
 def _bytes_layers(data: bytes, above: _Layer, places, whole: tuple[int, int], name: str, most: int, cut: list):
     """Layers of decoded bytes. places: where each byte comes from, as (start, end)."""
     seen = set()
-    packed = _inflate(data, most)
-    while packed and data not in seen:  # compressed bytes in compressed bytes
+    while data not in seen:  # compressed bytes in compressed bytes
         seen.add(data)
-        data, short = packed
-        cut.append(short)
-        name, places = f"{name}>inflate", None
-        packed = _inflate(data, most)
+        pieces = _inflate(data, most, cut)
+        packed = next(pieces, None)
+        if packed is None:
+            break
+        data, name, places = packed, f"{name}>inflate", None
+        for more in pieces:
+            yield _Layer(more.decode("utf-8", "replace"), [(0, *whole, False)], above, name)
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff") or 4 * data.count(0) > len(data):  # two bytes a character
+        big = data[:2] == b"\xfe\xff" or data[:2] != b"\xff\xfe" and data[::2].count(0) > data[1::2].count(0)
+        yield _Layer(data.decode("utf-16-be" if big else "utf-16-le", "replace"), [(0, *whole, False)], above, f"{name}>utf16")
     if places is None:
         text = data.decode("utf-8", "replace")
         yield _Layer(text, [(0, *whole, False)], above, name)
@@ -186,7 +210,7 @@ def _children(layer: _Layer, most: int, cut: list):
     if "%" in text:
         yield from _rewritten(layer, PERCENT, _percent, "url")
         for m in PERCENT.finditer(text):  # escaped compressed bytes
-            if len(m[0]) >= 24 and _inflate(data := bytes.fromhex(m[0].replace("%", "")), most):
+            if len(m[0]) >= 24 and _opener(data := bytes.fromhex(m[0].replace("%", ""))):
                 yield from _bytes_layers(data, layer, None, m.span(), "url", most, cut)
     if "\\" in text or "&#" in text:
         yield from _rewritten(layer, ESCAPE, _escapes, "unicode")
@@ -256,8 +280,9 @@ def scan(text: str, most: int) -> tuple[list[tuple[int, int, int, int, str]], bo
 
 def scan_secrets(df: DataFrame, text: str = "text", spans: str = "spans", truncated: str = "truncated", max_layer_bytes: int = 64 << 20) -> DataFrame:
     """Add spans (array of kind, start, end in code points, depth of decoding: 0 as it stands, layers: how it
-    was decoded) and truncated: some compressed layer is longer than max_layer_bytes (a decompression bomb)
-    and was scanned up to there."""
+    was decoded) and truncated: some compressed layer is longer than max_layer_bytes (a decompression bomb) and was scanned in
+    pieces of that size, which overlap (only what is longer than OVERLAP and lies across an end may be missed), or an xz layer needs
+    over XZ_MEMORY to be read and was left as it is."""
 
     small_batches(df.sparkSession)
 
