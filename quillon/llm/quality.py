@@ -1,14 +1,15 @@
 """Quality rules by document and by host.
 
 Each text gets its measures and rule failures; failures are summed by host (any column: here the source), each
-host's failure rate is shrunk towards the overall rate by a beta prior fitted to the hosts' rates by moments,
-and the host's verdict is joined back to its documents.
+host's failure rate is shrunk towards the overall rate by a beta prior fitted to the hosts' rates by moments, and the host is rejected if
+the posterior leaves little doubt (5 %) that more than half of its documents fail. Its verdict is joined back to its documents.
+A rate that is only above the mean rejects no host, as most of such a host's documents are good.
 
-Cases: a null text has no words; null hosts are one host; repeated rows count as often as they stand there;
-an empty table gives an empty result; other columns are kept, unless an added column has their name.
+Cases: a null text has no words; an empty text neither; a very long text is measured whole; null hosts are one host; repeated rows count as often
+as they stand there; an empty table gives an empty result; other columns are kept, unless an added column has their name.
 Plan: the measures are made once for the sums by host (partial sums before the shuffle: one row for each
-host and task) and once for the result; no text is shuffled. Host verdicts go to all executors
-if there are few hosts (counted), else they are joined.
+host and task) and once for the result, as writing rows with their texts in between would cost more than measuring
+again; no text is shuffled. Host verdicts go to all executors if there are few hosts (counted), else they are joined.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ NO_WORD_CHAR = bytes(range(0x80, 0xC0)) + SPACE
 SYMBOLS = b"#*$%&|<>"
 
 MIN_WORDS, MAX_REPEAT_PCT, MAX_SYMBOL_PCT, MAX_DUP_LINE_PCT = 50, 50, 30, 60
-#: A host is rejected if its shrunk failure rate is above this and it has at least so many documents.
-MAX_HOST_RATE, MIN_HOST_DOCS = 0.8, 5
+#: A host is rejected if most of its documents fail, beyond doubt: if its shrunk rate, less so many posterior standard deviations, is above this.
+MAX_HOST_RATE, DEVIATIONS = 0.5, 1.645
 
 
 def measure(b: bytes) -> tuple[int, ...]:
@@ -92,7 +93,8 @@ def host_verdicts(df: DataFrame, host: str = "source") -> DataFrame:
     v = F.col("q") / F.col("n") - m * m
     whole = whole.select(m.alias("m"), F.when((v <= 1e-12) | (m * (1 - m) <= 1e-12), 1000.0).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).alias("strength"))
     rate = (F.col("host_failed") + F.col("m") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    return by.join(F.broadcast(whole)).select("host", "host_docs", "host_failed", rate.alias("host_rate"), ((rate > MAX_HOST_RATE) & (F.col("host_docs") >= MIN_HOST_DOCS)).alias("host_rejected"))
+    deviation = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + F.col("strength") + 1))
+    return by.join(F.broadcast(whole)).select("host", "host_docs", "host_failed", rate.alias("host_rate"), (rate - DEVIATIONS * deviation > MAX_HOST_RATE).alias("host_rejected"))
 
 
 def apply_rules(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

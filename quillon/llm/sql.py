@@ -28,10 +28,10 @@ f AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_
 h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (WHERE failed) AS host_failed FROM f GROUP BY source),
 o AS (SELECT sum(host_failed)::DOUBLE / sum(host_docs) AS mean, sum(host_failed::DOUBLE * host_failed / host_docs) / sum(host_docs) AS q FROM h),
 p AS (SELECT mean, CASE WHEN q - mean * mean <= 1e-12 OR mean * (1 - mean) <= 1e-12 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, mean * (1 - mean) / (q - mean * mean) - 1)) END AS strength FROM o),
-v AS (SELECT source, host_docs, host_failed, (host_failed + mean * strength) / (host_docs + strength) AS rate FROM h, p)
+s AS (SELECT source, host_docs, host_failed, strength, (host_failed + mean * strength) / (host_docs + strength) AS rate FROM h, p),
+v AS (SELECT *, rate - {Q.DEVIATIONS} * sqrt(rate * (1 - rate) / (host_docs + strength + 1)) > {Q.MAX_HOST_RATE} AS rejected FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (rate > {Q.MAX_HOST_RATE} AND host_docs >= {Q.MIN_HOST_DOCS}) AS kept, host_docs, host_failed, round(rate, 6) AS host_rate,
-  rate > {Q.MAX_HOST_RATE} AND host_docs >= {Q.MIN_HOST_DOCS} AS host_rejected
+  NOT base_failed AND NOT rejected AS kept, host_docs, host_failed, round(rate, 6) AS host_rate, rejected AS host_rejected
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 

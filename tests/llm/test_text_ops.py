@@ -92,6 +92,26 @@ def test_layers_with_odd_bytes_and_further_members(odd):
     assert [k for _, k, _, d, _ in secrets.scan(f"see {two} end", 1 << 20)[0] if d] == [0]
 
 
+def test_long_layers_and_two_byte_characters():
+    import lzma
+
+    secret = b"password=hunter2secret "
+    long = b"z" * 300_000 + b" " + secret + b"y" * 300_000
+    for pack in (gzip.compress, zlib.compress, lzma.compress):
+        text = f"see {base64.b64encode(pack(long)).decode()} end"
+        found, short = secrets.scan(text, 100_000)
+        assert short and [k for _, k, _, d, _ in found if d] == [0]
+        found, short = secrets.scan(text, 1 << 20)
+        assert not short and [k for _, k, _, d, _ in found if d] == [0]
+    many = b"".join(gzip.compress(b"x" * 90_000) for _ in range(5)) + gzip.compress(secret)
+    assert [k for _, k, _, d, _ in secrets.scan(base64.b64encode(many).decode(), 100_000)[0] if d] == [0]
+    for code in ("utf-16", "utf-16-le", "utf-16-be"):
+        for data in (secret.decode().encode(code), gzip.compress(secret.decode().encode(code))):
+            assert [k for _, k, _, d, _ in secrets.scan(f"see {base64.b64encode(data).decode()} end", 1 << 20)[0] if d] == [0], code
+    heavy = lzma.compress(secret, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 256 << 20, "preset": 0}])
+    assert secrets.scan(base64.b64encode(heavy).decode(), 1 << 20)[1]
+
+
 def test_secret_cases(spark):
     bomb = base64.b64encode(gzip.compress(b"z" * 100_000)).decode()
     df = frame(spark, [None, "", "token=abcdef", "token=abcdef", "x" * 300_000 + " secret: 'abcdefg'", bomb])
@@ -130,6 +150,9 @@ def test_quality(spark):
     k = min(1000, max(1, m * (1 - m) / v - 1))
     assert all(abs(x - (f + m * k) / (n + k)) < 1e-9 for (n, f), x in rates.items())
     assert quality.apply_rules(df.limit(0)).count() == 0
+    # a host needs enough documents to be rejected, and none goes for a rate that is only above the mean
+    few = frame(spark, [bad] * 3, "d").unionByName(frame(spark, [good] * 70 + [bad] * 30, "e")).unionByName(frame(spark, [good] * 500, "f")).unionByName(frame(spark, [bad] * 60, "g"))
+    assert {r.source for r in quality.apply_rules(few).where("host_rejected").select("source").distinct().collect()} == {"g"}
 
 
 def plain_winnow(t):
