@@ -98,5 +98,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_chat_format")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = chat.format_chat(read(spark, sf_dir, "conversations"))
-    return df.select("conv_id", "turn", "role", "n_passages", "n_linked", "max_level", "parent_turn", "root_turn", "depth", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+    df = chat.conversations(read(spark, sf_dir, "conversations"))
+    turns = [F.transform("chat", lambda m, c=c: m[c]).alias(n) for n, c in (("turns", "turn"), ("parents", "parent_turn"), ("depths", "depth"))]
+    return df.select("conv_id", F.col("part.root").alias("part_root"), F.col("part.turn").alias("part_turn"), "n_messages", *turns, "n_passages", "n_linked", "max_level", F.length("chat_text").cast("long").alias("chat_chars"), F.sha2(F.col("chat_text").cast("binary"), 256).alias("chat_sha256"))

@@ -213,23 +213,29 @@ def plain_chat(rows):
     for c, t, x in rows:
         text = "\n".join(b for lv, b in parse(x) if lv == 0).strip()
         own.setdefault((c, t), set()).update(norm(u) for u in [text, *re.split(r"\n\s*\n", text), *text.split("\n")] if norm(u))
-    parent = {}
+    parent, facts = {}, []
     for c, t, x in rows:
-        runs = []
-        for lv, b in parse(x):
+        runs, lines = [], parse(x)
+        for lv, b in lines:
             if runs and runs[-1][0] == lv:
                 runs[-1][1].append(b)
             else:
                 runs.append((lv, [b]))
-        for lv, body in runs:
-            if lv != 1 or (c, t) in parent:
-                continue
+        clean = re.sub(r"\n{3,}", "\n\n", "\n".join(b for lv, b in lines if lv == 0)).strip()
+        passages = [(lv, body) for lv, body in runs if lv > 0 and any(norm(u) for u in body)]
+        linked = 0
+        for lv, body in passages:
+            found = None
             for u in ["\n".join(body), *body]:
                 first = min((k for (d, k), us in own.items() if d == c and norm(u) and norm(u) in us), default=None)
                 if first is not None and first < t:
-                    parent[c, t] = first
+                    found = first
                     break
-    return parent
+            linked += found is not None
+            if lv == 1 and found is not None:
+                parent.setdefault((c, t), found)
+        facts.append((c, t, len(passages), linked, max((lv for lv, _ in passages), default=0), clean))
+    return parent, facts
 
 
 def test_chat(spark):
@@ -247,8 +253,10 @@ def test_chat(spark):
     df = spark.createDataFrame([(c, t, "user", x, "clash") for c, t, x in rows] + [(None, 1, "user", "> x", ""), (3, None, None, None, "")], "conv_id long, turn long, role string, text string, depth string").repartition(3)
     out = chat.format_chat(df).collect()
     assert len(out) == len(rows) + 2
-    parent = plain_chat(rows)
+    parent, facts = plain_chat(rows)
     assert len(parent) > 20
+    mine = [(r.conv_id, r.turn, r.n_passages, r.n_linked, r.max_level, r.clean_text) for r in out if r.conv_id is not None and r.turn is not None]
+    assert sorted(mine) == sorted(facts)
     for r in out:
         if r.conv_id is None or r.turn is None:
             assert r.parent_turn is None and r.depth == 0
@@ -259,6 +267,22 @@ def test_chat(spark):
         assert (r.parent_turn, r.root_turn, r.depth) == (parent.get((r.conv_id, r.turn)), up, depth)
         assert ">" not in r.clean_text and "wrote:" not in r.clean_text.replace("On Monday, Bo wrote:", "") or not r.n_passages
     assert chat.format_chat(df.limit(0)).count() == 0
+    whole = {r.conv_id: r for r in chat.conversations(df).where("conv_id IS NOT NULL AND part.root >= 0").collect()}
+    assert len(whole) == 12 and chat.conversations(df).count() == 14 and chat.conversations(df.limit(0)).count() == 0
+    clean = {f[:2]: f[5] for f in facts}
+    for c, r in whole.items():
+        order = sorted((t, root) for d, t, root in ((x.conv_id, x.turn, x.root_turn) for x in out if x.conv_id == c and x.turn is not None))
+        assert [m.turn for m in r.chat] == [t for t, _ in sorted(order, key=lambda x: (x[1], x[0]))]
+        assert r.chat_text == "\n\n".join(f"user: {clean[c, m.turn]}" for m in r.chat) and r.n_messages == len(r.chat)
+
+
+def test_long_messages_and_conversations(spark):
+    quoted = "\n".join(f"{'>' * (1 + i // 3 % 2)} line {i}" for i in range(100_000))
+    rows = [(1, 0, "user", "line 7"), (1, 1, "user", quoted)] + [(2, t, "user", f"> word {t - 1}\nword {t}" if t else "word 0") for t in range(2500)]
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).orderBy("conv_id", "part").collect()
+    assert [(r.conv_id, r.n_messages) for r in out] == [(1, 2), (2, 1000), (2, 1000), (2, 500)]
+    assert out[0].n_passages == 33334 and out[0].n_linked == 1 and out[0].chat[1].text == ""
+    assert [m.turn for r in out[1:] for m in r.chat] == list(range(2500)) and out[3].chat[-1].depth == 2499
 
 
 def test_pipeline(spark, tmp_path):
@@ -281,3 +305,22 @@ def test_pipeline(spark, tmp_path):
     assert all(d.columns == ["doc_id", "text", "lang", "source", "n_chars"] for d in seen[:4])
     assert set(ids[3]) <= set(ids[2]) and ids[4] == ids[3]
     assert sorted(r.doc_id for r in P.run(spark, str(tmp_path)).collect()) == ids[4]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+
+    text = " ".join(f"word{i}" for i in range(80))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "kept", "measures", "host", "host_rate", "a.b", "hash", "taken", "key", "spans", "size"]
+    rows = [(1, text, "en", "s", 1, "mine", "m", "h", "r", "dot", "x", "t", "k", "p", "z"), (2, "few", "en", "s", 1, *["-"] * 10), (3, None, None, None, None, *[None] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names[5:]))
+    for k, (_, stage) in enumerate(P.STAGES[:4]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names
+        docs.write.parquet(f"{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out{k}")
+        assert {r[5:] for r in docs.collect()} <= {rows[0][5:]}
+    assert P.STAGES[4][1](spark, docs, str(tmp_path)).columns[0] == "doc_id"
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
