@@ -6,7 +6,8 @@ bits, until its last level. A document is taken if its hash is below its source'
 sorted, thresholds of smaller budgets lie below those of larger ones, and reruns agree.
 
 Cases: a null text has size 0; null sources are one source, listed last; repeated rows have the same
-hash and are taken together; null ids share a hash; an empty table gives an empty result.
+hash and are taken together; null ids share a hash; an empty table gives an empty result; a very long text counts whole, and a source
+whose texts are few and long is met as near as its texts allow; mix() keeps all columns, whatever their names, mix_report() returns its own.
 Plan: sizes are written once (a few numbers a document, no text); each level reads them and
 shuffles partial sums of 2**BITS buckets a source; thresholds go to all executors if there are few sources.
 """
@@ -104,8 +105,8 @@ def mix_report(df: DataFrame, **how) -> DataFrame:
 def mix(df: DataFrame, id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it. No text is shuffled while sources are few."""
     _, found, n = plan_mix(df, id=id, source=source, **how)
-    rows = df.withColumn("__source", F.col(f"`{source}`")).withColumn("hash__", hash_of(f"`{id}`"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    rows = df.select(whole, F.col(f"`{source}`").alias("__source"), hash_of(f"`{id}`").alias("hash__"))
     found = found.select(F.col("source").alias("__source"), F.col("repeats").alias("__r"), F.col("threshold").alias("__t"))
     rows = lookup(rows, found, "__source", n).withColumn("__copies", (F.col("__r") + (F.col("hash__") < F.col("__t")).cast("int")).cast("int"))
-    rows = rows.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select("__row.*")

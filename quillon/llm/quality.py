@@ -105,3 +105,9 @@ def apply_rules(df: DataFrame, text: str = "text", host: str = "source") -> Data
     hosts = host_verdicts(measured(df.select(F.col(f"`{text}`"), F.col(f"`{host}`").alias("__host")), text), "__host")
     out = lookup(rows.withColumn("__host", F.col(f"`{host}`")), hosts.withColumnRenamed("host", "__host"), "__host")
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("__host")
+
+
+def good_documents(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows that are kept, with their own columns, whatever their names are."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("host"))
+    return apply_rules(whole, "text", "host").where("kept").select("__row.*")
