@@ -39,6 +39,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def cuts() -> int:
+    """How many tables of cut() there are."""
+    return len(_written)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later steps start from the files."""
     spark = df.sparkSession
@@ -48,10 +53,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts() -> None:
-    """Remove the tables of cut(); results that still depend on them can't be read afterwards."""
-    while _written:
-        spark, path = _written.pop()
+def drop_cuts(since: int = 0, last: int = 0) -> None:
+    """Remove the tables of cut() but the first since and the last ones; results that still depend on them can't be read afterwards."""
+    gone = _written[since : len(_written) - last]
+    del _written[since : len(_written) - last]
+    for spark, path in gone:
         try:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
