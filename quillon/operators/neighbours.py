@@ -1,8 +1,9 @@
 """Pairs of similar vectors and their clusters, exactly.
 
-Unit vectors with cosine >= t lie within sqrt(2 - 2 t) of each other, and so do their projections on any unit direction.
-Each vector is put in the cell of a grid over a few fixed projections, with cells as wide as that distance; a similar vector is in
-the same cell or one next to it. Pairs come from an equi-join on cells, never from all pairs."""
+Unit vectors with cosine >= t lie within sqrt(2 - 2 t) of each other, and so do their projections on any unit direction. Each vector is
+put in the cell of a grid over the directions in which all vectors vary most, with cells as wide as that distance; a similar vector is in
+the same cell or one next to it. Cells are dealt in chunks of at most about CHUNK vectors, and each pair of chunks of neighbouring cells is one
+block product in numpy, so that a full cell is spread over many tasks. Work grows with the square of a cell's vectors, memory and rows do not."""
 
 from __future__ import annotations
 
@@ -12,12 +13,16 @@ import tempfile
 import uuid
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.arrays import let, mean
 
-DIRECTIONS = 3
+DIRECTIONS, CHUNK = 3, 2000
+#: Cells that are few enough to send their counts to every executor.
+BROADCAST_CELLS = 100_000
 
 
 def centred_unit(x: Column) -> Column:
@@ -35,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder name where all executors can read and write."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at}/quillon-{uuid.uuid4().hex}"
@@ -46,20 +53,68 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def directions(rows: DataFrame, v: str, dims: int) -> np.ndarray:
+    """Unit directions in which the vectors vary most: eigenvectors of their covariance, which has dims x dims numbers."""
+
+    def sums(batches):
+        total = np.zeros((dims + 1, dims + 1))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            x = np.concatenate((x, np.ones((len(x), 1))), 1)
+            total += x.T @ x
+        i, j = np.divmod(np.arange(total.size), dims + 1)
+        yield pa.record_batch([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "s"])
+
+    total = np.zeros((dims + 1, dims + 1))
+    for r in rows.select(v).mapInArrow(sums, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        total[r.i, r.j] = r.s
+    n = max(total[-1, -1], 1.0)
+    mean = total[:-1, -1] / n
+    _, vectors = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
+    return vectors[:, ::-1][:, :DIRECTIONS].T
+
+
+def _matrix(t: pa.Table, dims: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks]).reshape(-1, dims)
+
+
 def similar_pairs(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
     """(a, b, cosine) with a < b of unit vectors with a cosine of at least `least`."""
     width = math.sqrt(2 - 2 * least) + 1e-9
-    cells = []
-    for k in range(DIRECTIONS):  # cosine waves of different lengths: unit directions that are known everywhere
-        d = [math.cos(math.pi * (i + 0.5) * (2 * k + 1) / dims) for i in range(dims)]
-        n = math.sqrt(sum(v * v for v in d))
-        cells.append(F.floor(dot(F.col("v"), F.lit([v / n for v in d])) / width))
-    # written once: the vectors are read for both sides
-    rows = kept(df.select(F.col(id).alias("id"), F.col(unit).alias("v"))).withColumn("cell", F.array(*cells))
-    near = F.array(*[F.array(*[F.lit(s) for s in shift]) for shift in product((-1, 0, 1), repeat=DIRECTIONS)])
-    left = rows.select("id", "v", F.explode(F.transform(near, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("cell"))
-    pairs = left.alias("l").join(rows.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") < F.col("r.id")))
-    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), dot(F.col("l.v"), F.col("r.v")).alias("cosine")).where(F.col("cosine") >= least)
+    # written once: the vectors are read for the directions, the counts and both sides
+    rows = kept(df.select(F.col(id).alias("id"), F.col(unit).alias("v")))
+    cells = [F.floor(dot(F.col("v"), F.lit(d.tolist())) / width) for d in directions(rows, "v", dims)]
+    rows = rows.withColumn("cell", F.array(*cells))
+    counts = kept(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
+    if counts.count() <= BROADCAST_CELLS:
+        counts = F.broadcast(counts)
+    rows = rows.join(counts, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    # each pair of cells once: from the one that comes first
+    shifts = [s for s in product((-1, 0, 1), repeat=DIRECTIONS) if s >= (0,) * DIRECTIONS]
+    steps = F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts])
+    other = counts.select(F.col("cell").alias("c2"), F.col("chunks").alias("n2"))
+    spread = rows.select("id", "v", "cell", "chunk", F.explode(steps).alias("s"))
+    left = spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x + y)).join(other, "c2").select("id", "v", F.col("cell").alias("c1"), "c2", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("j"))
+    right = spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x - y)).join(other, "c2").select("id", "v", F.col("c2").alias("c1"), F.col("cell").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("i"), F.col("chunk").alias("j"))
+    right = right.toDF(*right.columns)
+    id_type = rows.schema["id"].dataType
+
+    def block(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b, hits = x.column("id").to_pylist(), y.column("id").to_pylist(), []
+        if a and b:
+            same = x.column("c1")[0] == x.column("c2")[0]
+            if not (same and x.column("i")[0].as_py() > x.column("j")[0].as_py()):
+                product_ = _matrix(x, dims) @ _matrix(y, dims).T
+                twice = same and x.column("i")[0] == x.column("j")[0]
+                for k, m in zip(*np.nonzero(product_ >= least)):
+                    if not twice or a[k] < b[m]:
+                        hits.append((min(a[k], b[m]), max(a[k], b[m]), float(product_[k, m])))
+        own = x.schema.field("id").type if x.num_columns else y.schema.field("id").type
+        return pa.table([pa.array([h[i] for h in hits], t) for i, t in enumerate((own, own, pa.float64()))], names=["a", "b", "cosine"])
+
+    key = ["c1", "c2", "i", "j"]
+    schema = f"a {id_type.simpleString()}, b {id_type.simpleString()}, cosine double"
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(block, schema)
 
 
 def clusters(nodes: DataFrame, id: str, pairs: DataFrame) -> DataFrame:
