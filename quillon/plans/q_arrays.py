@@ -129,7 +129,11 @@ def near_dup_pairs(spark, d):
     return r6(N.similar_pairs(word_vectors(spark, d), "doc_id", "v", 0.98, BUCKETS))
 
 
-@query("near_dup_clusters", f"WITH RECURSIVE {V}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, root) AS (SELECT doc_id, doc_id FROM z UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), low AS (SELECT id, min(root) AS root FROM r GROUP BY id) SELECT id AS doc_id, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM low")
+CLUSTERS = f"""{V}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, root) AS (SELECT doc_id, doc_id FROM z UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+low AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
+
+
+@query("near_dup_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT id AS doc_id, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM low")
 def near_dup_clusters(spark, d):
     v = N.kept(word_vectors(spark, d))
     return N.clusters(v, "doc_id", N.similar_pairs(v, "doc_id", "v", 0.98, BUCKETS)).select(F.col("id").alias("doc_id"), "root", "cluster")
@@ -171,9 +175,11 @@ def class_status(spark, d):
     return class_status(table(spark, d, "documents"), "lang", "n_chars")
 
 
-@query("source_fingerprint", "SELECT sha256(string_agg(doc_id || ':' || n_chars, ',' ORDER BY md5(doc_id || ':' || n_chars))) AS sha FROM (SELECT doc_id, n_chars FROM documents WHERE source = 'src1')")
+@query("source_fingerprint", """WITH l AS (SELECT source, doc_id || ':' || n_chars AS line FROM documents), b AS (SELECT source, substr(md5(line), 1, 3) AS block, sha256(string_agg(line, ',' ORDER BY md5(line), line)) AS h FROM l GROUP BY ALL)
+SELECT source, sha256(string_agg(h, ',' ORDER BY block)) AS sha FROM b GROUP BY source""")
 def source_fingerprint(spark, d):
-    """A digest of a source's file listing (here its ids and lengths); a listing is as long as a source has files."""
+    """A digest of each source's file listing (here its ids and lengths): lines are hashed by blocks of their own hashes, then the blocks."""
     line = F.concat_ws(":", "doc_id", "n_chars")
-    rows = table(spark, d, "documents").where("source = 'src1'").select(F.struct(F.md5(line.cast("binary")).alias("h"), line.alias("l")).alias("s"))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["l"]), ",").cast("binary"), 256).alias("sha"))
+    rows = table(spark, d, "documents").where("doc_id IS NOT NULL AND n_chars IS NOT NULL").select("source", F.struct(F.md5(line.cast("binary")).alias("h"), line.alias("l")).alias("s"))
+    blocks = rows.groupBy("source", F.substring("s.h", 1, 3).alias("block")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["l"]), ",").cast("binary"), 256).alias("h"))
+    return blocks.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda s: s["h"]), ",").cast("binary"), 256).alias("sha"))

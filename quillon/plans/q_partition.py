@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 
 from quillon.functions.hashing import hash32
 from quillon.operators import partition as P
+from quillon.plans.q_arrays import CLUSTERS, near_dup_clusters
 from quillon.plans.registry import query, table
 
 H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, md5, grp (two letters of the md5), category, label, split by rules, dup_cluster (first letters of the text)."""
-    docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), "source", F.col("lang").alias("category"), F.substring("text", 1, 6).alias("dup_cluster"))
+    """doc_id, md5, group, category, label, and split by rules."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), "source", F.col("lang").alias("category"))
     labels = table(spark, d, "labels").select("doc_id", "quality")
     fold = F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("int"), F.lit(5))
     split = F.when(F.col("category") == "fr", "test").when(fold == 4, "val").when(fold == 3, "calib").when(F.col("source").startswith("src1") & (F.col("category") == "de"), "bench").otherwise("train")
-    return docs.join(labels, "doc_id", "left").select("doc_id", "md5", F.col("source").alias("group"), "category", F.coalesce("quality", F.lit(1)).alias("label"), split.alias("split"), "dup_cluster")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "md5", F.col("source").alias("group"), "category", F.coalesce("quality", F.lit(1)).alias("label"), split.alias("split"))
+
+
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest with dup_cluster: the smallest id of the near-duplicate cluster of a document's word vector, or its own id."""
+    return manifest(spark, d).join(near_dup_clusters(spark, d).select("doc_id", "root"), "doc_id", "left").withColumn("dup_cluster", F.coalesce("root", "doc_id")).drop("root")
 
 
 MANIFEST = r"""manifest AS (SELECT d.doc_id, md5(d.text) AS md5, d.source AS "group", d.lang AS category, coalesce(l.quality, 1) AS label,
 CASE WHEN d.lang = 'fr' THEN 'test' WHEN regexp_extract(d.source, '(\d+)$', 1)::INT % 5 = 4 THEN 'val' WHEN regexp_extract(d.source, '(\d+)$', 1)::INT % 5 = 3 THEN 'calib'
- WHEN d.source LIKE 'src1%' AND d.lang = 'de' THEN 'bench' ELSE 'train' END AS split, substr(d.text, 1, 6) AS dup_cluster
+ WHEN d.source LIKE 'src1%' AND d.lang = 'de' THEN 'bench' ELSE 'train' END AS split
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 PRIO = "CASE split WHEN 'test' THEN 1 WHEN 'train' THEN 2 WHEN 'val' THEN 3 WHEN 'calib' THEN 4 WHEN 'bench' THEN 5 ELSE 6 END"
 
@@ -59,15 +65,17 @@ def dup_source_pairs(spark, d):
     return p.groupBy(F.least("kept_source", "source").alias("source_a"), F.greatest("kept_source", "source").alias("source_b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-RESOLVED = f"""{MANIFEST}, a AS (SELECT *, CASE WHEN min(label) OVER w <> max(label) OVER w THEN 'exact_conflict' END AS r FROM manifest WINDOW w AS (PARTITION BY md5)),
-b AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY md5 ORDER BY r IS NOT NULL, {PRIO}, doc_id) > 1 THEN 'exact_dup' ELSE r END AS r FROM a),
-c AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND min(CASE WHEN r IS NULL THEN label END) OVER w <> max(CASE WHEN r IS NULL THEN label END) OVER w THEN 'cluster_conflict' ELSE r END AS r FROM b WINDOW w AS (PARTITION BY dup_cluster)),
-e AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND {PRIO} > min(CASE WHEN r IS NULL THEN {PRIO} END) OVER (PARTITION BY "group") THEN 'group_split' ELSE r END AS r FROM c),
-resolved AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND {PRIO} > min(CASE WHEN r IS NULL THEN {PRIO} END) OVER (PARTITION BY dup_cluster) THEN 'cluster_split' ELSE r END AS drop_reason FROM e)"""
+RESOLVED = f"""RECURSIVE {CLUSTERS}, {MANIFEST}, mc AS (SELECT m.*, coalesce(low.root, m.doc_id) AS dup_cluster FROM manifest m LEFT JOIN low ON low.id = m.doc_id),
+ra AS (SELECT *, CASE WHEN min(label) OVER w <> max(label) OVER w THEN 'exact_conflict' END AS r FROM mc WINDOW w AS (PARTITION BY md5)),
+rb AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY md5 ORDER BY r IS NOT NULL, {PRIO}, doc_id) > 1 THEN 'exact_dup' ELSE r END AS r FROM ra),
+rc AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND min(CASE WHEN r IS NULL THEN label END) OVER w <> max(CASE WHEN r IS NULL THEN label END) OVER w THEN 'cluster_conflict' ELSE r END AS r
+ FROM rb WINDOW w AS (PARTITION BY dup_cluster)),
+rd AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND {PRIO} > min(CASE WHEN r IS NULL THEN {PRIO} END) OVER (PARTITION BY "group") THEN 'group_split' ELSE r END AS r FROM rc),
+resolved AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND {PRIO} > min(CASE WHEN r IS NULL THEN {PRIO} END) OVER (PARTITION BY dup_cluster) THEN 'cluster_split' ELSE r END AS drop_reason FROM rd)"""
 
 
 def resolved(spark, d):
-    return P.resolve(manifest(spark, d), id="doc_id")
+    return P.resolve(clustered(spark, d), id="doc_id")
 
 
 @query("partition_isolation", f"WITH {RESOLVED} SELECT doc_id, split, drop_reason FROM resolved")
