@@ -26,11 +26,15 @@ class FeatureSpec:
     eps: float = 1e-10
     scale: str = "centred"  # centred: (dB - mean) / 40 within -1..1; minmax: 0..1
     periodic: bool = True
+    bank: str = "continuous"  # or whole bins: "size" or "bins", see filterbank()
+    frames: int | None = None  # frames to pad with zeros or to cut to, before scaling
+    flat: float = 0.0  # minmax: a range below this gives zeros
+    over: float = 0.0  # minmax: added to the range
 
 
 SPEC_1 = FeatureSpec()
-MAGNITUDE = FeatureSpec("magnitude-minmax", magnitude=True, eps=1e-6, scale="minmax", periodic=False)
-POWER = FeatureSpec("power-minmax", low_hz=0.0, high_hz=8000.0, eps=1e-9, scale="minmax", periodic=False)
+MAGNITUDE = FeatureSpec("magnitude-minmax", magnitude=True, eps=1e-6, scale="minmax", periodic=False, frames=61, flat=1e-9)
+POWER = FeatureSpec("power-minmax", low_hz=0.0, high_hz=8000.0, eps=1e-9, scale="minmax", periodic=False, bank="size", over=1e-9)
 
 
 def spec_dict(spec: FeatureSpec) -> dict:
@@ -41,11 +45,11 @@ def window(n: int, periodic: bool) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n if periodic else n - 1))
 
 
-def filterbank(spec: FeatureSpec, kind: str = "continuous") -> np.ndarray:
+def filterbank(spec: FeatureSpec, kind: str | None = None) -> np.ndarray:
     """Triangles on the mel scale, (mels, size / 2 + 1). kind: continuous centres, or whole bins by bins or by size."""
     mel = lambda f: 2595 * math.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(mel(spec.low_hz), mel(spec.high_hz), spec.mels + 2) / 2595) - 1)
-    n = spec.size // 2 + 1
+    n, kind = spec.size // 2 + 1, kind or spec.bank
     if kind == "continuous":
         at, place = np.arange(n) * spec.rate / spec.size, edges
     else:
@@ -54,6 +58,10 @@ def filterbank(spec: FeatureSpec, kind: str = "continuous") -> np.ndarray:
     out = np.zeros((spec.mels, n))
     for m in range(spec.mels):
         a, b, c = place[m : m + 3]
+        if kind != "continuous":  # a bin on two edges belongs to the falling side
+            rise, fall = (at >= a) & (at < b), (at >= b) & (at < c)
+            out[m, rise], out[m, fall] = (at[rise] - a) / max(b - a, 1), (c - at[fall]) / max(c - b, 1)
+            continue
         up, down = (at - a) / max(b - a, 1e-12), (c - at) / max(c - b, 1e-12)
         out[m] = np.maximum(0, np.minimum(up, down))
     return out
@@ -78,14 +86,21 @@ def stft(x: np.ndarray, spec: FeatureSpec) -> np.ndarray:
 
 def log_mel(x: np.ndarray, spec: FeatureSpec, bank: np.ndarray | None = None) -> np.ndarray:
     """(frames, mels) as the spec scales them."""
-    s = np.abs(stft(np.asarray(x, float), spec))
+    x = np.asarray(x, float)
+    if spec.bank == "size" and len(x) <= spec.size:
+        x = np.pad(x, (0, spec.size - len(x) + 1))
+    s = np.abs(stft(x, spec))
     mel = (s if spec.magnitude else s * s) @ (filterbank(spec) if bank is None else bank).T
     if spec.scale == "centred":
         db = 10 * np.log10(mel + spec.eps)
         return np.clip((db - db.mean()) / 40, -1, 1) if db.size else db
-    db = np.log10(mel + spec.eps)
+    db = np.log(mel + spec.eps)
+    if spec.frames is not None:
+        if not len(db):
+            return np.zeros((spec.frames, spec.mels))
+        db = np.pad(db, ((0, max(0, spec.frames - len(db))), (0, 0)))[: spec.frames]
     low, high = (db.min(), db.max()) if db.size else (0.0, 0.0)
-    return (db - low) / (high - low) if high > low else np.zeros_like(db)
+    return (db - low) / (high - low + spec.over) if high > low and high - low >= spec.flat else np.zeros_like(db)
 
 
 def magnitude_column(frame: Column) -> Column:
@@ -113,24 +128,30 @@ def log_mel_column(samples: Column, spec: FeatureSpec = SPEC_1) -> Column:
     return of(samples)
 
 
-def gcc_phat(left: np.ndarray, right: np.ndarray, most: int) -> tuple[float, float]:
-    """Lag of the right channel in samples (with a parabola through the peak) and the peak over the mean of all lags."""
-    n = 1 << (len(left) + len(right) - 1).bit_length()
-    x = np.fft.rfft(right, n) * np.conj(np.fft.rfft(left, n))
-    c = np.fft.irfft(x / np.maximum(np.abs(x), 1e-12), n)
+def gcc_phat(left: np.ndarray, right: np.ndarray, most: int, rate: float = 16000, band: tuple[float, float] = (60.0, 3000.0), size: int = 512) -> tuple[float, float]:
+    """Lag of the right channel in samples (with a parabola through the peak), and the peak over the next best more than a lag from it
+    (inf if that isn't positive): the phase correlation of windowed frames within a band."""
+    w = window(size, True)
+    x = np.fft.rfft(np.asarray(right, float)[:size] * w[: len(right)], size) * np.conj(np.fft.rfft(np.asarray(left, float)[:size] * w[: len(left)], size))
+    x = x / (np.abs(x) + 1e-12)
+    hz = np.fft.rfftfreq(size, 1 / rate)
+    x[(hz < band[0]) | (hz > band[1])] = 0
+    c = np.fft.irfft(x, size)
     c = np.concatenate((c[-most:], c[: most + 1]))
     k = int(c.argmax())
     d = 0.0
     if 0 < k < len(c) - 1:
         a, b, e = c[k - 1 : k + 2]
-        d = 0.5 * (a - e) / (a - 2 * b + e) if a - 2 * b + e else 0.0
-    return k - most + d, float(c[k] / max(np.abs(c).mean(), 1e-12))
+        d = 0.5 * (a - e) / (a - 2 * b + e) if a - 2 * b + e < 0 else 0.0
+    rest = np.delete(c, np.arange(max(0, k - 1), min(len(c), k + 2)))
+    second = rest.max() if len(rest) else 0.0
+    return k - most + d, float(c[k] / second) if second > 1e-9 else math.inf
 
 
-def lag_column(left: Column, right: Column, most: int) -> Column:
+def lag_column(left: Column, right: Column, most: int, rate: float = 16000, band: tuple[float, float] = (60.0, 3000.0), size: int = 512) -> Column:
     @F.arrow_udf("struct<lag: double, confidence: double>")
     def of(a: pa.Array, b: pa.Array) -> pa.Array:
-        got = [gcc_phat(np.asarray(x, float), np.asarray(y, float), most) if x and y else (None, None) for x, y in zip(a.to_pylist(), b.to_pylist())]
+        got = [gcc_phat(np.asarray(x, float), np.asarray(y, float), most, rate, band, size) if x and y else (None, None) for x, y in zip(a.to_pylist(), b.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)], names=["lag", "confidence"])
 
     return of(left, right)

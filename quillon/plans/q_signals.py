@@ -12,7 +12,6 @@ from quillon.plans.q_arrays import X, frames
 from quillon.plans.q_metrics import r6
 from quillon.plans.q_series import EPISODES
 from quillon.plans.registry import query, table
-from quillon.sources import audio
 from quillon.streaming import detectors
 
 #: The discrete Fourier transform of 64 samples under a symmetric Hann window, term by term.
@@ -24,20 +23,37 @@ def frame_spectrum(spark, d):
     return r6(frames(spark, d).select("vec_id", F.posexplode(dsp.magnitude_column(F.col("x"))).alias("bin", "magnitude")))
 
 
-@query("log_mel_features")
+#: Features of frames of 64 samples: windows of 32, every 16, in 4 bands.
+SMALL = dsp.FeatureSpec("small", size=32, hop=16, mels=4)
+BANK = ", ".join(f"({m}, {k}, {w!r}::DOUBLE)" for m, row in enumerate(dsp.filterbank(SMALL).tolist()) for k, w in enumerate(row) if w)
+PART = "list_sum(list_transform(range(32), lambda n: x[frame * 16 + n + 1] * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 32)) * {}(2 * pi() * bin * n / 32)))"
+
+
+@query("log_mel_features", f"""WITH {X}, bank(mel, bin, w) AS (VALUES {BANK}), k AS (SELECT vec_id, x, frame, bin FROM x, (SELECT unnest(range(3)) AS frame), (SELECT unnest(range(17)) AS bin)),
+s AS (SELECT vec_id, frame, bin, pow({PART.format('cos')}, 2) + pow({PART.format('sin')}, 2) AS power FROM k),
+m AS (SELECT vec_id, frame, mel, 10 * log10(sum(power * w) + 1e-10) AS db FROM s JOIN bank USING (bin) GROUP BY ALL)
+SELECT vec_id, frame::INT AS frame, mel::INT AS mel, round(greatest(-1, least(1, (db - avg(db) OVER (PARTITION BY vec_id)) / 40)), 6) AS value FROM m""")
 def log_mel_features(spark, d):
-    """Feature frames of synthetic tones: id, frame and the mean over its mel bands."""
-    x = audio.synthetic_tones(spark, 24, seconds=0.25)
-    f = x.select("id", F.posexplode(dsp.log_mel_column(F.col("x"))).alias("frame", "mel"))
-    return r6(f.select("id", "frame", A.mean(F.col("mel")).alias("mean")))
+    """Scaled mel bands of every frame."""
+    f = frames(spark, d).select("vec_id", F.posexplode(dsp.log_mel_column(F.col("x"), SMALL)).alias("frame", "bands"))
+    return r6(f.select("vec_id", "frame", F.posexplode("bands").alias("mel", "value")))
+
+
+SPECTRUM = "sum({} * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 64)) * {}(2 * pi() * bin * n / 64))"
 
 
-@query("phat_lag")
+@query("phat_lag", f"""WITH {X}, s AS (SELECT vec_id, n, x[n + 1] AS l, CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE x[n - 2] END AS r FROM (SELECT vec_id, x, unnest(range(64)) AS n FROM x)),
+f AS (SELECT vec_id, bin, {SPECTRUM.format('l', 'cos')} AS lc, -{SPECTRUM.format('l', 'sin')} AS ls, {SPECTRUM.format('r', 'cos')} AS rc, -{SPECTRUM.format('r', 'sin')} AS rs FROM s, (SELECT unnest(range(1, 13)) AS bin) GROUP BY ALL),
+g AS (SELECT vec_id, bin, rc * lc + rs * ls AS re, rs * lc - rc * ls AS im FROM f), h AS (SELECT vec_id, bin, re / (sqrt(re * re + im * im) + 1e-12) AS re, im / (sqrt(re * re + im * im) + 1e-12) AS im FROM g),
+c AS (SELECT vec_id, lag, sum(2 * (re * cos(2 * pi() * bin * lag / 64) - im * sin(2 * pi() * bin * lag / 64))) / 64 AS c FROM h, (SELECT unnest(range(-8, 9)) AS lag) GROUP BY ALL),
+k AS (SELECT vec_id, arg_max(lag, c) AS k, max(c) AS y FROM c GROUP BY 1),
+n AS (SELECT k.vec_id, k, y, max(CASE WHEN lag = k - 1 THEN c END) AS y0, max(CASE WHEN lag = k + 1 THEN c END) AS y2, max(CASE WHEN abs(lag - k) > 1 THEN c END) AS second FROM k JOIN c USING (vec_id) GROUP BY ALL)
+SELECT vec_id, round(k + CASE WHEN abs(k) < 8 AND y0 - 2 * y + y2 < 0 THEN 0.5::DOUBLE * (y0 - y2) / (y0 - 2 * y + y2) ELSE 0 END, 6) AS lag, round(CASE WHEN second > 1e-9 THEN y / second ELSE 'inf'::DOUBLE END, 4) AS confidence FROM n""")
 def phat_lag(spark, d):
     """Each frame against itself three samples later."""
     x = frames(spark, d).select("vec_id", "x", A.shift(F.col("x"), 3).alias("y"))
-    lag = x.select("vec_id", dsp.lag_column(F.col("x"), F.col("y"), 8).alias("l"))
-    return r6(lag.select("vec_id", F.col("l.lag").alias("lag"), F.col("l.confidence").alias("confidence")))
+    lag = x.select("vec_id", dsp.lag_column(F.col("x"), F.col("y"), 8, size=64).alias("l"))
+    return lag.select("vec_id", F.round("l.lag", 6).alias("lag"), F.round("l.confidence", 4).alias("confidence"))
 
 
 @query("stream_episode_fsm")

@@ -68,7 +68,7 @@ def test_spectra():
     assert abs(edges[1:-1][dsp.log_mel(np.sin(2 * np.pi * 440 * t), dsp.MAGNITUDE).mean(0).argmax()] - 440) < 60
     x = np.random.default_rng(2).normal(size=4000)
     lag, sure = dsp.gcc_phat(x[20:3020], x[13:3013], 16)
-    assert abs(lag - 7) < 0.5 and sure > 5
+    assert abs(lag - 7) < 0.5 and sure > 2
     assert len(dsp.sparse_filterbank(dsp.filterbank(spec))) == 30
 
 
