@@ -7,8 +7,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 @dataclass(frozen=True)
@@ -109,58 +111,96 @@ def streak_step(s: dict, active: bool, most: int) -> int:
 
 @dataclass(frozen=True)
 class RuleParams:
-    """Energy gate over the floor, band ratio gate, then a history of levels that must hold periodic peaks."""
+    """Energy gate over the floor, band ratio gate, then a ring of levels that must hold periodic peaks."""
 
     frame_ms: float = 32.0
     energy_gate: float = 3.0
     ratio_gate: float = 0.55
     history: int = 64
+    unheard: float = -80.0
+    duration_min_ms: float = 300.0
+    duration_max_ms: float = 5000.0
     period_min_ms: float = 1500.0
     period_max_ms: float = 7000.0
     confirm: int = 2
     peak_factor: float = 1.2
 
 
+RULE_FIELDS = "mode int, hit boolean, confidence double, clock_ms double, noise_floor double"
+
+
+def ring_is_periodic(h: list[float], c: RuleParams) -> bool:
+    """Whether enough neighbouring peaks of the ring, read in the order of its slots, are a period apart."""
+    above = sum(h) / len(h) * c.peak_factor
+    peaks = [i for i in range(2, len(h) - 2) if h[i] > above and h[i] > max(h[i - 2], h[i - 1], h[i + 1], h[i + 2])]
+    low, high = max(1, int(c.period_min_ms / c.frame_ms)), min(int(c.period_max_ms / c.frame_ms), len(h) - 1)
+    return sum(low <= b - a <= high for a, b in zip(peaks, peaks[1:])) >= c.confirm
+
+
 def rule_step(s: dict, level: float, ratio: float, c: RuleParams, floor: FloorParams = FloorParams()) -> dict:
     """One frame: mode 0 quiet, 1 candidate, 2 confirmed. The clock runs only on frames that pass both gates, and
-    with the default history two whole periods never fit, so nothing is confirmed (see the README)."""
+    with the default history two whole periods hardly fit, so little is confirmed (see the README)."""
     f = floor_step(s, level, floor)
-    s.setdefault("mode", 0), s.setdefault("clock", 0.0), s.setdefault("history", []), s.setdefault("start", 0.0), s.setdefault("done", [])
+    if "ring" not in s:
+        s.update(mode=0, clock=0.0, ring=[c.unheard] * c.history, at=0, start=0.0, done=[])
+    hit, sure = False, 0.0
     if level - f < c.energy_gate or ratio < c.ratio_gate:
         if s["mode"] == 2:
-            s["done"].append((s["start"], s["clock"]))
+            s["done"].append((s["start"], s["clock"], 0.8))
         s["mode"] = 0
-        return {"mode": 0, "clock_ms": s["clock"], "noise_floor": f}
+        return {"mode": 0, "hit": False, "confidence": 0.0, "clock_ms": s["clock"], "noise_floor": f}
+    s["ring"][s["at"]] = level
+    s["at"] = (s["at"] + 1) % c.history
     s["clock"] += c.frame_ms
-    h = s["history"] = (s["history"] + [level])[-c.history :]
-    mean = sum(h) / len(h)
-    peaks = [i for i in range(2, len(h) - 2) if h[i] > mean * c.peak_factor and h[i] > max(h[i - 2], h[i - 1], h[i + 1], h[i + 2])]
-    low, high = int(c.period_min_ms / c.frame_ms), int(c.period_max_ms / c.frame_ms)
-    good = sum(low <= b - a <= high for a, b in zip(peaks, peaks[1:]))
+    length = s["clock"] - s["start"]
     if s["mode"] == 0:
         s.update(mode=1, start=s["clock"])
-    if s["mode"] == 1 and good >= c.confirm:
-        s["mode"] = 2
-    return {"mode": s["mode"], "clock_ms": s["clock"], "noise_floor": f}
-
-
-def rule_flush(s: dict) -> list[tuple[float, float]]:
-    """Events at the end of a stream, an open one included."""
-    return [*s.get("done", []), *([(s["start"], s["clock"])] if s.get("mode") == 2 else [])]
-
-
-def fold(df: DataFrame, key: str, order: list[str], step: Callable[[dict, pd.Series], list[dict]], start: Callable[[], dict], schema: str, columns: list[str]) -> DataFrame:
-    """Run a step over each key's rows in order. A task holds one series at a time; series are as long as a device's record."""
-    key_type = df.select(key).dtypes[0][1]
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, out = start(), []
-        for row in pdf.sort_values(order, kind="stable")[columns].itertuples(index=False):
-            out += [{key: k[0]} | x for x in step(s, row)]
-        names = [key, *[f.split()[0] for f in schema.split(", ")]]
-        return pd.DataFrame(out, columns=names).astype(object).where(lambda x: x.notna(), None)
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {key_type}, {schema}")
+    elif s["mode"] == 1:
+        if c.duration_min_ms < length < c.duration_max_ms and ring_is_periodic(s["ring"], c):
+            s["mode"], hit, sure = 2, True, 0.7 + (ratio - 0.55) * 0.5
+        elif length > c.duration_max_ms:
+            s["mode"] = 0
+    else:
+        hit, sure = True, 0.85
+        if length > c.duration_max_ms:
+            s["done"].append((s["start"], s["clock"], 0.85))
+            s["mode"] = 0
+    return {"mode": s["mode"], "hit": hit, "confidence": sure, "clock_ms": s["clock"], "noise_floor": f}
+
+
+def rule_flush(s: dict) -> list[tuple[float, float, float]]:
+    """Events (start, end, confidence) at the end of a stream, an open one included."""
+    return [*s.get("done", []), *([(s["start"], s["clock"], 0.8)] if s.get("mode") == 2 else [])]
+
+
+def new_night(s: dict) -> None:
+    """Forget the running event and the events so far; the floor and the ring stay."""
+    s.update(mode=0, start=s.get("clock", 0.0), done=[])
+
+
+def fold(df: DataFrame, key: str, order: list[str], step: Callable[[dict, list], list[dict]], start: Callable[[], dict], schema: str, columns: list[str], end: Callable[[dict], list[dict]] | None = None) -> DataFrame:
+    """Run a step over each key's rows in order, and end(state) after its last one.
+
+    Rows are dealt by key, sorted (Spark spills) and read in batches; a task holds a batch and one key's state, so a key may have any number of rows."""
+    fields = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(schema)])
+    rows = df.select(key, *dict.fromkeys([*order, *columns])).repartition(key).sortWithinPartitions(key, *order)
+    kinds, at = to_arrow_schema(fields), [rows.columns.index(c) for c in columns]
+
+    def run(batches):
+        now, s, begun = None, start(), False
+        for batch in batches:
+            keys, values, out = batch.column(0).to_pylist(), [batch.column(i).to_pylist() for i in at], []
+            for k, row in zip(keys, zip(*values)):
+                if begun and k != now:
+                    out += [{key: now} | x for x in end(s)] if end else []
+                    s = start()
+                now, begun = k, True
+                out += [{key: k} | x for x in step(s, row)]
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        if begun and end:
+            yield pa.RecordBatch.from_pylist([{key: now} | x for x in end(s)], schema=kinds)
+
+    return rows.mapInArrow(run, fields)
 
 
 def episodes(df: DataFrame, key: str, tick: str, p: str, level: str, c: EpisodeParams = EpisodeParams()) -> DataFrame:
@@ -189,7 +229,7 @@ class AppParams:
 def app_step(s: dict, t: float, detected: bool, c: AppParams = AppParams()) -> list[dict]:
     """Calibrate, monitor, intervene at rising levels, cool down. Timeouts are looked at when an event arrives."""
     if not s:
-        s.update(mode="CALIBRATE", since=t, level=0, n=0, heard=t, raised=t, until=t)
+        s.update(mode="CALIBRATE", since=t, level=0, n=0, heard=t, until=t)
     out = []
 
     def go(mode: str, **more):
@@ -200,16 +240,16 @@ def app_step(s: dict, t: float, detected: bool, c: AppParams = AppParams()) -> l
         go("MONITOR")
     elif s["mode"] == "MONITOR" and detected:
         if s["n"] >= c.budget:
-            go("COOLDOWN", until=t + c.rest_s, n=0)
+            go("COOLDOWN", until=t + c.rest_s)  # the night's budget stays spent
         else:
-            go("INTERVENE", level=1, n=s["n"] + 1, heard=t, raised=t)
+            go("INTERVENE", level=1, n=s["n"] + 1, heard=t)
     elif s["mode"] == "INTERVENE":
         if detected:
             s["heard"] = t
         if t - s["heard"] >= c.quiet_s or t - s["since"] >= c.timeout_s:
             go("COOLDOWN", until=t + c.cooldown_s * s["level"])
-        elif detected and t - s["raised"] >= c.escalate_s and s["level"] < c.top_level:
-            s.update(level=s["level"] + 1, raised=t)
+        elif detected and t - s["since"] > c.escalate_s and s["level"] < c.top_level:  # since the intervention's start
+            s["level"] += 1
             out.append({"t": t, "mode": "INTERVENE", "level": s["level"], "n": s["n"]})
     elif s["mode"] == "COOLDOWN" and t >= s["until"]:
         go("MONITOR", level=0)

@@ -144,18 +144,36 @@ def episode_fsm(spark, d):
     return E.episodes(t, "user_id", "tick", "p", "value", EPISODES).withColumn("t_end", (F.col("tick") + 2) * 0.5)
 
 
+RULES = E.RuleParams(history=24, duration_min_ms=64, duration_max_ms=2000, period_min_ms=64, period_max_ms=640, confirm=1, ratio_gate=0.2)
+
+
 @query("rule_detector")
 def rule_detector(spark, d):
-    c = E.RuleParams(history=24, period_min_ms=96, period_max_ms=640, confirm=1, ratio_gate=0.2)
-    floor = E.FloorParams(start=10.0)
-    step = lambda s, r: [{"event_id": r[0]} | E.rule_step(s, float(r[1]), float(r[1]) / 100, c, floor)]
-    return E.fold(ticks(spark, d), "user_id", ["tick"], step, dict, "event_id long, mode int, clock_ms double, noise_floor double", ["event_id", "value"])
+    """Each user's events as frames: value is the level, the number in props the band ratio in per cent."""
+    rows = ticks(spark, d).join(table(spark, d, "events").select("event_id", "props"), "event_id")
+    rows = rows.withColumn("ratio", F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(100)) / 100)
+    step = lambda s, r: [{"event_id": r[0]} | E.rule_step(s, float(r[1]), float(r[2]), RULES, E.FloorParams(start=10.0))]
+    return E.fold(rows, "user_id", ["tick"], step, dict, "event_id long, " + E.RULE_FIELDS, ["event_id", "value", "ratio"])
+
+
+@query("rule_events")
+def rule_events(spark, d):
+    """The events of rule_detector, those that are open at a user's end included."""
+    rows = ticks(spark, d).withColumn("ratio", F.lit(1.0))
+
+    def step(s, r):
+        E.rule_step(s, float(r[0]), float(r[1]), RULES, E.FloorParams(start=10.0))
+        return []
+
+    end = lambda s: [{"start_ms": a, "end_ms": b, "confidence": c} for a, b, c in E.rule_flush(s)]
+    return E.fold(rows, "user_id", ["tick"], step, dict, "start_ms double, end_ms double, confidence double", ["value", "ratio"], end)
 
 
 @query("app_modes")
 def app_modes(spark, d):
-    step = lambda s, r: E.app_step(s, r[0].timestamp(), float(r[1]) >= 80, E.AppParams(calibrate_s=3600, escalate_s=7200, timeout_s=86400, quiet_s=43200, budget=3, rest_s=172800, cooldown_s=3600))
-    return E.fold(ticks(spark, d), "user_id", ["tick"], step, dict, "t double, mode string, level int, n int", ["ts", "value"])
+    step = lambda s, r: E.app_step(s, float(r[0]), float(r[1]) >= 80, E.AppParams(calibrate_s=3600, escalate_s=7200, timeout_s=86400, quiet_s=43200, budget=3, rest_s=172800, cooldown_s=3600))
+    rows = ticks(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return E.fold(rows, "user_id", ["tick"], step, dict, "t double, mode string, level int, n int", ["t", "value"])
 
 
 HOURS = 24 * 30

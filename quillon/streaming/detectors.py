@@ -38,7 +38,7 @@ def stream_app(df: DataFrame, key: str, t: str, detected: str, c: E.AppParams =
 
 
 def stream_rules(df: DataFrame, key: str, tick: str, level: str, ratio: str, c: E.RuleParams = E.RuleParams()) -> DataFrame:
-    return stream(df, key, [tick], lambda s, r: [{"tick": int(r[0])} | E.rule_step(s, float(r[1]), float(r[2]), c)], dict, "tick long, mode int, clock_ms double, noise_floor double", [tick, level, ratio])
+    return stream(df, key, [tick], lambda s, r: [{"tick": int(r[0])} | E.rule_step(s, float(r[1]), float(r[2]), c)], dict, "tick long, " + E.RULE_FIELDS, [tick, level, ratio])
 
 
 def stream_windows(df: DataFrame, ts: str, key: str, late: str, size: str, hop: str, value: str) -> DataFrame:
