@@ -166,28 +166,39 @@ def rows_of(feats: np.ndarray, group: np.ndarray | int, bits: int) -> np.ndarray
     return out
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def exp_scores(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponential of each outcome's score, and their sum."""
     z = weights[rows[:, 0]]
     for i in range(1, FEATURES + 1):
         z += weights[rows[:, i]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    np.minimum(z, -2 * NEVER, out=z)  # within what a float holds
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step over a batch, with a step size that shrinks by row as its gradients add up."""
-    g = np.exp(log_softmax(weights, rows))
+    g, total = exp_scores(weights, rows)
+    g /= total[:, None]
     g[np.arange(len(target)), target] -= 1
+    n = g.shape[1]
+    outcome, flat = np.arange(n), g.ravel()
     for i in range(FEATURES + 1):
         order = np.argsort(rows[:, i])
         own = rows[order, i]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        sums, at = np.add.reduceat(g[order], first), own[first]
-        squares[at] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+        first = np.concatenate(([True], own[1:] != own[:-1]))
+        at, place = own[first], np.empty(len(own), np.intp)
+        place[order] = (np.cumsum(first) - 1) * n
+        sums = np.bincount((place[:, None] + outcome).ravel(), flat, len(at) * n).reshape(-1, n).astype(np.float32)
+        squares[at] += np.einsum("ij,ij->i", sums, sums) / n
         weights[at] -= sums * (STEP / np.sqrt(squares[at] + 1))[:, None]
 
 
+def _log(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    e, total = exp_scores(weights, rows)
+    return np.log(np.maximum(e[np.arange(len(target)), target] / total, 1e-37))
+
+
 def log10_tokens(shape: Shape, weights: list[np.ndarray], words, counts, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """log10 P of each token of some texts, whose words stand at places."""
     of, one, two, inner = shape.of(words, counts)
@@ -195,12 +206,11 @@ def log10_tokens(shape: Shape, weights: list[np.ndarray], words, counts, places:
     for a in range(0, len(places), 1 << 14):
         own = places[a : a + (1 << 14)]
         c, s = of[own], one[own]
-        x = log_softmax(weights[0], rows_of(feats[a : a + (1 << 14)], 0, shape.bits))
-        p = x[np.arange(len(own)), c]
+        p = _log(weights[0], rows_of(feats[a : a + (1 << 14)], 0, shape.bits), c)
         deep = np.flatnonzero(c > 1)
         f = feats[a : a + (1 << 14)][deep]
         for w, group, to in ((weights[1], c[deep], s[deep]), (weights[2], c[deep] * SLOTS + s[deep], two[own][deep])):
-            p[deep] += log_softmax(w, rows_of(f, group, shape.bits))[np.arange(len(deep)), to]
+            p[deep] += _log(w, rows_of(f, group, shape.bits), to)
         out[a : a + (1 << 14)] += p / np.log(10)
     return out
 
