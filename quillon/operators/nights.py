@@ -68,7 +68,8 @@ def beds(manifest: DataFrame, source: str, split: str = "bench", label: int = 0)
 
 
 def stats_line(frames, events, floor) -> F.Column:
-    return F.format_string("frames=%d events=%d noise_floor=%.1f", frames, events, floor)
+    # halves go up: formats differ in that between engines
+    return F.format_string("frames=%d events=%d noise_floor=%.1f", frames, events, F.floor(floor * 10 + 0.5) / 10)
 
 
 def platt_fit(scores: DataFrame, z: str, y: str, c: float = 1e4) -> tuple[float, float]:

@@ -119,7 +119,7 @@ def detector_file_summary(spark, d):
     return r6(files(spark, d))
 
 
-@query("detector_stats", f"WITH {FILES} SELECT user_id, printf('frames=%d events=%d noise_floor=%.1f', frames, n_events, hits / frames * 100) AS line FROM f")
+@query("detector_stats", f"WITH {FILES} SELECT user_id, printf('frames=%d events=%d noise_floor=%.1f', frames, n_events, floor(hits / frames * 100 * 10 + 0.5) / 10) AS line FROM f")
 def detector_stats(spark, d):
     return files(spark, d).select("user_id", N.stats_line(F.col("frames"), F.col("n_events"), F.col("ratio") * 100).alias("line"))
 
