@@ -1,13 +1,13 @@
 """Document fingerprints by winnowing.
 
 Every run of GRAM code points has a hash; of each WINDOW neighbouring hashes the smallest is kept, the rightmost of equal
-ones, with its place. Two texts that share GRAM + WINDOW - 1 code points share a kept hash. A text shorter
+ones, with its place. Two texts that share GRAM + WINDOW - 1 code points (27) share a kept hash. A text shorter
 than GRAM is one gram; one with fewer than WINDOW grams has one window; an empty text keeps nothing.
 
 The likeness of two fingerprints is the Jaccard similarity of their sets of hashes (1 for two empty sets).
 
-Cases: a null text counts as empty; equal texts have equal fingerprints, so repeated rows agree; an empty
-table gives an empty result. Next documents: ids descend, nulls come last, equal ids by descending text; the document
+Cases: a null text counts as empty; equal texts have equal fingerprints, so repeated rows agree; a very long text is read
+whole, in pieces that overlap; other columns are not returned; an empty table gives an empty result. Next documents: ids descend, nulls come last, equal ids by descending text; the document
 after the last is the first.
 Plan for next documents: ids are cut into ranges at quantiles; each range's first row goes also to
 the range before it (as a guest), so that one shuffle by range and a sort within it brings every row next to its successor.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import small_batches
 
-GRAM, WINDOW = 24, 64
+GRAM, WINDOW = 12, 16
 #: A hash has so many bits; below them stands the place, in pieces of a text so long.
 HASH_BITS, PLACE_BITS = 40, 24
 _PLACES = np.uint64((1 << PLACE_BITS) - 1)

@@ -173,7 +173,7 @@ def test_winnowing(spark):
     random.seed(5)
     with np.errstate(over="ignore"):
         for _ in range(60):
-            t = "".join(random.choice("abé𝄞"[: random.choice([1, 2, 4])]) for _ in range(random.choice([0, 1, 5, 23, 24, 25, 60, 87, 88, 200, 300])))
+            t = "".join(random.choice("abé𝄞"[: random.choice([1, 2, 4])]) for _ in range(random.choice([0, 1, 5, 11, 12, 13, 26, 27, 28, 60, 200, 300])))
             h, p = winnow.winnow(t)
             assert (h.tolist(), p.tolist()) == plain_winnow(t)
     texts = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(0, 600))) for _ in range(60)] + [None, "", "x"]
@@ -192,6 +192,35 @@ def test_winnowing(spark):
     assert winnow.compare_edits(df.limit(0)).count() == 0
 
 
+def test_winnowing_of_very_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(winnow, "PLACE_BITS", 7)
+    monkeypatch.setattr(winnow, "_PLACES", np.uint64(127))
+    random.seed(6)
+    with np.errstate(over="ignore"):
+        for n in (98, 99, 100, 101, 126, 127, 128, 199, 200, 500, 2000):
+            for signs in ("ab", "abcdefgh "):
+                t = "".join(random.choice(signs) for _ in range(n))
+                h, p = winnow.winnow(t)
+                assert (h.tolist(), p.tolist()) == plain_winnow(t)
+
+
+def test_short_texts_keep_hashes_outside_an_edit():
+    """The likeness to the edited text is near the exact one of all grams, also for short texts."""
+    random.seed(7)
+    words = ["".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(2, 8))) for _ in range(500)]
+    off = {n: [] for n in (60, 100, 300)}
+    with np.errstate(over="ignore"):
+        for n, errors in off.items():
+            for _ in range(100):
+                t, nxt = (" ".join(random.choices(words, k=n))[:n] for _ in range(2))
+                e = winnow.edited(t, nxt)
+                a, b = (set(winnow.gram_hashes(np.array([ord(c) for c in x], np.uint32)).tolist()) for x in (t, e))
+                near = winnow.likeness(winnow.winnow(t)[0], winnow.winnow(e)[0])
+                assert n < 100 or near > 0
+                errors.append(abs(near - len(a & b) / len(a | b)))
+    assert [float(np.mean(e)) < bound for e, bound in zip(off.values(), (0.25, 0.15, 0.1))] == [True] * 3
+
+
 def test_tokens(spark):
     public = pytest.importorskip("public_tokenizers")
     import regex
