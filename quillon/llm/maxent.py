@@ -60,12 +60,10 @@ def split(text: str) -> list[bytes]:
     return words
 
 
-def _crc(words, seed: int = 0) -> np.ndarray:
-    return np.fromiter([zlib.crc32(w, seed) for w in words], np.int64, len(words))
-
-
-def _ending(words, seed: int = 0) -> np.ndarray:
-    return np.fromiter([zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:], seed) for w in words], np.int64, len(words))
+def hashes(words) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word and one of its ending."""
+    whole = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    return whole, np.fromiter([zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:]) for w in words], np.int64, len(words))
 
 
 def bit_length(counts: np.ndarray) -> np.ndarray:
@@ -96,10 +94,10 @@ class Shape:
         self.unseen = self.once / (self.once + 2 * twice) if self.once else 1.0
         self.size = self.kinds = np.zeros(LEAVES)
 
-    def choices(self, words, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The class and the two slots of each word."""
-        counts, h = np.asarray(counts, np.int64), _crc(words)
-        of = np.where(bit_length(counts) >= self.border, 2 + h % FREQUENT, 2 + FREQUENT + _ending(words) % SUFFIXES)
+    def choices(self, words, counts, hashed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class and the two slots of each word; hashed are its hashes, if they are known."""
+        counts, (h, ending) = np.asarray(counts, np.int64), hashed or hashes(words)
+        of = np.where(bit_length(counts) >= self.border, 2 + h % FREQUENT, 2 + FREQUENT + ending % SUFFIXES)
         of[counts <= 1] = 1
         of[np.fromiter([w == END for w in words], bool, len(words))] = 0
         return of, (h >> 8) % SLOTS, (h >> 16) % SLOTS
@@ -114,10 +112,10 @@ class Shape:
     def fill(self, sums: np.ndarray) -> None:
         self.size, self.kinds = np.rint(sums[0]), np.rint(sums[1])
 
-    def of(self, words, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, words, counts, hashed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The class and slots of each word, and log10 P(word | leaf)."""
         counts = np.asarray(counts, np.int64)
-        of, one, two = self.choices(words, counts)
+        of, one, two = self.choices(words, counts, hashed)
         leaf = (of * SLOTS + one) * SLOTS + two
         share = (counts + 0.5) / (self.size[leaf] + 0.5 * np.maximum(self.kinds[leaf], 1))
         share = np.where(counts == 0, self.unseen, np.where(counts == 1, (1 - self.unseen) / max(self.once, 1), share))
@@ -139,9 +137,9 @@ class Shape:
         return out
 
 
-def features(words, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
+def features(words, places: np.ndarray, lens: np.ndarray, hashed=None) -> np.ndarray:
     """The features of each token: shape (tokens, FEATURES). Before a text stands the word 0."""
-    h, e = ((x(words, 7) | 1).astype(np.uint64)[places] for x in (_crc, _ending))
+    h, e = ((x.astype(np.uint64) << np.uint64(1) | np.uint64(1))[places] for x in hashed or hashes(words))
     lens = lens.astype(np.int64)
     place = np.arange(len(places)) - np.repeat(np.cumsum(lens) - lens, lens)
 
@@ -156,21 +154,22 @@ def features(words, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def rows_of(feats: np.ndarray, group: np.ndarray | int, bits: int) -> np.ndarray:
-    """The rows of weights of each token, those of its features and that of its group: shape (tokens, FEATURES + 1)."""
-    out = np.empty((len(feats), FEATURES + 1), np.int32)
+    """The rows of weights of each token, those of its features and that of its group: shape (FEATURES + 1, tokens)."""
+    out = np.empty((FEATURES + 1, len(feats)), np.intp)
     g = np.broadcast_to(np.asarray(group, np.int64), len(feats))
     with np.errstate(over="ignore"):
-        x = (feats ^ (g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) * np.uint64(0xD1B54A32D192ED03)
-    out[:, :FEATURES] = (x >> np.uint64(64 - bits)).astype(np.int32) + (np.arange(FEATURES, dtype=np.int32) << bits)
-    out[:, FEATURES] = (FEATURES << bits) + g
+        x = (feats.T ^ (g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD1B54A32D192ED03)
+    out[:FEATURES] = (x >> np.uint64(64 - bits)).astype(np.intp) + (np.arange(FEATURES) << bits)[:, None]
+    out[FEATURES] = (FEATURES << bits) + g
     return out
 
 
 def exp_scores(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The exponential of each outcome's score, and their sum."""
-    z = weights[rows[:, 0]]
-    for i in range(1, FEATURES + 1):
-        z += weights[rows[:, i]]
+    z = weights.take(rows[0], 0)
+    more = np.empty_like(z)
+    for own in rows[1:]:
+        z += weights.take(own, 0, more, "clip")
     np.minimum(z, -2 * NEVER, out=z)  # within what a float holds
     np.exp(z, out=z)
     return z, z @ np.ones(z.shape[1], z.dtype)
@@ -181,17 +180,19 @@ def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target:
     g, total = exp_scores(weights, rows)
     g /= total[:, None]
     g[np.arange(len(target)), target] -= 1
-    n = g.shape[1]
-    outcome, flat = np.arange(n), g.ravel()
-    for i in range(FEATURES + 1):
-        order = np.argsort(rows[:, i])
-        own = rows[order, i]
-        first = np.concatenate(([True], own[1:] != own[:-1]))
-        at, place = own[first], np.empty(len(own), np.intp)
-        place[order] = (np.cumsum(first) - 1) * n
-        sums = np.bincount((place[:, None] + outcome).ravel(), flat, len(at) * n).reshape(-1, n).astype(np.float32)
-        squares[at] += np.einsum("ij,ij->i", sums, sums) / n
-        weights[at] -= sums * (STEP / np.sqrt(squares[at] + 1))[:, None]
+    for own in rows:
+        order = np.argsort(own)
+        own = own[order]
+        last = np.flatnonzero(np.concatenate((own[1:] != own[:-1], [True])))
+        # the sums of neighbours of one row, as differences of running sums; two outcomes at a time, as a complex number
+        sums = g.take(order, 0).astype(np.float64).view(np.complex128)
+        np.add.accumulate(sums, 0, None, sums)
+        change = sums.take(last, 0).view(np.float64)
+        change[1:] -= change[:-1].copy()
+        change, at = change.astype(np.float32), own[last]
+        squares[at] += np.einsum("ij,ij->i", change, change) / g.shape[1]
+        change *= (STEP / np.sqrt(squares[at] + 1))[:, None]
+        weights[at] -= change
 
 
 def _log(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -201,8 +202,9 @@ def _log(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarra
 
 def log10_tokens(shape: Shape, weights: list[np.ndarray], words, counts, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """log10 P of each token of some texts, whose words stand at places."""
-    of, one, two, inner = shape.of(words, counts)
-    feats, out = features(words, places, lens), inner[places]
+    hashed = hashes(words)
+    of, one, two, inner = shape.of(words, counts, hashed)
+    feats, out = features(words, places, lens, hashed), inner[places]
     for a in range(0, len(places), 1 << 14):
         own = places[a : a + (1 << 14)]
         c, s = of[own], one[own]
@@ -247,8 +249,9 @@ def train(blocks: DataFrame, shape: Shape) -> list[np.ndarray]:
             for batch in batches:
                 for data, answers in zip(batch.column(0), batch.column(1)):
                     (_, held), words, places, lens = open_block(data.as_py())
-                    of, one, two = shape.choices(words, load(answers.as_py()))
-                    feats = features(words, places, lens)
+                    hashed = hashes(words)
+                    of, one, two = shape.choices(words, load(answers.as_py()), hashed)
+                    feats = features(words, places, lens, hashed)
                     keep = np.flatnonzero(np.repeat(~np.array(held, bool), lens))
                     for a in range(0, len(keep), BATCH):
                         at = keep[a : a + BATCH]

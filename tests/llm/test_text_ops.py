@@ -279,7 +279,7 @@ def plain_log10(shape, weights, text, counts):
     mask = (1 << 64) - 1
 
     def hashed(b):
-        return zlib.crc32(b, 7) | 1
+        return zlib.crc32(b) * 2 + 1
 
     def softmax(layer, group, feats, want):
         w, bits = weights[layer], shape.bits
