@@ -270,8 +270,8 @@ def _left_over(sets: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFr
     """(a, b): all pairs of different components that may be linked, of texts in buckets that hold several components. Texts of the
     component that has most rows of a shingle meet only those of others, so that a large component isn't paired with itself."""
     named = buckets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    # the two texts of a bucket of two have been compared
-    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high AND k > 2")
+    # buckets of two, too: each of their texts may have been compared with a centre of another bucket
+    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     left = cut(named.join(mixed.select("band"), "band", "left_semi").select("key", "label").distinct().join(sets, "key"))
     if left.isEmpty():
         return left.select(F.col("key").alias("a"), F.col("key").alias("b"))
