@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, langid, maxent, mixing, neardup, quality, secrets, urls, winnow
+from quillon.llm import bpe, chat, langid, lexical, maxent, mixing, neardup, quality, runs, secrets, topk, urls, winnow
 from quillon.llm import sql as text_sql
 
 QUERIES, ORACLE = {}, {}
@@ -99,5 +99,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_format")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = chat.conversations(read(spark, sf_dir, "conversations"))
-    turns = [F.transform("chat", lambda m, c=c: m[c]).alias(n) for n, c in (("turns", "turn"), ("parents", "parent_turn"), ("depths", "depth"))]
+    turns = [F.col(f"chat.{c}").alias(n) for n, c in (("turns", "turn"), ("parents", "parent_turn"), ("depths", "depth"))]
     return df.select("conv_id", F.col("part.root").alias("part_root"), F.col("part.turn").alias("part_turn"), "n_messages", *turns, "n_passages", "n_linked", "max_level", F.length("chat_text").cast("long").alias("chat_chars"), F.sha2(F.col("chat_text").cast("binary"), 256).alias("chat_sha256"))
+
+
+@query("op11_topk_search", text_sql.TOPK)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op12_lexical_search", text_sql.LEXICAL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.search(docs, items, k=50)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    found = runs.find_runs(runs.with_repeats(docs, "h"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    hashes = [F.sha2(x.cast("binary"), 256).alias(n) for n, x in (("runs_sha256", F.array_join(line, "")), ("collapsed_sha256", F.col("collapsed")))]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, *hashes, "n_words")

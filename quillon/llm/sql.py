@@ -66,3 +66,26 @@ c AS (SELECT v.*, max(CASE WHEN through <= target - repeats * source_size OR (th
 SELECT doc_id, size, source_size, round(target, 3) AS target, (size * (repeats + CASE WHEN hash <= last THEN 1 ELSE 0 END))::BIGINT AS taken, d.source
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
+
+TOPK = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.r <> c.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{U.UPPER}', '{U.LOWER}'), {_TERM}) AS ts FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all(translate(text, '{U.UPPER}', '{U.LOWER}'), {_TERM}))) AS term FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * docs) // terms AS m FROM d, n WHERE len(ts) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, n GROUP BY term),
+s AS (SELECT q, any_value(item_id) AS item_id, m.r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term) JOIN m ON p.r = m.r GROUP BY q, m.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
