@@ -2,12 +2,14 @@
 
 Every text is scanned as it stands. Then percent escapes, backslash and HTML character escapes, base64 runs
 and compressed bytes are decoded; each decoded layer is scanned and decoded again until no new layer appears.
-A layer whose content has been seen in this text is not visited again, which ends cycles.
+A layer whose content has been seen in this text is not visited again, which ends cycles. An escape sign that is itself escaped again and again
+(%252525..., \\u005cu005c..., &#38;#38;...) is unwrapped at once, as the forms between differ in nothing but how often.
 
 Cases: a null text counts as empty and has no span; repeated rows give repeated results; other columns,
-also such named like those added, are kept (an added column takes the place of one with its name); an empty table gives an empty result; a very long text is scanned whole, in
-time that grows with its length.
-Work is per row: no shuffle, and memory is bounded by a batch of rows and the layers of one text.
+also such named like those added, are kept (an added column takes the place of one with its name); an empty table gives an empty result; a very long text is
+scanned whole, in time that grows with its length times its layers (each is shorter than the one it comes from).
+Work is per row: no shuffle. A layer keeps its text only until its own layers are made, and then how its places map to those of the layer above: a few
+numbers for each escape, line or character beyond ASCII, so that long base64 runs take a few times their length.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from __future__ import annotations
 import base64
 import bisect
 import bz2
+import functools
 import hashlib
 import lzma
 import re
 import zlib
+from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +48,15 @@ BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of such signs, each but the last ended; what of them is one wrapped run is told by their widths.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{4,}+\r?\n)+[A-Za-z0-9+/_-]*={0,2}")
 LINE = re.compile(r"([A-Za-z0-9+/_-]+={0,2})\r?\n?")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+#: The first part: an escape sign that is escaped again and again.
+PERCENT = re.compile(r"%(?:25){2,}|(?:%(?!2525)[0-9A-Fa-f]{2})+")
+AGAIN = r"\\(?:u005[cC]|x5[cC]|U0000005[cC]|u\{0{0,4}5[cC]\}){2,}|&(?:#0{0,5}38;|#[xX]0{0,4}26;){2,}"
+ESCAPE = re.compile(
+    rf"{AGAIN}|(?:(?!{AGAIN})(?:\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}}|\\x[0-9A-Fa-f]{{2}}|\\u\{{[0-9A-Fa-f]{{1,6}}\}}|&#[0-9]{{1,7}};|&#[xX][0-9A-Fa-f]{{1,6}};))+"
+)
+IS_AGAIN = re.compile(AGAIN)
+#: Compressed bytes (gzip, zlib, bzip2 or xz) with percent escapes, in which bytes that need none may stand as they are.
+PACKED_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%[0-9A-Fa-f]{2}|BZh[1-9]1AY%26SY|%42%5[aA]%68|%[fF][dD]7zXZ%00|%[fF][dD]%37)(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("layers", T.StringType())])
@@ -64,26 +76,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-class _Layer:
-    """A decoded text; cuts: (place here, start there, end there, is it one to one) from each cut to the next."""
+class _Cuts:
+    """Places by cuts (place here, start above, end above, is it one to one), each up to the next."""
 
-    def __init__(self, text: str, cuts: list[tuple[int, int, int, bool]], above, name: str):
-        self.text, self.cuts, self.above, self.name = text, cuts, above, name
-        self.at = [c[0] for c in cuts]
-        self.depth = above.depth + 1 if above else 0
+    def __init__(self, cuts: list[tuple[int, int, int, bool]]):
+        self.cuts, self.at = cuts, [c[0] for c in cuts]
 
     def up(self, start: int, end: int) -> tuple[int, int]:
-        """Where a span lies in the text from which all layers come."""
-        if not self.above:
-            return start, end
         at, first, last, exact = self.cuts[max(0, bisect.bisect_right(self.at, start) - 1)]
         a = first + (start - at) if exact else first
         at, first, last, exact = self.cuts[max(0, bisect.bisect_right(self.at, end - 1) - 1)]
-        b = first + (end - at) if exact else last
-        return self.above.up(a, b)
+        return a, first + (end - at) if exact else last
+
+
+class _Base64Places:
+    """Places of a text decoded from base64 digits, by rule: digits follow each other within a line, bytes within the characters."""
+
+    def __init__(self, run: str, at: int, n: int, text: str):
+        raw = np.frombuffer(run.encode(), np.uint8)
+        digit = (raw != 10) & (raw != 13)
+        first = np.flatnonzero(digit & ~np.concatenate(([False], digit[:-1])))
+        size = np.flatnonzero(digit & ~np.concatenate((digit[1:], [False]))) + 1 - first
+        self.line_at, self.line_digit = first + at, np.cumsum(size) - size
+        self.n = n
+        # characters beyond ASCII, and the bytes more than characters up to each
+        self.wide = self.extra = None
+        if not text.isascii():
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.wide = np.flatnonzero(code >= 128)
+            c = code[self.wide]
+            size = np.where((c >= 0xDC80) & (c <= 0xDCFF), 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
+            self.extra = np.concatenate(([0], np.cumsum(size - 1)))
+
+    def _byte(self, i: int) -> int:
+        return i if self.wide is None else i + int(self.extra[np.searchsorted(self.wide, i)])
+
+    def _digit(self, k: int) -> int:
+        line = int(np.searchsorted(self.line_digit, k, "right")) - 1
+        return int(self.line_at[line]) + k - int(self.line_digit[line])
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        a, b = self._byte(start), self._byte(end) - 1
+        return self._digit(a // 3 * 4 + a % 3), self._digit(min(self.n - 1, b // 3 * 4 + b % 3 + 1)) + 1
+
+
+class _Layer:
+    """A decoded text, and how its places map to those of the layer above."""
+
+    def __init__(self, text: str, places, above, name: str):
+        self.text, self.places, self.above, self.name = text, places, above, name
+        self.depth = above.depth + 1 if above else 0
+
+    def up(self, start: int, end: int) -> tuple[int, int]:
+        """Where a span lies in the text from which all layers come."""
+        layer = self
+        while layer.above:
+            start, end = layer.places.up(start, end)
+            layer = layer.above
+        return start, end
 
     def path(self) -> str:
-        return f"{self.above.path()}>{self.name}".lstrip(">") if self.above else ""
+        names, layer = [], self
+        while layer.above:
+            names.append(layer.name)
+            layer = layer.above
+        return ">".join(reversed(names))
 
 
 def _opener(data: bytes):
@@ -128,41 +185,30 @@ def _inflate(data: bytes, most: int, cut: list):
 
 
 def _readable(text: str) -> bool:
-    return all(c.isprintable() or c in "\n\r\t" for c in text)
-
-
-def _byte_places(text: str) -> list[int]:
-    """For each character of a text with escaped bytes, where its bytes begin; then the end."""
-    out, at = [], 0
-    for c in text:
-        out.append(at)
-        at += 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
-    return [*out, at]
+    return text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable()
 
 
 def _bytes_layers(data: bytes, above: _Layer, places, whole: tuple[int, int], name: str, most: int, cut: list):
-    """Layers of decoded bytes. places: where each byte comes from, as (start, end)."""
+    """Layers of decoded bytes. places: makes the map of the places of a text decoded from them."""
     seen = set()
-    while data not in seen:  # compressed bytes in compressed bytes
-        seen.add(data)
+    every = _Cuts([(0, *whole, False)])
+    while (mark := hashlib.sha256(data).digest()) not in seen:  # compressed bytes in compressed bytes
+        seen.add(mark)
         pieces = _inflate(data, most, cut)
         packed = next(pieces, None)
         if packed is None:
             break
         data, name, places = packed, f"{name}>inflate", None
         for more in pieces:
-            yield _Layer(more.decode("utf-8", "replace"), [(0, *whole, False)], above, name)
+            yield _Layer(more.decode("utf-8", "replace"), every, above, name)
     if data[:2] in (b"\xff\xfe", b"\xfe\xff") or 4 * data.count(0) > len(data):  # two bytes a character
         big = data[:2] == b"\xfe\xff" or data[:2] != b"\xff\xfe" and data[::2].count(0) > data[1::2].count(0)
-        yield _Layer(data.decode("utf-16-be" if big else "utf-16-le", "replace"), [(0, *whole, False)], above, f"{name}>utf16")
+        yield _Layer(data.decode("utf-16-be" if big else "utf-16-le", "replace"), every, above, f"{name}>utf16")
     if places is None:
-        text = data.decode("utf-8", "replace")
-        yield _Layer(text, [(0, *whole, False)], above, name)
+        yield _Layer(data.decode("utf-8", "replace"), every, above, name)
     else:
         text = data.decode("utf-8", "surrogateescape")
-        at = _byte_places(text)
-        text = re.sub("[\udc80-\udcff]", "\ufffd", text)
-        yield _Layer(text, [(i, places(at[i])[0], places(at[i + 1] - 1)[1], False) for i in range(len(text))], above, name)
+        yield _Layer(re.sub("[\udc80-\udcff]", "\ufffd", text) if not text.isascii() else text, places(text), above, name)
 
 
 def _rewritten(layer: _Layer, pattern, decode, name: str):
@@ -182,10 +228,13 @@ def _rewritten(layer: _Layer, pattern, decode, name: str):
     if parts:
         if at < len(layer.text):
             cuts.append((here, at, len(layer.text), True))
-        yield _Layer("".join(parts) + layer.text[at:], cuts, layer, name)
+        yield _Layer("".join(parts) + layer.text[at:], _Cuts(cuts), layer, name)
 
 
 def _percent(run: str):
+    if run.startswith("%2525"):
+        yield "%", 0, len(run)
+        return
     data = bytes.fromhex(run.replace("%", ""))
     text, at = data.decode("utf-8", "surrogateescape"), 0
     for c in text:
@@ -195,6 +244,9 @@ def _percent(run: str):
 
 
 def _escapes(run: str):
+    if IS_AGAIN.match(run):
+        yield run[0], 0, len(run)
+        return
     found = [(int(next(g for g in m.groups()[:3] if g), 16) if m[4] is None else int(m[4]), m.start(), m.end()) for m in ONE_ESCAPE.finditer(run)]
     k = 0
     while k < len(found):
@@ -205,36 +257,52 @@ def _escapes(run: str):
         k += 1
 
 
+def _escaped_bytes(run: str) -> bytes:
+    """The bytes that escapes stand for; none if one of them is not a byte."""
+    codes = [int(next(g for g in m.groups()[:3] if g), 16) if m[4] is None else int(m[4]) for m in ONE_ESCAPE.finditer(run)]
+    return bytes(codes) if max(codes) < 256 else b""
+
+
 def _children(layer: _Layer, most: int, cut: list):
     text = layer.text
     if "%" in text:
         yield from _rewritten(layer, PERCENT, _percent, "url")
-        for m in PERCENT.finditer(text):  # escaped compressed bytes
-            if len(m[0]) >= 24 and _opener(data := bytes.fromhex(m[0].replace("%", ""))):
+        for m in PACKED_PERCENT.finditer(text):  # escaped compressed bytes
+            if _opener(data := unquote_to_bytes(m[0])):
                 yield from _bytes_layers(data, layer, None, m.span(), "url", most, cut)
     if "\\" in text or "&#" in text:
         yield from _rewritten(layer, ESCAPE, _escapes, "unicode")
+        for m in ESCAPE.finditer(text):
+            if len(m[0]) >= 32 and not IS_AGAIN.match(m[0]) and (data := _escaped_bytes(m[0])) and _opener(data):
+                yield from _bytes_layers(data, layer, None, m.span(), "unicode", most, cut)
     runs = [((run, at),) for m in WRAPPED.finditer(text) for run, at in _wrapped(m[0], m.start())]
     runs += [tuple(_base64_parts(m[0], m.start())) for m in BASE64.finditer(text)]
-    done = []  # wrapped runs that were readable: what BASE64 finds in them are pieces of them
+    done, upto = [], []  # starts of wrapped runs that were readable, and the last end up to each: what BASE64 finds in them are pieces of them
     for parts in runs:
         for run, at in parts:
-            if any(a <= at and at + len(run) <= b for a, b in done):
+            k = bisect.bisect_right(done, at)
+            if k and at + len(run) <= upto[k - 1]:
                 continue
-            keep = [i for i, c in enumerate(run) if c not in "\r\n="] if "\n" in run else None
-            body = "".join(run[i] for i in keep) if keep else run.rstrip("=")
+            body = run.translate(_NOT_DIGITS) if "\n" in run else run.rstrip("=")
             if len(body) % 4 == 1:
                 continue
             data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-            place = (lambda i, keep=keep, at=at: at + (keep[i] if keep else i))
-            found = list(_bytes_layers(data, layer, lambda j, p=place, n=len(body): (p(j // 3 * 4 + j % 3), p(min(n - 1, j // 3 * 4 + j % 3 + 1)) + 1), (at, at + len(run)), "base64", most, cut))
-            yield from found
-            if any(x.name != "base64" or _readable(x.text) for x in found):
+            places = functools.partial(_Base64Places, run, at, len(body))
+            good = False
+            for x in _bytes_layers(data, layer, places, (at, at + len(run)), "base64", most, cut):
+                good |= x.name != "base64" or _readable(x.text)
+                yield x
+            if good:
                 if "\n" in run:
-                    done.append((at, at + len(run)))
+                    done.append(at)
+                    upto.append(max(at + len(run), upto[-1] if upto else 0))
                 break
 
 
+#: Takes line ends and fillers out.
+_NOT_DIGITS = dict.fromkeys(map(ord, "\r\n="))
+
+
 def _wrapped(block: str, at: int):
     """The wrapped runs of a block of lines: lines of one width with what follows them, if that is shorter."""
     lines = [(m.start(), m.end(1), m.end(1) - m.start()) for m in LINE.finditer(block)]
@@ -260,13 +328,14 @@ def _base64_parts(run: str, at: int):
 
 def scan(text: str, most: int) -> tuple[list[tuple[int, int, int, int, str]], bool]:
     """(start, kind, end, depth, layers) of all secrets of a text, and whether a layer was cut at the bound."""
-    top = _Layer(text, [], None, "")
+    top = _Layer(text, None, None, "")
     found = {(s, k, e): (0, "") for s, k, e in base_spans(text)}
     cut: list[bool] = []
     if "%" in text or "\\" in text or "&#" in text or BASE64.search(text) or WRAPPED.search(text):
         seen, work = {hashlib.sha256(text.encode("utf-8", "replace")).digest()}, [top]
         while work:
-            for child in _children(work.pop(), most, cut):
+            layer = work.pop()
+            for child in _children(layer, most, cut):
                 mark = hashlib.sha256(child.text.encode("utf-8", "replace")).digest()
                 if mark in seen:
                     continue
@@ -275,6 +344,7 @@ def scan(text: str, most: int) -> tuple[list[tuple[int, int, int, int, str]], bo
                 for s, k, e in base_spans(child.text):
                     a, b = child.up(s, e)
                     found.setdefault((a, k, b), (child.depth, child.path()))
+            layer.text = ""
     return [(*key, *found[key]) for key in sorted(found)], any(cut)
 
 
