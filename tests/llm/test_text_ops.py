@@ -365,3 +365,57 @@ def test_language_id(spark):
     assert langid.identify(held.limit(0), model, bounds).count() == 0
     assert langid.fit(df.limit(0)) == (None, {})
     assert {r.lang_pred for r in langid.identify(held, None, {}).collect()} == {"und"}
+
+
+def test_escape_signs_escaped_again_and_again():
+    deep = 100_000
+    for text in (
+        "x %" + "25" * deep + " then token=abcdef12",
+        "%" + "25" * deep + "74oken%" + "25" * (deep // 3) + "3Dabcdef12",
+        "\\" + "u005c" * deep + "u0074oken=abcdef12",
+        "&" + "#38;" * deep + "#116;oken=abcdef12",
+        "token=abcdef12 %" + "25" * deep,
+    ):
+        found, short = secrets.scan(text, 1 << 26)
+        assert not short and [text[s:e].endswith("abcdef12") for s, k, e, _, _ in found if k == 0] == [True]
+
+
+def test_escaped_signs_between_layers_of_other_kinds():
+    text = "%5cu0025" * 300 + "41"
+    assert secrets.scan(text, 1 << 20) == ([], False)
+    for inner in ("token=abcdef12", "%2574oken=abcdef12", "\\u005cu005cu0074oken=abcdef12"):
+        hidden = base64.b64encode(inner.encode()).decode()
+        assert [(s, k, e) for s, k, e, _, _ in secrets.scan(f"é {hidden} z", 1 << 20)[0]] == [(2, 0, 2 + len(hidden) - hidden.count("="))], inner
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, __import__("bz2").compress, __import__("lzma").compress])
+def test_compressed_bytes_in_escapes(pack):
+    data = pack(f"password = hunter2secret and {KEY}".encode())
+    for hidden in (urllib.parse.quote(data), "".join(f"%{b:02x}" for b in data), "".join(f"\\x{b:02x}" for b in data), "".join(f"&#{b};" for b in data), "".join(f"\\u{b:04x}" for b in data)):
+        text = f"é {hidden} end"
+        assert {(s, k, e) for s, k, e, d, _ in secrets.scan(text, 1 << 20)[0] if d} >= {(2, 0, 2 + len(hidden)), (2, 1, 2 + len(hidden))}, hidden[:40]
+
+
+def test_long_base64_takes_bounded_memory():
+    import tracemalloc
+
+    plain = "some readable text, line after line. " * 120_000 + " é token=abcdef12 "
+    text = base64.b64encode(plain.encode()).decode()
+    tracemalloc.start()
+    found, _ = secrets.scan(text, 1 << 26)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    start = plain.encode().index(b"token")
+    assert [(s, k) for s, k, _, _, _ in found] == [(start // 3 * 4 + start % 3, 0)] and most < 12 * len(text)
+
+
+def test_many_wrapped_runs_take_linear_time():
+    import time
+
+    line = base64.b64encode(b"plain words here and there, all of them readable 12345678").decode()
+    took = []
+    for n in (1000, 8000):
+        t = time.process_time()
+        secrets.scan("\n\n".join(f"{line}\n{line[:-4]}{i:04d}\n{line}" for i in range(n)), 1 << 20)
+        took.append(time.process_time() - t)
+    assert took[1] < 24 * took[0]
