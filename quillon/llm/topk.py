@@ -29,8 +29,13 @@ from quillon.llm.common import cut, small_batches
 
 K, SCALE = 5, 256
 SHARD_ROWS, PACK_ROWS = 16_384, 128
-#: Each level is this share of the one before; processing stops at a level where at most this share of a shard may be among the best.
-LEVEL, FEW = 0.75, 1 / 256
+#: Processing stops at a level where at most this share of a shard may be among the best; below a level at which all dimensions together are this share of the
+#: score to beat the next level is 0. A dimension's values have a table of segments if they span fewer than MOST_SEGMENTS; else they are searched.
+FEW, SMALL, MOST_SEGMENTS = 1 / 256, 1 / 8, 1 << 12
+#: What each processed posting adds to its vector's sum, all sums being whole: under 2 ** 12 dimensions stay a fraction.
+COUNT = 1 / (1 << 12)
+#: Sums of products below this are exact in floats, together with the fraction that counts.
+MOST_SUM = 1 << 40
 #: The ends of scores, and of what ranks them.
 LONG, MOST = (1 << 63) - 1, 10**38 - 1
 
@@ -45,7 +50,8 @@ def numbers(vector: str, scale: int = SCALE) -> tuple[Column, Column]:
 def matrix(vectors: pa.Array, width: int) -> np.ndarray:
     """A row for each vector, as floats while all sums of products are exact in them, else as Python's numbers."""
     flat, lengths = np.asarray(vectors.flatten(), np.int64), np.asarray(vectors.value_lengths(), np.int64)
-    small = width < 1 << 12 and (not len(flat) or -(1 << 20) < flat.min() <= flat.max() < 1 << 20)
+    most = max(-int(flat.min(initial=0)), int(flat.max(initial=0)))
+    small = width < 1 / COUNT and width * most * most < MOST_SUM
     out = np.zeros((len(vectors), width), np.float64 if small else object)
     first = np.cumsum(lengths) - lengths
     out[np.repeat(np.arange(len(vectors)), lengths), np.arange(len(flat)) - np.repeat(first, lengths)] = flat if small else flat.astype(object)
@@ -53,14 +59,25 @@ def matrix(vectors: pa.Array, width: int) -> np.ndarray:
 
 
 class Shard:
-    """An index of vectors: for each dimension the values in order, and whose they are."""
+    """An index of vectors: for each dimension its postings by value, and where the segment of each value begins."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.exact = vectors.dtype == np.float64
+        self.exact = vectors.dtype == np.float64 and vectors.size > 0
         if self.exact:
-            self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+            self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
             self.values = np.take_along_axis(vectors.T, self.order, 1)
+            self.low, self.span = int(vectors.min()), int(vectors.max() - vectors.min()) + 2
+            self.begins = None
+            if self.span <= MOST_SEGMENTS:
+                every = np.arange(self.low, self.low + self.span)
+                self.begins = np.stack([np.searchsorted(x, every) for x in self.values])
+
+    def begin(self, dims: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """In each dimension the first posting of at least a value."""
+        if self.begins is None:
+            return np.array([np.searchsorted(self.values[d], x) for d, x in zip(dims, values)], np.int64)
+        return self.begins[dims, np.clip(values - self.low, 0, self.span - 1)]
 
     def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return self.vectors[rows] @ query
@@ -72,41 +89,33 @@ class Shard:
         if not self.exact or query.dtype != np.float64 or n <= k:
             return every, (self.vectors.astype(object) @ query.astype(object)) if n else np.zeros(0), 0
         dims = np.flatnonzero(query)
-        # postings of a dimension in the order of their impacts: from the top for positive numbers, from the bottom for negative ones
-        done = np.zeros(len(dims), np.int64)
-        ends = [int((self.values[d, -1] if query[d] > 0 else self.values[d, 0]) * query[d]) for d in dims]
-        level = max(ends, default=0)
-        total, count, known, processed, beat = np.zeros(n), np.zeros(n), np.zeros(n, bool), 0, -np.inf
-        best = np.zeros(0)
+        q = query[dims].astype(np.int64)
+        up = q > 0
+        # positive numbers read their dimension from the top down, negative ones from the bottom up; what lies between a and b isn't processed
+        a, b = np.zeros(len(dims), np.int64), np.full(len(dims), n)
+        level = int((np.where(up, self.values[dims, -1], self.values[dims, 0]) * q).max(initial=0))
+        total, known, processed = np.zeros(n), np.zeros(n, bool), 0
+        best, beat = np.zeros(0), -np.inf
         while True:
-            level = max(0, int(level * LEVEL))
-            rows, impacts = [], []
-            for j, d in enumerate(dims):
-                if ends[j] < level:
-                    continue
-                x, q = self.values[d], int(query[d])
-                if q > 0:  # all with x * q >= level
-                    upto = n - int(np.searchsorted(x, -(-level // q), "left"))
-                    part = slice(n - upto, n - done[j])
-                else:
-                    upto = int(np.searchsorted(x, level // q, "right"))
-                    part = slice(done[j], upto)
-                if upto > done[j]:
-                    rows.append(self.order[d, part])
-                    impacts.append(x[part] * q)
-                    done[j] = upto
-            if rows:
-                at = np.concatenate(rows)
-                total += np.bincount(at, np.concatenate(impacts), n)
-                count += np.bincount(at, minlength=n)
+            # halves, as long as what is open may weigh more than a part of the score to beat
+            level = level // 2 if level * len(dims) > max(beat, 0) * SMALL else 0
+            to_b = np.where(up, self.begin(dims, -(-level // q)), b)
+            to_a = np.where(up, a, self.begin(dims, level // q + 1))
+            parts = [(d, slice(x, y)) for d, x, y in zip(dims.tolist(), np.where(up, to_b, a).tolist(), np.where(up, b, to_a).tolist()) if x < y]
+            if parts:
+                at = np.concatenate([self.order[d, x] for d, x in parts])
+                # the number of processed dimensions goes into the sums' fractions
+                total += np.bincount(at, np.concatenate([self.values[d, x] * query[d] for d, x in parts]) + COUNT, n)
                 processed += len(at)
+            a, b = to_a, to_b
             # the best of those that aren't scored yet, by their sums
             some = np.argpartition(total, n - k)[n - k :]
             some = some[~known[some]]
             known[some] = True
             best = np.sort(np.concatenate((best, self.scores(query, some))))[-k:]
             beat = best[0] if len(best) == k else beat
-            possible = np.flatnonzero(total + (len(dims) - count) * level >= beat)
+            whole = np.floor(total)
+            possible = np.flatnonzero(whole + (len(dims) - (total - whole) / COUNT) * level >= beat)
             if level == 0 or len(possible) <= max(4 * k, n * FEW):
                 return possible, self.scores(query, possible), processed
 
