@@ -10,22 +10,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.resample import fft_resample, resample
+
 
 class DatasetMissing(FileNotFoundError):
     """A source that must be there isn't."""
 
 
-def decode_wav(data: bytes, rate: int) -> np.ndarray:
-    """Mono floats at a rate: 16-bit PCM only, channels averaged, linear interpolation."""
+METHODS = ("linear", "sinc", "fft")
+
+
+def decode_wav(data: bytes, rate: int, method: str = "linear", channel: str = "mean") -> np.ndarray:
+    """Mono floats at a rate: 16-bit PCM only, the mean of the channels or the left one; resampled by linear interpolation, a windowed
+    sinc or the spectrum."""
+    if method not in METHODS or channel not in ("mean", "left"):
+        raise ValueError(f"{method}, {channel}")
     with wave.open(io.BytesIO(data)) as f:
         if f.getsampwidth() != 2:
             raise ValueError(f"{8 * f.getsampwidth()}-bit samples")
-        x = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels()).mean(1) / 32768.0
+        x = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels())
+        x = (x[:, 0] if channel == "left" else x.mean(1)) / 32768.0
         own = f.getframerate()
-    if own != rate and len(x):
-        n = int(round(len(x) * rate / own))
-        x = np.interp(np.arange(n) * own / rate, np.arange(len(x)), x)
-    return x
+    if own == rate or not len(x):
+        return x
+    if method == "sinc":
+        return resample(x, own, rate)
+    n = int(round(len(x) * rate / own))
+    return fft_resample(x, n) if method == "fft" else np.interp(np.arange(n) * own / rate, np.arange(len(x)), x)
+
+
+def fitted(x: np.ndarray, size: int) -> np.ndarray:
+    """The middle of a series that is longer than size; a shorter one with zeros after it."""
+    first = max(0, len(x) - size) // 2
+    return np.concatenate((x[first : first + size], np.zeros(max(0, size - len(x)))))
 
 
 def encode_wav(x: np.ndarray, rate: int) -> bytes:
@@ -36,8 +53,9 @@ def encode_wav(x: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def read_recordings(spark: SparkSession, folders: list[tuple[str, str]], rate: int = 16000, pattern: str = "*.wav", strict_rate: bool = False) -> DataFrame:
-    """path, source, label_dir (the folder above the file), length, samples, error; folders: (path, source). Missing folders are skipped."""
+def read_recordings(spark: SparkSession, folders: list[tuple[str, str]], rate: int = 16000, pattern: str = "*.wav", strict_rate: bool = False, method: str = "linear", channel: str = "mean", size: int | None = None) -> DataFrame:
+    """path, source, label_dir (the folder above the file), length, samples, error; folders: (path, source). Missing folders are skipped.
+    With a size, recordings are cut to their middle or filled up to it."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = []
@@ -61,7 +79,8 @@ def read_recordings(spark: SparkSession, folders: list[tuple[str, str]], rate: i
                     with wave.open(io.BytesIO(c.as_py())) as f:
                         if f.getframerate() != rate:
                             raise ValueError(f"rate {f.getframerate()}")
-                out.append({"samples": decode_wav(c.as_py(), rate).tolist(), "error": None})
+                x = decode_wav(c.as_py(), rate, method, channel)
+                out.append({"samples": (x if size is None else fitted(x, size)).tolist(), "error": None})
             except Exception as e:  # what a file holds is not known before
                 out.append({"samples": None, "error": f"{type(e).__name__}: {e}"})
         return pa.array(out, pa.struct([("samples", pa.list_(pa.float64())), ("error", pa.string())]))
