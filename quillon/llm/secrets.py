@@ -41,6 +41,8 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Runs are maximal, so asking for the length here drops what dropping short matches would.
 HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 
+#: Characters of a base64 run whose places are worked out when one is asked for.
+AT_ONCE = 4096
 #: Bytes that pieces of a long layer have in common, and what an xz layer may take to decompress.
 OVERLAP, XZ_MEMORY = 64 << 10, 128 << 20
 #: A run that may be base64, over several lines if they are long.
@@ -93,12 +95,18 @@ class _Base64Places:
     """Places of a text decoded from base64 digits, by rule: digits follow each other within a line, bytes within the characters."""
 
     def __init__(self, run: str, at: int, n: int, text: str):
+        self.made, self.n = (run, at, text), n
+        if len(run) > AT_ONCE:  # long texts aren't kept
+            self._make()
+
+    def _make(self) -> None:
+        run, at, text = self.made
+        self.made = None
         raw = np.frombuffer(run.encode(), np.uint8)
         digit = (raw != 10) & (raw != 13)
         first = np.flatnonzero(digit & ~np.concatenate(([False], digit[:-1])))
         size = np.flatnonzero(digit & ~np.concatenate((digit[1:], [False]))) + 1 - first
         self.line_at, self.line_digit = first + at, np.cumsum(size) - size
-        self.n = n
         # characters beyond ASCII, and the bytes more than characters up to each
         self.wide = self.extra = None
         if not text.isascii():
@@ -116,6 +124,8 @@ class _Base64Places:
         return int(self.line_at[line]) + k - int(self.line_digit[line])
 
     def up(self, start: int, end: int) -> tuple[int, int]:
+        if self.made:
+            self._make()
         a, b = self._byte(start), self._byte(end) - 1
         return self._digit(a // 3 * 4 + a % 3), self._digit(min(self.n - 1, b // 3 * 4 + b % 3 + 1)) + 1
 
