@@ -226,31 +226,71 @@ class AppParams:
     top_level: int = 3
 
 
-def app_step(s: dict, t: float, detected: bool, c: AppParams = AppParams()) -> list[dict]:
-    """Calibrate, monitor, intervene at rising levels, cool down. Timeouts are looked at when an event arrives."""
+APP_FIELDS = "t double, mode string, level int, n int, success boolean"
+
+
+def _app_go(s: dict, out: list[dict], t: float, mode: str, success: bool | None = None, **more) -> None:
+    s.update(mode=mode, since=t, **more)
+    out.append({"t": t, "mode": mode, "level": s["level"], "n": s["n"], "success": success})
+
+
+def _app_start(s: dict, t: float) -> None:
     if not s:
-        s.update(mode="CALIBRATE", since=t, level=0, n=0, heard=t, until=t)
-    out = []
+        s.update(mode="CALIBRATE", since=t, level=1, n=0, heard=t, until=t)
 
-    def go(mode: str, **more):
-        s.update(mode=mode, since=t, **more)
-        out.append({"t": t, "mode": mode, "level": s["level"], "n": s["n"]})
 
-    if s["mode"] == "CALIBRATE" and t - s["since"] >= c.calibrate_s:
-        go("MONITOR")
-    elif s["mode"] == "MONITOR" and detected:
-        if s["n"] >= c.budget:
-            go("COOLDOWN", until=t + c.rest_s)  # the night's budget stays spent
-        else:
-            go("INTERVENE", level=1, n=s["n"] + 1, heard=t)
+def _app_detected(s: dict, out: list[dict], t: float, c: AppParams) -> None:
+    """The level rises at each detection more than escalate_s after the intervention's start, before the timeout is looked at, so that the rest after
+    it is that of the raised level."""
+    if s["mode"] == "MONITOR" and s["n"] >= c.budget:
+        _app_go(s, out, t, "COOLDOWN", until=t + c.rest_s)  # the night's budget stays spent
+    elif s["mode"] == "MONITOR":
+        _app_go(s, out, t, "INTERVENE", level=1, n=s["n"] + 1)
     elif s["mode"] == "INTERVENE":
-        if detected:
-            s["heard"] = t
-        if t - s["heard"] >= c.quiet_s or t - s["since"] >= c.timeout_s:
-            go("COOLDOWN", until=t + c.cooldown_s * s["level"])
-        elif detected and t - s["since"] > c.escalate_s and s["level"] < c.top_level:  # since the intervention's start
+        if t - s["since"] > c.escalate_s and s["level"] < c.top_level:
             s["level"] += 1
-            out.append({"t": t, "mode": "INTERVENE", "level": s["level"], "n": s["n"]})
-    elif s["mode"] == "COOLDOWN" and t >= s["until"]:
-        go("MONITOR", level=0)
+            out.append({"t": t, "mode": "INTERVENE", "level": s["level"], "n": s["n"], "success": None})
+        if t - s["since"] > c.timeout_s:
+            _app_go(s, out, t, "COOLDOWN", False, until=t + c.cooldown_s * s["level"])
+    s["heard"] = t
+
+
+def app_step(s: dict, t: float, detected: bool, c: AppParams = AppParams()) -> list[dict]:
+    """Calibrate, monitor, intervene at rising levels, cool down; success tells how an intervention ended. For rows that come all the time,
+    with or without a detection: in this order a tick ends calibration, takes a detection, ends a rest and finds a quiet spell longer than quiet_s."""
+    out: list[dict] = []
+    _app_start(s, t)
+    if s["mode"] == "CALIBRATE" and t - s["since"] >= c.calibrate_s:
+        _app_go(s, out, t, "MONITOR")
+    if detected:
+        _app_detected(s, out, t, c)
+    if s["mode"] == "COOLDOWN" and t >= s["until"]:
+        _app_go(s, out, t, "MONITOR")
+    if s["mode"] == "INTERVENE" and t - s["heard"] > c.quiet_s:
+        _app_go(s, out, t, "COOLDOWN", True, until=t + c.cooldown_s * s["level"])
+    return out
+
+
+def app_event(s: dict, t: float, detected: bool, c: AppParams = AppParams()) -> list[dict]:
+    """app_step() for rows that come now and then: what time alone brings is done by app_due(), at its own time."""
+    out: list[dict] = []
+    _app_start(s, t)
+    if detected:
+        _app_detected(s, out, t, c)
+    return out
+
+
+def app_deadline(s: dict, c: AppParams = AppParams()) -> float | None:
+    """When time alone brings the next change of mode."""
+    if not s:
+        return None
+    return {"CALIBRATE": s["since"] + c.calibrate_s, "COOLDOWN": s["until"], "INTERVENE": s["heard"] + c.quiet_s}.get(s["mode"])
+
+
+def app_due(s: dict, t: float, c: AppParams = AppParams()) -> list[dict]:
+    out: list[dict] = []
+    if s["mode"] == "INTERVENE":
+        _app_go(s, out, t, "COOLDOWN", True, until=t + c.cooldown_s * s["level"])
+    else:
+        _app_go(s, out, t, "MONITOR")
     return out

@@ -169,11 +169,41 @@ def rule_events(spark, d):
     return E.fold(rows, "user_id", ["tick"], step, dict, "start_ms double, end_ms double, confidence double", ["value", "ratio"], end)
 
 
-@query("app_modes")
+APP = E.AppParams(calibrate_s=3600, escalate_s=7200, timeout_s=86400, quiet_s=43200, budget=3, rest_s=172800, cooldown_s=3600)
+#: A row's state after each of the four things that a tick does; out holds what it emits, in order.
+APP_MODES = f"""
+WITH RECURSIVE {T}, b AS (SELECT user_id, tick, epoch(ts)::DOUBLE AS t, value >= 80 AS det FROM e),
+s AS (
+  SELECT user_id, tick, 'CALIBRATE' AS mode, t AS since, 1 AS level, 0 AS n, t AS heard, t AS until, []::STRUCT(t DOUBLE, mode VARCHAR, level INT, n INT, success BOOLEAN)[] AS out
+  FROM b WHERE tick = 0
+  UNION ALL
+  SELECT user_id, tick, CASE WHEN quiet THEN 'COOLDOWN' ELSE mode END, CASE WHEN quiet THEN t ELSE since END, level, n, heard,
+    CASE WHEN quiet THEN t + {APP.cooldown_s} * level ELSE until END,
+    out || CASE WHEN quiet THEN [{{'t': t, 'mode': 'COOLDOWN', 'level': level, 'n': n, 'success': true}}] ELSE [] END
+  FROM (SELECT *, mode = 'INTERVENE' AND t - heard > {APP.quiet_s} AS quiet FROM (
+    SELECT user_id, tick, t, CASE WHEN rested THEN 'MONITOR' ELSE mode END AS mode, CASE WHEN rested THEN t ELSE since END AS since, level, n, heard, until,
+      out || CASE WHEN rested THEN [{{'t': t, 'mode': 'MONITOR', 'level': level, 'n': n, 'success': NULL}}] ELSE [] END AS out
+    FROM (SELECT *, mode = 'COOLDOWN' AND t >= until AS rested FROM (
+      SELECT user_id, tick, t, CASE WHEN spent OR late THEN 'COOLDOWN' WHEN begins THEN 'INTERVENE' ELSE mode END AS mode, CASE WHEN spent OR late OR begins THEN t ELSE since END AS since,
+        level2 AS level, n2 AS n, CASE WHEN det THEN t ELSE heard END AS heard,
+        CASE WHEN spent THEN t + {APP.rest_s} WHEN late THEN t + {APP.cooldown_s} * level2 ELSE until END AS until,
+        out || CASE WHEN spent THEN [{{'t': t, 'mode': 'COOLDOWN', 'level': level2, 'n': n2, 'success': NULL}}] WHEN begins OR level2 > level THEN [{{'t': t, 'mode': 'INTERVENE', 'level': level2, 'n': n2, 'success': NULL}}] ELSE [] END
+          || CASE WHEN late THEN [{{'t': t, 'mode': 'COOLDOWN', 'level': level2, 'n': n2, 'success': false}}] ELSE [] END AS out
+      FROM (SELECT *, det AND mode = 'MONITOR' AND n >= {APP.budget} AS spent, det AND mode = 'MONITOR' AND n < {APP.budget} AS begins, det AND mode = 'INTERVENE' AND t - since > {APP.timeout_s} AS late,
+          CASE WHEN det AND mode = 'MONITOR' AND n < {APP.budget} THEN 1 WHEN det AND mode = 'INTERVENE' AND t - since > {APP.escalate_s} AND level < {APP.top_level} THEN level + 1 ELSE level END AS level2,
+          CASE WHEN det AND mode = 'MONITOR' AND n < {APP.budget} THEN n + 1 ELSE n END AS n2
+        FROM (SELECT user_id, tick, t, det, CASE WHEN ready THEN 'MONITOR' ELSE mode END AS mode, CASE WHEN ready THEN t ELSE since END AS since, level, n, heard, until,
+            CASE WHEN ready THEN [{{'t': t, 'mode': 'MONITOR', 'level': level, 'n': n, 'success': NULL}}] ELSE [] END AS out
+          FROM (SELECT b.*, mode, since, level, n, heard, until, s.mode = 'CALIBRATE' AND b.t - s.since >= {APP.calibrate_s} AS ready FROM s JOIN b ON b.user_id = s.user_id AND b.tick = s.tick + 1))))))))
+SELECT user_id, o.t AS t, o.mode AS mode, o.level AS level, o.n AS n, o.success AS success FROM (SELECT user_id, unnest(out) AS o FROM s)
+"""
+
+
+@query("app_modes", APP_MODES)
 def app_modes(spark, d):
-    step = lambda s, r: E.app_step(s, float(r[0]), float(r[1]) >= 80, E.AppParams(calibrate_s=3600, escalate_s=7200, timeout_s=86400, quiet_s=43200, budget=3, rest_s=172800, cooldown_s=3600))
+    step = lambda s, r: E.app_step(s, float(r[0]), float(r[1]) >= 80, APP)
     rows = ticks(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return E.fold(rows, "user_id", ["tick"], step, dict, "t double, mode string, level int, n int", ["t", "value"])
+    return E.fold(rows, "user_id", ["tick"], step, dict, E.APP_FIELDS, ["t", "value"])
 
 
 HOURS = 24 * 30
