@@ -229,11 +229,31 @@ def interval_event_matching(spark, d):
     return J.match_events(ev, ep, "user_id", 5.0)
 
 
-@query("night_scores", f"WITH {MATCH}, a AS (SELECT r.user_id, count(r.episode) AS matched, count(*) FILTER (WHERE r.episode IS NULL) AS false_events, avg(r.t - ep.start_s) AS lm, quantile_cont(r.t - ep.start_s, 0.9) AS lp FROM r LEFT JOIN ep ON r.user_id = ep.user_id AND r.episode = ep.episode GROUP BY 1), b AS (SELECT user_id, count(*) AS episodes FROM ep GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(episodes, 0) AS episodes, coalesce(matched, 0) AS matched, coalesce(false_events, 0) AS false_events, round(lm, 3) AS latency_mean, round(lp, 3) AS latency_p90, round(coalesce(matched, 0) / greatest(coalesce(episodes, 0), 1)::DOUBLE, 6) AS detection_rate, round(coalesce(false_events, 0) / {HOURS}.0::DOUBLE, 6) AS false_per_hour FROM b FULL JOIN a ON a.user_id = b.user_id")
+NIGHT_SCORES = f"""
+WITH {MATCH}, q AS (SELECT user_id, t FROM v WHERE value < 40), f AS (SELECT user_id, t FROM v WHERE event_type = 'error'),
+x AS (SELECT r.*, ep.start_s, ep.end_s, (SELECT min(q.t) FROM q WHERE q.user_id = r.user_id AND q.t >= r.t) AS stop_t, (SELECT min(f.t) FROM f WHERE f.user_id = r.user_id AND f.t >= r.t) AS end_t
+  FROM r LEFT JOIN ep ON r.user_id = ep.user_id AND r.episode = ep.episode),
+y AS (SELECT user_id, episode, CASE WHEN episode IS NOT NULL THEN greatest(0, t - start_s) END AS latency, CASE WHEN episode IS NOT NULL AND stop_t IS NOT NULL THEN greatest(0, stop_t - end_s) END AS stop_latency,
+  CASE WHEN episode IS NOT NULL AND end_t IS NOT NULL THEN greatest(0, end_t - end_s) END AS end_delay FROM x),
+a AS (SELECT user_id, count(episode) AS matched, count(*) FILTER (WHERE episode IS NULL) AS false_events, avg(latency) AS lm, quantile_cont(latency, 0.9) AS lp,
+  avg(stop_latency) AS sm, quantile_cont(stop_latency, 0.9) AS sp, avg(end_delay) AS em FROM y GROUP BY 1),
+b AS (SELECT user_id, count(*) AS episodes FROM ep GROUP BY 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(episodes, 0) AS episodes, coalesce(matched, 0) AS matched, coalesce(false_events, 0) AS false_events,
+  round(lm, 3) AS latency_mean, round(lp, 3) AS latency_p90, round(sm, 3) AS stop_latency_mean, round(sp, 3) AS stop_latency_p90, round(em, 3) AS end_delay_mean,
+  round(coalesce(matched, 0) / greatest(coalesce(episodes, 0), 1)::DOUBLE, 6) AS detection_rate, round(coalesce(false_events, 0) / {HOURS}.0::DOUBLE, 6) AS false_per_hour
+FROM b FULL JOIN a ON a.user_id = b.user_id
+"""
+
+
+@query("night_scores", NIGHT_SCORES)
 def night_scores(spark, d):
+    """Clicks as detections of purchases; values under 40 are ticks without activity, the next error ends what a click began."""
     ev, ep = matched(spark, d)
-    s = J.night_scores(J.match_events(ev, ep, "user_id", 5.0), ep, "user_id", HOURS)
-    return s.select("user_id", "episodes", "matched", "false_events", F.round("latency_mean", 3).alias("latency_mean"), F.round("latency_p90", 3).alias("latency_p90"), F.round("detection_rate", 6).alias("detection_rate"), F.round("false_per_hour", 6).alias("false_per_hour"))
+    v = seconds(spark, d)
+    ends = J.first_after(ev, v.where("event_type = 'error'").select("user_id", "t"), "user_id", "t", "end_t").where("end_t IS NOT NULL")
+    s = J.night_scores(J.match_events(ev, ep, "user_id", 5.0), ep, "user_id", HOURS, v.where("value < 40").select("user_id", "t"), ends)
+    rounded = [F.round(c, 3).alias(c) for c in ("latency_mean", "latency_p90", "stop_latency_mean", "stop_latency_p90", "end_delay_mean")]
+    return s.select("user_id", "episodes", "matched", "false_events", *rounded, F.round("detection_rate", 6).alias("detection_rate"), F.round("false_per_hour", 6).alias("false_per_hour"))
 
 
 @query("first_after", f"WITH {EV} SELECT ev.user_id, ev.event_id, ev.t, min(p.start_s) AS next_t FROM ev LEFT JOIN ep p ON p.user_id = ev.user_id AND p.start_s >= ev.t GROUP BY ALL")
