@@ -8,17 +8,17 @@ block product in numpy, so that a full cell is spread over many tasks. Work grow
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.arrays import let, mean
+from quillon.operators import written
+from quillon.operators.ranking import global_rank
+from quillon.operators.written import kept
 
 DIRECTIONS, CHUNK = 3, 2000
 #: Cells that are few enough to send their counts to every executor.
@@ -36,23 +36,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name where all executors can read and write."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(at)
-    return f"{at}/quillon-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def directions(rows: DataFrame, v: str, dims: int) -> np.ndarray:
     """Unit directions in which the vectors vary most: eigenvectors of their covariance, which has dims x dims numbers."""
 
@@ -96,7 +79,7 @@ def similar_pairs(df: DataFrame, id: str, unit: str, least: float, dims: int) ->
     spread = rows.select("id", "v", "cell", "chunk", F.explode(steps).alias("s"))
     left = spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x + y)).join(other, "c2").select("id", "v", F.col("cell").alias("c1"), "c2", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("j"))
     right = spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x - y)).join(other, "c2").select("id", "v", F.col("c2").alias("c1"), F.col("cell").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("i"), F.col("chunk").alias("j"))
-    right = right.toDF(*right.columns)
+    right = right.toDF(*right.columns)  # columns of their own: both sides come from the same rows, and the cogroup can't tell them apart
     id_type = rows.schema["id"].dataType
 
     def block(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -121,16 +104,16 @@ def clusters(nodes: DataFrame, id: str, pairs: DataFrame) -> DataFrame:
     """(id, root, cluster): root is the smallest id of the component; cluster numbers components by it, from 0."""
     both = kept(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
+    since = written.marked()
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
         up = labels.select(F.col("id").alias("root"), F.col("root").alias("top"))
         step = kept(labels.join(up, "root").join(near, "id").select("id", F.least("root", "m", "top").alias("root"), F.col("root").alias("old")))
         labels = step.select("id", "root")
+        written.drop(since, 1)  # the labels before these
         if step.where("root <> old").isEmpty():
             break
     whole = nodes.select(F.col(id).alias("id")).join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    from quillon.operators.ranking import global_rank
-
     roots = whole.select("root").distinct()
     numbered = global_rank(roots, F.floor(F.col("root") / 65536), ["root"], "k").select("root", (F.col("k") - 1).alias("cluster"))
     return whole.join(numbered, "root").select("id", "root", "cluster")

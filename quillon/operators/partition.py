@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import hash32
+from quillon.operators import written
 from quillon.operators.ranking import global_rank
 
 #: The split that wins when copies disagree comes first.
@@ -45,25 +46,37 @@ def per_key_split(df: DataFrame, key: list[str], id: str, seed, share: float, na
     return df.withColumn("split", F.when(rank <= F.ceil(F.lit(share) * F.count(F.lit(1)).over(w)), names[0]).otherwise(names[1]))
 
 
+def with_best(df: DataFrame, key: str, **aggs: Column) -> DataFrame:
+    """Add aggregates over each key's rows. They are summed up in the tasks that read the rows and joined back, so that the rows of a hot key needn't meet
+    (Spark splits it in the join); df is read twice. Rows with a null key are a key of their own."""
+    best = df.groupBy(F.col(key).alias("__key")).agg(*[a.alias(n) for n, a in aggs.items()])
+    return df.join(best, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+
+
 def isolate(df: DataFrame, key: str, reason: str) -> DataFrame:
     """Rows that aren't dropped yet and whose split isn't their key's winning split are dropped."""
     live = F.col("drop_reason").isNull() & F.col(key).isNotNull()
-    best = F.min(F.when(live, priority(F.col("split")))).over(Window.partitionBy(key))
-    return df.withColumn("drop_reason", F.when(live & (priority(F.col("split")) > best), reason).otherwise(F.col("drop_reason")))
+    out = with_best(df, key, __best=F.min(F.when(live, priority(F.col("split")))))
+    return out.withColumn("drop_reason", F.when(live & (priority(F.col("split")) > F.col("__best")), reason).otherwise(F.col("drop_reason"))).drop("__best")
 
 
 def resolve(df: DataFrame, id: str = "id", key: str = "md5", label: str = "label") -> DataFrame:
-    """Add drop_reason: conflicting copies, later copies, conflicting clusters, then isolation by group and by cluster, in this order."""
-    w = Window.partitionBy(key)
-    out = df.withColumn("drop_reason", F.when(F.min(label).over(w) != F.max(label).over(w), "exact_conflict"))
-    live = F.col("drop_reason").isNull()
-    first = F.row_number().over(w.orderBy(F.col("drop_reason").isNotNull(), priority(F.col("split")), id))
-    out = out.withColumn("drop_reason", F.when(live & (first > 1), "exact_dup").otherwise(F.col("drop_reason")))
-    c = Window.partitionBy("dup_cluster")
+    """Add drop_reason: conflicting copies, later copies, conflicting clusters, then isolation by group and by cluster, in this order.
+
+    df is a manifest: an id names one row. Each step's result is written, as the next one reads it twice."""
+    since = written.marked()
+    rows = written.kept(df)
+    order = F.struct(priority(F.col("split")).alias("p"), F.col(id).alias("id"))
+    rows = with_best(rows, key, __low=F.min(label), __high=F.max(label), __first=F.min(order))
+    reason = F.when(F.col("__low") != F.col("__high"), "exact_conflict").when(order != F.col("__first"), "exact_dup")
+    rows = written.kept(rows.withColumn("drop_reason", reason).drop("__low", "__high", "__first"))
     live = F.col("drop_reason").isNull() & F.col("dup_cluster").isNotNull()
     own = F.when(live, F.col(label))
-    out = out.withColumn("drop_reason", F.when(live & (F.min(own).over(c) != F.max(own).over(c)), "cluster_conflict").otherwise(F.col("drop_reason")))
-    return isolate(isolate(out, "group", "group_split"), "dup_cluster", "cluster_split")
+    rows = with_best(rows, "dup_cluster", __low=F.min(own), __high=F.max(own))
+    rows = rows.withColumn("drop_reason", F.when(live & (F.col("__low") != F.col("__high")), "cluster_conflict").otherwise(F.col("drop_reason"))).drop("__low", "__high")
+    rows = written.kept(isolate(written.kept(rows), "group", "group_split"))
+    written.drop(since, 1)
+    return isolate(rows, "dup_cluster", "cluster_split")
 
 
 def check_invariants(df: DataFrame) -> DataFrame:

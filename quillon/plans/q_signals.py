@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import arrays as A
 from quillon.functions import dsp
 from quillon.operators import episodes as E
-from quillon.operators.neighbours import shared_folder
+from quillon.operators.written import shared_folder
 from quillon.plans.q_arrays import X, frames
 from quillon.plans.q_metrics import r6
 from quillon.plans.q_series import EPISODES
