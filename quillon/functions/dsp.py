@@ -30,10 +30,20 @@ class FeatureSpec:
     frames: int | None = None  # frames to pad with zeros or to cut to, before scaling
     flat: float = 0.0  # minmax: a range below this gives zeros
     over: float = 0.0  # minmax: added to the range
+    centred: bool = False  # frames around multiples of the hop, with zeros beyond the ends
+    whole: bool = False  # zeros at the end, up to a whole number of hops
+    by_window: bool = False  # spectra over the sum of the window
+    mel: str = "log10"  # or "linear_log": linear up to 1,000 Hz
+    equal_area: bool = False  # triangles over half their width in Hz
+    top_db: float | None = None  # decibels under the loudest band, none lower than this
 
 
 SPEC_1 = FeatureSpec()
 MAGNITUDE = FeatureSpec("magnitude-minmax", magnitude=True, eps=1e-6, scale="minmax", periodic=False, frames=61, flat=1e-9)
+#: Decibels under the loudest band, on a scale that is linear up to 1,000 Hz, with triangles of equal area.
+TOP_DB = FeatureSpec("top-db-minmax", scale="minmax", over=1e-8, centred=True, mel="linear_log", equal_area=True, top_db=80.0)
+#: Natural logarithms of spectra over the window's sum, with triangles between whole bins.
+WHOLE_BINS = FeatureSpec("whole-bins-minmax", eps=1e-6, scale="minmax", over=1e-8, centred=True, whole=True, by_window=True, bank="bins")
 POWER = FeatureSpec("power-minmax", low_hz=0.0, high_hz=8000.0, eps=1e-9, scale="minmax", periodic=False, bank="size", over=1e-9)
 
 
@@ -45,10 +55,19 @@ def window(n: int, periodic: bool) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n if periodic else n - 1))
 
 
+def mel_edges(spec: FeatureSpec) -> np.ndarray:
+    """The Hz of the bands' edges, equally far from each other on the scale."""
+    if spec.mel == "linear_log":  # 15 steps up to 1,000 Hz, then 27 for each factor of 6.4
+        to = lambda f: 3 * f / 200 if f < 1000 else 15 + 27 * math.log(f / 1000) / math.log(6.4)
+        m = np.linspace(to(spec.low_hz), to(spec.high_hz), spec.mels + 2)
+        return np.where(m < 15, 200 * m / 3, 1000 * np.exp(math.log(6.4) * (np.maximum(m, 15) - 15) / 27))
+    to = lambda f: 2595 * math.log10(1 + f / 700)
+    return 700 * (10 ** (np.linspace(to(spec.low_hz), to(spec.high_hz), spec.mels + 2) / 2595) - 1)
+
+
 def filterbank(spec: FeatureSpec, kind: str | None = None) -> np.ndarray:
     """Triangles on the mel scale, (mels, size / 2 + 1). kind: continuous centres, or whole bins by bins or by size."""
-    mel = lambda f: 2595 * math.log10(1 + f / 700)
-    edges = 700 * (10 ** (np.linspace(mel(spec.low_hz), mel(spec.high_hz), spec.mels + 2) / 2595) - 1)
+    edges = mel_edges(spec)
     n, kind = spec.size // 2 + 1, kind or spec.bank
     if kind == "continuous":
         at, place = np.arange(n) * spec.rate / spec.size, edges
@@ -64,7 +83,7 @@ def filterbank(spec: FeatureSpec, kind: str | None = None) -> np.ndarray:
             continue
         up, down = (at - a) / max(b - a, 1e-12), (c - at) / max(c - b, 1e-12)
         out[m] = np.maximum(0, np.minimum(up, down))
-    return out
+    return out * (2 / (edges[2:] - edges[:-2]))[:, None] if spec.equal_area else out
 
 
 def sparse_filterbank(bank: np.ndarray) -> list[tuple[int, list[float]]]:
@@ -77,11 +96,16 @@ def sparse_filterbank(bank: np.ndarray) -> list[tuple[int, list[float]]]:
 
 
 def stft(x: np.ndarray, spec: FeatureSpec) -> np.ndarray:
-    """Spectra of all full frames, not centred."""
+    """Spectra of all full frames."""
+    if spec.centred:
+        x = np.pad(x, spec.size // 2)
+    if spec.whole:
+        x = np.pad(x, (0, -(len(x) - spec.size) % spec.hop if len(x) >= spec.size else spec.size - len(x)))
     if len(x) < spec.size:
         return np.zeros((0, spec.size // 2 + 1), complex)
     frames = np.lib.stride_tricks.sliding_window_view(x, spec.size)[:: spec.hop]
-    return np.fft.rfft(frames * window(spec.size, spec.periodic), axis=1)
+    w = window(spec.size, spec.periodic)
+    return np.fft.rfft(frames * (w / w.sum() if spec.by_window else w), axis=1)
 
 
 def log_mel(x: np.ndarray, spec: FeatureSpec, bank: np.ndarray | None = None) -> np.ndarray:
@@ -94,7 +118,11 @@ def log_mel(x: np.ndarray, spec: FeatureSpec, bank: np.ndarray | None = None) ->
     if spec.scale == "centred":
         db = 10 * np.log10(mel + spec.eps)
         return np.clip((db - db.mean()) / 40, -1, 1) if db.size else db
-    db = np.log(mel + spec.eps)
+    if spec.top_db is not None:
+        db = 10 * np.log10(np.maximum(mel, spec.eps)) - 10 * np.log10(max(spec.eps, mel.max(initial=0)))
+        db = np.maximum(db, db.max(initial=-np.inf) - spec.top_db)
+    else:
+        db = np.log(mel + spec.eps)
     if spec.frames is not None:
         if not len(db):
             return np.zeros((spec.frames, spec.mels))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from quillon.functions import arrays as A
 from quillon.functions import dsp
 from quillon.operators import episodes as E
+from quillon.operators import night_audio
 from quillon.operators.written import shared_folder
 from quillon.plans.q_arrays import X, frames
 from quillon.plans.q_metrics import r6
-from quillon.plans.q_series import EPISODES
+from quillon.plans.q_series import APP, EPISODES, RULES
 from quillon.plans.registry import query, table
-from quillon.streaming import detectors
+from quillon.streaming import detectors, ordered
 
 #: The discrete Fourier transform of 64 samples under a symmetric Hann window, term by term.
 TERM = "list_sum(list_transform(range(64), lambda n: x[n + 1] * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 63)) * {}(2 * pi() * bin * n / 64)))"
@@ -59,13 +60,60 @@ def phat_lag(spark, d):
 @query("stream_episode_fsm")
 def stream_episode_fsm(spark, d):
     """episode_fsm over a stream of the event files, until all that is there has been read."""
-    schema = table(spark, d, "events").schema
-    # as a pattern: a stream takes a plain path for a folder, and the table may be one file
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("p", F.least(F.col("value") / 100, F.lit(1.0)))
+    rows = event_stream(spark, d).withColumn("p", F.least(F.col("value") / 100, F.lit(1.0)))
     step = lambda s, r: E.episode_step(s, float(r[0]), float(r[1]), EPISODES)
     out = detectors.stream(rows, "user_id", ["ts", "event_id"], step, E.episode_state, E.EPISODE_FIELDS, ["p", "value"])
-    at = shared_folder(spark)
+    return written_stream(out).withColumn("t_end", (F.col("tick") + 2) * 0.5)
+
+
+#: The application's times, stretched to events that come hours apart; a week without one ends what a user began.
+FORGET_S = 7 * 86_400.0
+
+
+def detections(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return e.where("value >= 80").withColumn("detected", F.lit(True))
+
+
+@query("app_timers")
+def app_timers(spark, d):
+    """The application over detections alone: what time brings comes at its own time."""
+    return ordered.run_batch(detections(spark, d), "user_id", "ts", ["detected"], ordered.app(APP, FORGET_S), ("event_id",))
+
+
+def written_stream(out):
+    """What a stream gives until all that is there has been read."""
+    at = shared_folder(out.sparkSession)
     q = out.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/rows").withColumn("t_end", (F.col("tick") + 2) * 0.5)
+    return out.sparkSession.read.schema(out.schema).parquet(f"{at}/rows")
+
+
+def event_stream(spark, d):
+    # as a pattern: a stream takes a plain path for a folder, and the table may be one file
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
+@query("stream_app_timers")
+def stream_app_timers(spark, d):
+    """app_timers over a stream of the event files, up to the last event."""
+    rows = event_stream(spark, d).where("value >= 80").withColumn("detected", F.lit(True))
+    return written_stream(ordered.run_stream(rows, "user_id", "ts", ["detected"], ordered.app(APP, FORGET_S), "1 second", ("event_id",)))
+
+
+@query("stream_rule_events")
+def stream_rule_events(spark, d):
+    """The rule detector's events over a stream of the event files, as they close."""
+    rows = event_stream(spark, d).withColumn("ratio", F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(100)) / 100)
+    return written_stream(ordered.run_stream(rows, "user_id", "ts", ["value", "ratio"], ordered.rules(RULES, E.FloorParams(start=10.0)), "1 second", ("event_id",)))
+
 
+@query("night_blocks")
+def night_blocks(spark, d):
+    """A night for each user: vectors as sounds of a second at 64 samples a second, of label 0 as beds, of odd ids as pulses, the others as distractors; a digest of each block."""
+    spec = night_audio.NightSpec(rate=64, duration_s=300.0, episodes=(2, 4), episode_s=(20.0, 40.0), distractors=(4, 8), gap_s=20.0, block=64 * 50)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    nights = table(spark, d, "events").select("user_id").where("user_id IS NOT NULL")
+    blocks, _ = night_audio.night_blocks(nights, "user_id", v.where("label = 0").drop("label"), v.where("id % 2 = 1").drop("label"), v.where("id % 2 = 0 AND label <> 0").drop("label"), 7, spec)
+    power = F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)
+    return blocks.select("user_id", "block", F.size("x").alias("n"), F.round(power, 6).alias("power"), F.round(F.array_max("x"), 6).alias("peak"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.noise import FAMILIES, noise_column, voiced_column
 from quillon.functions.resample import fft_resample, resample
 
 
@@ -124,41 +125,11 @@ def read_spans(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
 
 
 def synthetic_tones(spark: SparkSession, n: int, rate: int = 16000, seconds: float = 1.0, seed: int = 0) -> DataFrame:
-    """id, f0, x: tones at about 80 Hz (50 at least) with two overtones, a slow rise and fall, and noise; all from hashes."""
-    from quillon.functions.hashing import uniform
-
-    u = lambda k, i=None: uniform(seed, F.col("id"), k) if i is None else uniform(seed, F.col("id"), k, i)
-    normal = F.sqrt(-2 * F.ln(u("a") + 1e-12)) * F.cos(2 * np.pi * u("b"))
-    rows = spark.range(n).withColumn("f0", F.greatest(80 + 20 * normal, F.lit(50.0)))
-    size = int(rate * seconds)
-    t = lambda i: i / float(rate)
-    wave_at = lambda i: sum((F.sin(2 * np.pi * k * F.col("f0") * t(i)) * (0.5 / k) for k in (1, 2, 3)), F.lit(0.0))
-    shape = lambda i: F.sin(np.pi * i / float(size))
-    return rows.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: wave_at(i) * shape(i) + 0.02 * (u("n", i) - 0.5)))
-
-
-NOISES = ("white", "hum", "clicks", "rumble", "speech", "quiet")
-
-
-def synthetic_noise(spark: SparkSession, n: int, size: int = 16000, seed: int = 0) -> DataFrame:
-    """id, family, x: six families of noise in turn; speech is noise whose loudness beats at 4 to 8 Hz."""
-    from quillon.functions.hashing import uniform
-
-    rows = spark.range(n).withColumn("family", F.element_at(F.array(*[F.lit(x) for x in NOISES]), (F.col("id") % len(NOISES) + 1).cast("int")))
-    u = lambda i: uniform(seed, F.col("id"), i) - 0.5
-    beat = 4 + 4 * uniform(seed, F.col("id"), "beat")
-    second = lambda i: i / float(size)
-    value = lambda i: (
-        F.when(F.col("family") == "hum", 0.3 * F.sin(2 * np.pi * 50 * second(i)) + 0.02 * u(i)).when(F.col("family") == "clicks", F.when(u(i) > 0.499, 0.9).otherwise(0.01 * u(i)))
-        .when(F.col("family") == "rumble", 0.3 * F.sin(2 * np.pi * 12 * second(i)) + 0.1 * u(i)).when(F.col("family") == "speech", u(i) * (0.5 + 0.5 * F.sin(2 * np.pi * beat * second(i)))).when(F.col("family") == "quiet", 0.001 * u(i)).otherwise(u(i))
-    )
-    return rows.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value))
-
-
-def pink_noise(n: int, seed: int, rows: int = 16) -> np.ndarray:
-    """Sum of `rows` random values of which the k-th is drawn anew every 2**k samples."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros(n)
-    for k in range(rows):
-        out += np.repeat(rng.uniform(-1, 1, -(-n // (1 << k))), 1 << k)[:n]
-    return out / rows
+    """id, x: low voiced tones (see noise.voiced)."""
+    return spark.range(n).withColumn("x", voiced_column(F.col("id"), int(rate * seconds), rate, seed))
+
+
+def synthetic_noise(spark: SparkSession, n: int, rate: int = 16000, seconds: float = 1.0, seed: int = 0) -> DataFrame:
+    """id, family, x: the families of noise in turn."""
+    rows = spark.range(n).withColumn("family", F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), (F.col("id") % len(FAMILIES) + 1).cast("int")))
+    return rows.withColumn("x", noise_column(F.col("id"), F.col("family"), int(rate * seconds), rate, seed))
