@@ -75,6 +75,11 @@ def episode_step(s: dict, p: float, level: float, c: EpisodeParams) -> list[dict
     return out
 
 
+def tick_end(tick, tick_s: float = 0.5):
+    """When the window of a tick (number or column) has ended: it begins at the tick and takes two."""
+    return (tick + 2) * tick_s
+
+
 EPISODE_FIELDS = "type string, episode_id int, tick long, t double, n_bursts int, start_t double, duration_s double, mean_p double, n_hits int, level_dbfs double"
 
 

@@ -62,9 +62,11 @@ def folder_verdict(summary: DataFrame, key: str, expected: str, first: int = 20)
     return rows.agg(F.count(F.lit(1)).alias("files"), F.count_if(found == F.col(expected)).alias("correct")).withColumn("accuracy", F.col("correct") / F.greatest("files", F.lit(1)))
 
 
-def beds(manifest: DataFrame, source: str, split: str = "bench", label: int = 0) -> DataFrame:
-    """The paths of a source's negative windows of a split, once each, in order."""
-    return manifest.where((F.col("split") == split) & (F.col("source") == source) & (F.col("label") == label)).select("path").distinct().orderBy("path")
+def beds(manifest: DataFrame, source: str | None = None, split: str = "bench", label: int = 0) -> DataFrame:
+    """(source, path) of the negative windows of a split, of all sources or one, each once, in order."""
+    rows = manifest.where((F.col("split") == split) & (F.col("label") == label))
+    rows = rows if source is None else rows.where(F.col("source") == source)
+    return rows.select("source", "path").distinct().orderBy("source", "path")
 
 
 def stats_line(frames, events, floor) -> F.Column:

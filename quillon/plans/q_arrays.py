@@ -163,10 +163,15 @@ def required_difference(spark, d):
     return want.subtract(table(spark, d, "events").select("event_type"))
 
 
-@query("parameter_grid", "SELECT a::DOUBLE AS spacing, b::INT AS distance, c::INT AS snr FROM (SELECT unnest([0.06, 0.1]) AS a), (SELECT unnest([1, 2, 3]) AS b), (SELECT unnest([0, 5, 10]) AS c)")
+@query("parameter_grid", """WITH g AS (SELECT a::DOUBLE AS spacing, b AS distance, c AS snr FROM (SELECT unnest([0.06, 0.1]) AS a), (SELECT unnest([1, 2, 3]) AS b), (SELECT unnest([0, 5, 10]) AS c))
+SELECT event_type, spacing, distance::INT AS distance, snr::INT AS snr, count(*) AS n, count(*) FILTER (WHERE value * spacing >= distance * 1.5::DOUBLE + snr * 0.25::DOUBLE) AS heard FROM events, g GROUP BY ALL""")
 def parameter_grid(spark, d):
-    grid = F.flatten(F.transform(F.array(F.lit(0.06), F.lit(0.1)), lambda a: F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda b: F.transform(F.array(F.lit(0), F.lit(5), F.lit(10)), lambda c: F.struct(a.alias("spacing"), b.alias("distance"), c.alias("snr")))))))
-    return spark.range(1).select(F.inline(grid))
+    """Events by kind under each combination of settings: rows are summed up by value first, so that the grid multiplies the sums and not the events."""
+    cells = F.flatten(F.transform(F.array(F.lit(0.06), F.lit(0.1)), lambda a: F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda b: F.transform(F.array(F.lit(0), F.lit(5), F.lit(10)), lambda c: F.struct(a.alias("spacing"), b.alias("distance"), c.alias("snr")))))))
+    by_value = table(spark, d, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k"))
+    rows = by_value.select("event_type", "value", "k", F.inline(cells))
+    heard = F.col("value") * F.col("spacing") >= F.col("distance") * 1.5 + F.col("snr") * 0.25
+    return rows.groupBy("event_type", "spacing", "distance", "snr").agg(F.sum("k").alias("n"), F.sum(F.when(heard, F.col("k")).otherwise(0)).alias("heard"))
 
 
 @query("class_status", "SELECT lang, count(*) AS files, round(sum(n_chars) / 1e6, 3) AS mb FROM documents GROUP BY lang")

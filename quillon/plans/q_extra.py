@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import arrays as A
 from quillon.functions import augment
 from quillon.operators import direction as D
 from quillon.operators import episodes as E
@@ -129,14 +130,15 @@ def folder_verdict(spark, d):
     return N.folder_verdict(files(spark, d).withColumn("expected", F.pmod("user_id", F.lit(2)) == 0), "user_id", "expected")
 
 
-@query("bench_beds", "SELECT DISTINCT lang || '/' || n_chars AS path FROM documents WHERE source = 'src1'")
+@query("bench_beds", "SELECT DISTINCT source, lang || '/' || n_chars AS path FROM documents WHERE lang IS NOT NULL")
 def bench_beds(spark, d):
     docs = table(spark, d, "documents").select(F.lit("bench").alias("split"), "source", F.lit(0).alias("label"), F.concat_ws("/", "lang", "n_chars").alias("path"))
-    return N.beds(docs.where("lang IS NOT NULL"), "src1")
+    return N.beds(docs.where("lang IS NOT NULL"))
 
 
 @query("platt_fit")
 def platt_fit(spark, d):
     """Quality of labelled documents by the logarithm of their length: slope and intercept."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.log(F.col("n_chars") + 1).alias("z")), "doc_id")
-    return spark.createDataFrame([N.platt_fit(rows, "z", "quality")], "slope double, intercept double")
+    slope, intercept = N.platt_fit(rows, "z", "quality")
+    return rows.select("doc_id", F.round("z", 6).alias("z"), F.round(A.sigmoid(slope * F.col("z") + intercept), 4).alias("p"))

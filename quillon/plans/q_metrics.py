@@ -104,13 +104,13 @@ def percentiles(spark, d):
     return r6(table(spark, d, "events").groupBy("event_type").agg(*[F.percentile("value", F.lit(p / 100)).alias(f"p{p}") for p in (10, 60, 90)], M.lower_median("value").alias("lower_median"), F.avg("value").alias("mean")))
 
 
-@query("teacher_soft_target", """WITH t AS (SELECT doc_id, ((n_chars * 31) % 997) / 997.0::DOUBLE AS p FROM documents WHERE doc_id % 3 = 0), j AS (SELECT l.doc_id, l.quality, t.p, coalesce(t.p, l.quality) AS soft FROM labels l LEFT JOIN t ON l.doc_id = t.doc_id), z AS (SELECT *, ln(greatest(least(soft, 1 - 1e-6), 1e-6) / (1 - greatest(least(soft, 1 - 1e-6), 1e-6))) AS z FROM j)
+@query("teacher_soft_target", """WITH t AS (SELECT doc_id, ((n_chars * 31) % 997) / 997.0::DOUBLE AS p FROM documents WHERE n_chars >= 400), j AS (SELECT l.doc_id, l.quality, t.p, coalesce(t.p, l.quality) AS soft FROM labels l LEFT JOIN t ON l.doc_id = t.doc_id), z AS (SELECT *, ln(greatest(least(soft, 1 - 1e-6), 1e-6) / (1 - greatest(least(soft, 1 - 1e-6), 1e-6))) AS z FROM j)
 SELECT doc_id, round(soft, 6) AS soft, round(z, 6) AS z, round(1 / (1 + exp(-(1.5::DOUBLE * z - 0.25::DOUBLE))), 6) AS platt FROM z""")
 def teacher_soft_target(spark, d):
     from quillon.functions import arrays as A
 
-    docs = table(spark, d, "documents")
-    t = docs.where("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") * 31 % 997 / F.lit(997.0)).alias("p"))
+    docs = table(spark, d, "documents")  # the teacher has no verdict on short texts
+    t = docs.where("n_chars >= 400").select("doc_id", (F.col("n_chars") * 31 % 997 / F.lit(997.0)).alias("p"))
     j = table(spark, d, "labels").join(t, "doc_id", "left").select("doc_id", F.coalesce("p", F.col("quality").cast("double")).alias("soft"))
     z = j.withColumn("z", A.logit(F.col("soft")))
     return r6(z.withColumn("platt", A.platt(F.col("z"), 1.5, -0.25)))

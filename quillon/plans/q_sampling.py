@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.hashing import hash32, uniform
 from quillon.operators import sampling as S
+from quillon.operators.ranking import global_rank
 from quillon.plans.q_partition import H
 from quillon.plans.registry import query, table
 
@@ -53,10 +54,8 @@ def first_n_per_class(spark, d):
 @query("noise_pick", f"WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n FROM supplier), u AS (SELECT event_id, {H.format(chr(39) + '42|0|' + chr(39) + ' || event_id')} AS h FROM events) SELECT event_id, round(h / 4294967296.0::DOUBLE, 6) AS u, s_suppkey FROM u JOIN b ON b.k = u.h % b.n")
 def noise_pick(spark, d):
     """A noise for each event, by a hash of (seed, epoch, id) modulo the bank's size."""
-    from pyspark.sql import Window
-
-    bank = table(spark, d, "supplier").select("s_suppkey")
-    n = bank.count()
-    bank = bank.withColumn("k", F.row_number().over(Window.orderBy("s_suppkey")) - 1)  # a bank, as small as its files
+    bank = global_rank(table(spark, d, "supplier").select("s_suppkey"), F.floor(F.col("s_suppkey") / 1024), ["s_suppkey"], "k")
+    size = table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))  # one row
     ev = table(spark, d, "events").select("event_id", hash32(42, 0, F.col("event_id")).alias("h"), F.round(uniform(42, 0, F.col("event_id")), 6).alias("u"))
-    return ev.withColumn("k", F.pmod("h", F.lit(n)).cast("int")).join(bank, "k").select("event_id", "u", "s_suppkey")
+    picked = ev.join(F.broadcast(size)).withColumn("k", F.pmod("h", F.col("n")) + 1)
+    return picked.join(bank, "k").select("event_id", "u", "s_suppkey")

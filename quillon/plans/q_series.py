@@ -87,11 +87,13 @@ def burst_gap_median(spark, d):
     return W.burst_gaps(burst_starts(spark, d), "user_id", "tick", 32)
 
 
-SPANS = f"{T}, s AS (SELECT user_id, tick AS start_s, tick + (value / 10)::INT AS end_s, tick // 8 AS label FROM e WHERE tick % 8 = 0)"
+SPANS = f"{T}, s AS (SELECT user_id, tick AS start_s, tick + (value / 10)::INT AS end_s FROM e WHERE event_type = 'purchase')"
 
 
 def spans(spark, d):
-    return ticks(spark, d).where("tick % 8 = 0").select("user_id", F.col("tick").alias("start_s"), (F.col("tick") + F.bround(F.col("value") / 10).cast("int")).alias("end_s"), F.floor(F.col("tick") / 8).alias("label"))
+    """Purchases as spans: from their tick on, one for each ten of their value."""
+    t = ticks(spark, d).where("event_type = 'purchase'")
+    return t.select("user_id", F.col("tick").alias("start_s"), (F.col("tick") + F.bround(F.col("value") / 10).cast("int")).alias("end_s"))
 
 
 @query("span_overlaps", f"WITH {SPANS.replace('(value / 10)::INT', 'round_even(value / 10, 0)::INT')} SELECT user_id, start_s, end_s, n AS next_start FROM (SELECT *, lead(start_s) OVER (PARTITION BY user_id ORDER BY start_s, end_s) AS n FROM s) WHERE n < end_s")
@@ -138,35 +140,100 @@ def coherent_noise_floor(spark, d):
 EPISODES = E.EpisodeParams(tau=0.6, hold=2, confirm=4, verify=2, min_bursts=2, period_min=2, period_max=8)
 
 
-@query("episode_fsm")
+#: State by tick, from a tick before the first: o is what a tick emits.
+EPISODE_FSM = f"""
+WITH RECURSIVE {T}, b AS (SELECT user_id, tick, least(value / 100, 1.0::DOUBLE) AS p, value AS l FROM e),
+s AS (
+  SELECT DISTINCT user_id, -1::BIGINT AS tick, 'IDLE' AS mode, []::DOUBLE[] AS ps, []::BIGINT[] AS bursts, []::STRUCT(i BIGINT, p DOUBLE, l DOUBLE)[] AS hits, false AS in_burst,
+    0::BIGINT AS streak, 0::BIGINT AS below, 0::BIGINT AS episode, 0::BIGINT AS start, 0::BIGINT AS n, 0::DOUBLE AS total, 0::BIGINT AS last, 0::DOUBLE AS levels, 0::BIGINT AS n_bursts, ''::VARCHAR AS said
+  FROM b
+  UNION ALL
+  SELECT user_id, i, CASE WHEN ends THEN 'IDLE' WHEN confirmed THEN 'CONFIRMED' WHEN mode = 'ACTIVE' AND streak = 0 THEN 'IDLE' ELSE mode END, ps,
+    CASE WHEN ends THEN [] ELSE bursts END, CASE WHEN ends THEN [] ELSE hits END, hit AND NOT ends, CASE WHEN ends THEN 0 ELSE streak END, CASE WHEN ends OR confirmed THEN 0 ELSE below END,
+    CASE WHEN confirmed THEN episode + 1 ELSE episode END, CASE WHEN confirmed THEN bursts[1] ELSE start END,
+    CASE WHEN confirmed THEN len(own) ELSE n END, CASE WHEN confirmed THEN list_sum([x.p for x in own]) ELSE total END, CASE WHEN confirmed THEN own[-1].i ELSE last END,
+    CASE WHEN confirmed THEN list_sum([x.l for x in own]) ELSE levels END, CASE WHEN confirmed THEN len(bursts) ELSE n_bursts END,
+    CASE WHEN ends THEN 'episode_end' WHEN confirmed THEN 'episode_start' ELSE '' END
+  FROM (SELECT *, mode = 'CONFIRMED' AND below >= {EPISODES.verify} AS ends, list_filter(hits, lambda x: x.i >= bursts[1]) AS own,
+      mode = 'ACTIVE' AND streak > 0 AND streak >= {2 * EPISODES.confirm} AND len(bursts) >= {max(2, EPISODES.min_bursts)}
+        AND list_sort(list_transform(range(1, len(bursts)), lambda k: bursts[k + 1] - bursts[k]))[(len(bursts) - 2) // 2 + 1] BETWEEN {EPISODES.period_min} AND {EPISODES.period_max} AS confirmed
+    FROM (SELECT user_id, i, ps, hit, streak, episode, start,
+        CASE WHEN mode = 'IDLE' AND active THEN 'ACTIVE' ELSE mode END AS mode,
+        list_filter(CASE WHEN hit AND NOT in_burst THEN bursts || [i] ELSE bursts END, lambda t: t >= i - {EPISODES.confirm + EPISODES.hold}) AS bursts,
+        list_filter(CASE WHEN hit THEN hits || [{{'i': i, 'p': p, 'l': l}}] ELSE hits END, lambda x: x.i >= i - {EPISODES.confirm + EPISODES.hold}) AS hits,
+        CASE WHEN mode = 'CONFIRMED' AND active THEN 0 WHEN mode = 'CONFIRMED' THEN below + 1 ELSE below END AS below,
+        CASE WHEN mode = 'CONFIRMED' AND hit THEN n + 1 ELSE n END AS n, CASE WHEN mode = 'CONFIRMED' AND hit THEN total + p ELSE total END AS total,
+        CASE WHEN mode = 'CONFIRMED' AND hit THEN i ELSE last END AS last, CASE WHEN mode = 'CONFIRMED' AND hit THEN levels + l ELSE levels END AS levels,
+        CASE WHEN mode = 'CONFIRMED' AND hit AND NOT in_burst THEN n_bursts + 1 ELSE n_bursts END AS n_bursts
+      FROM (SELECT *, list_max(ps) >= {EPISODES.tau} AS active, CASE WHEN list_max(ps) >= {EPISODES.tau} THEN least(before + 2, {4 * EPISODES.confirm}) ELSE greatest(0, before - 1) END AS streak
+        FROM (SELECT s.* EXCLUDE (tick, ps, streak, said), s.streak AS before, b.tick AS i, b.p, b.l, b.p >= {EPISODES.tau} AS hit, (s.ps || [b.p])[-{EPISODES.hold + 1}:] AS ps
+          FROM s JOIN b ON b.user_id = s.user_id AND b.tick = s.tick + 1))))
+)
+SELECT user_id, said AS type, episode::INT AS episode_id, tick, CASE WHEN said = 'episode_start' THEN start ELSE tick END * 0.5::DOUBLE AS t, n_bursts::INT AS n_bursts,
+  CASE WHEN said = 'episode_end' THEN start * 0.5::DOUBLE END AS start_t, CASE WHEN said = 'episode_end' THEN (last - start + 2) * 0.5::DOUBLE END AS duration_s,
+  CASE WHEN said = 'episode_end' THEN round(total / greatest(n, 1) + 1e-9::DOUBLE, 4) END AS mean_p, CASE WHEN said = 'episode_end' THEN n::INT END AS n_hits,
+  CASE WHEN said = 'episode_end' THEN round(levels / greatest(n, 1) + 1e-9::DOUBLE, 4) END AS level_dbfs, (tick + 2) * 0.5::DOUBLE AS t_end
+FROM s WHERE said <> ''
+"""
+
+
+@query("episode_fsm", EPISODE_FSM)
 def episode_fsm(spark, d):
     t = ticks(spark, d).withColumn("p", F.least(F.col("value") / 100, F.lit(1.0)))
-    return E.episodes(t, "user_id", "tick", "p", "value", EPISODES).withColumn("t_end", (F.col("tick") + 2) * 0.5)
+    out = E.episodes(t, "user_id", "tick", "p", "value", EPISODES).withColumn("t_end", E.tick_end(F.col("tick")))
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in ("mean_p", "level_dbfs")})
 
 
 RULES = E.RuleParams(history=24, duration_min_ms=64, duration_max_ms=2000, period_min_ms=64, period_max_ms=640, confirm=1, ratio_gate=0.2)
+RULE_FLOOR = E.FloorParams(start=10.0)
+_LOW, _HIGH = max(1, int(RULES.period_min_ms / RULES.frame_ms)), min(int(RULES.period_max_ms / RULES.frame_ms), RULES.history - 1)
+#: State by frame, from a frame before the first. The ring's slots are counted from 1 here.
+RULE_FRAMES = f"""
+WITH RECURSIVE {T}, b AS (SELECT user_id, tick, event_id, value AS l, ((json_extract_string(props, '$.k')::INT % 100) / 100.0::DOUBLE) AS ratio FROM e),
+s AS (
+  SELECT DISTINCT user_id, -1::BIGINT AS tick, -1::BIGINT AS event_id, {RULE_FLOOR.start}::DOUBLE AS floor, 0 AS mode, 0::DOUBLE AS clock, 0::DOUBLE AS start, list_transform(range({RULES.history}), lambda k: {RULES.unheard}::DOUBLE) AS ring,
+    0::BIGINT AS slot, false AS hit, 0::DOUBLE AS confidence FROM b
+  UNION ALL
+  SELECT user_id, tick, event_id, floor, CASE WHEN NOT heard THEN 0 WHEN mode = 0 THEN 1 WHEN mode = 1 THEN CASE WHEN sure THEN 2 WHEN length > {RULES.duration_max_ms} THEN 0 ELSE 1 END ELSE CASE WHEN length > {RULES.duration_max_ms} THEN 0 ELSE 2 END END,
+    clock, CASE WHEN heard AND mode = 0 THEN clock ELSE start END, ring, slot, heard AND (mode = 2 OR mode = 1 AND sure),
+    CASE WHEN heard AND mode = 2 THEN 0.85::DOUBLE WHEN heard AND mode = 1 AND sure THEN 0.7::DOUBLE + (ratio - 0.55::DOUBLE) * 0.5::DOUBLE ELSE 0 END
+  FROM (SELECT *, length > {RULES.duration_min_ms} AND length < {RULES.duration_max_ms} AND len(list_filter(range(1, len(peaks)), lambda k: peaks[k + 1] - peaks[k] BETWEEN {_LOW} AND {_HIGH})) >= {RULES.confirm} AS sure
+    FROM (SELECT *, clock - start AS length, list_filter(range(3, {RULES.history} - 1), lambda k: ring[k] > list_sum(ring) / {RULES.history} * {RULES.peak_factor}::DOUBLE AND ring[k] > greatest(ring[k - 2], ring[k - 1], ring[k + 1], ring[k + 2])) AS peaks
+      FROM (SELECT user_id, tick, event_id, floor, mode, start, ratio, heard, CASE WHEN heard THEN clock + {RULES.frame_ms} ELSE clock END AS clock,
+          CASE WHEN heard THEN ring[1:slot] || [l] || ring[slot + 2:] ELSE ring END AS ring, CASE WHEN heard THEN (slot + 1) % {RULES.history} ELSE slot END AS slot
+        FROM (SELECT *, l - floor >= {RULES.energy_gate} AND ratio >= {RULES.ratio_gate}::DOUBLE AS heard
+          FROM (SELECT s.* EXCLUDE (tick, event_id, floor, hit, confidence), b.tick, b.event_id, b.l, b.ratio,
+              CASE WHEN b.l < s.floor + {RULE_FLOOR.margin} THEN (1 - {RULE_FLOOR.alpha}::DOUBLE) * s.floor + {RULE_FLOOR.alpha}::DOUBLE * b.l ELSE s.floor END AS floor
+            FROM s JOIN b ON b.user_id = s.user_id AND b.tick = s.tick + 1)))))
+)
+"""
 
 
-@query("rule_detector")
-def rule_detector(spark, d):
+def rule_frames(spark, d):
     """Each user's events as frames: value is the level, the number in props the band ratio in per cent."""
     rows = ticks(spark, d).join(table(spark, d, "events").select("event_id", "props"), "event_id")
-    rows = rows.withColumn("ratio", F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(100)) / 100)
-    step = lambda s, r: [{"event_id": r[0]} | E.rule_step(s, float(r[1]), float(r[2]), RULES, E.FloorParams(start=10.0))]
-    return E.fold(rows, "user_id", ["tick"], step, dict, "event_id long, " + E.RULE_FIELDS, ["event_id", "value", "ratio"])
+    return rows.withColumn("ratio", F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(100)) / 100)
+
+
+@query("rule_detector", RULE_FRAMES + "SELECT user_id, event_id, mode, hit, round(confidence, 6) AS confidence, clock AS clock_ms, round(floor, 6) AS noise_floor FROM s WHERE tick >= 0")
+def rule_detector(spark, d):
+    step = lambda s, r: [{"event_id": r[0]} | E.rule_step(s, float(r[1]), float(r[2]), RULES, RULE_FLOOR)]
+    out = E.fold(rule_frames(spark, d), "user_id", ["tick"], step, dict, "event_id long, " + E.RULE_FIELDS, ["event_id", "value", "ratio"])
+    return out.withColumns({c: F.round(c, 6) for c in ("confidence", "noise_floor")})
 
 
-@query("rule_events")
+@query("rule_events", RULE_FRAMES + """, x AS (SELECT *, lag(mode) OVER w AS was, lag(start) OVER w AS began, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS back FROM s WINDOW w AS (PARTITION BY user_id ORDER BY tick))
+SELECT user_id, began AS start_ms, clock AS end_ms, CASE WHEN hit THEN 0.85::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM x WHERE was = 2 AND mode = 0
+UNION ALL SELECT user_id, start, clock, 0.8::DOUBLE FROM x WHERE back = 1 AND mode = 2""")
 def rule_events(spark, d):
     """The events of rule_detector, those that are open at a user's end included."""
-    rows = ticks(spark, d).withColumn("ratio", F.lit(1.0))
 
     def step(s, r):
-        E.rule_step(s, float(r[0]), float(r[1]), RULES, E.FloorParams(start=10.0))
+        E.rule_step(s, float(r[0]), float(r[1]), RULES, RULE_FLOOR)
         return []
 
     end = lambda s: [{"start_ms": a, "end_ms": b, "confidence": c} for a, b, c in E.rule_flush(s)]
-    return E.fold(rows, "user_id", ["tick"], step, dict, "start_ms double, end_ms double, confidence double", ["value", "ratio"], end)
+    return E.fold(rule_frames(spark, d), "user_id", ["tick"], step, dict, "start_ms double, end_ms double, confidence double", ["value", "ratio"], end)
 
 
 APP = E.AppParams(calibrate_s=3600, escalate_s=7200, timeout_s=86400, quiet_s=43200, budget=3, rest_s=172800, cooldown_s=3600)

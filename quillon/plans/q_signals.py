@@ -11,7 +11,7 @@ from quillon.operators import night_audio
 from quillon.operators.written import shared_folder
 from quillon.plans.q_arrays import X, frames
 from quillon.plans.q_metrics import r6
-from quillon.plans.q_series import APP, EPISODES, RULES
+from quillon.plans.q_series import APP, EPISODE_FSM, EPISODES, RULE_FLOOR, RULES
 from quillon.plans.registry import query, table
 from quillon.streaming import detectors, ordered
 
@@ -57,13 +57,13 @@ def phat_lag(spark, d):
     return lag.select("vec_id", F.round("l.lag", 6).alias("lag"), F.round("l.confidence", 4).alias("confidence"))
 
 
-@query("stream_episode_fsm")
+@query("stream_episode_fsm", EPISODE_FSM)
 def stream_episode_fsm(spark, d):
     """episode_fsm over a stream of the event files, until all that is there has been read."""
     rows = event_stream(spark, d).withColumn("p", F.least(F.col("value") / 100, F.lit(1.0)))
     step = lambda s, r: E.episode_step(s, float(r[0]), float(r[1]), EPISODES)
     out = detectors.stream(rows, "user_id", ["ts", "event_id"], step, E.episode_state, E.EPISODE_FIELDS, ["p", "value"])
-    return written_stream(out).withColumn("t_end", (F.col("tick") + 2) * 0.5)
+    return written_stream(out).withColumn("t_end", E.tick_end(F.col("tick"))).withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in ("mean_p", "level_dbfs")})
 
 
 #: The application's times, stretched to events that come hours apart; a week without one ends what a user began.
@@ -105,7 +105,7 @@ def stream_app_timers(spark, d):
 def stream_rule_events(spark, d):
     """The rule detector's events over a stream of the event files, as they close."""
     rows = event_stream(spark, d).withColumn("ratio", F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(100)) / 100)
-    return written_stream(ordered.run_stream(rows, "user_id", "ts", ["value", "ratio"], ordered.rules(RULES, E.FloorParams(start=10.0)), "1 second", ("event_id",)))
+    return written_stream(ordered.run_stream(rows, "user_id", "ts", ["value", "ratio"], ordered.rules(RULES, RULE_FLOOR), "1 second", ("event_id",)))
 
 
 @query("night_blocks")
