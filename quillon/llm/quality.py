@@ -3,7 +3,10 @@
 Each text gets its measures and rule failures; failures are summed by host (any column: here the source), each
 host's failure rate is shrunk towards the overall rate by a beta prior fitted to the hosts' rates by moments, and the host is rejected if
 the posterior leaves little doubt (5 %) that more than half of its documents fail. Its verdict is joined back to its documents.
-A rate that is only above the mean rejects no host, as most of such a host's documents are good.
+A rate that is only above the mean rejects no host, as most of such a host's documents are good; but it counts for documents that fail a rule
+that isn't one of the base: how far the worst of these rules is overstepped (the measure over its limit) is the evidence against the document, the host's shrunk rate the
+prior, and the document goes if it is then more likely bad than good: rate * evidence > 1 - rate. So the same document may stay at a host that is
+mostly good and go at one that isn't, while a document that fails no rule goes with its host only.
 
 Cases: a null text has no words; an empty text neither; a very long text is measured whole; null hosts are one host; repeated rows count as often
 as they stand there; an empty table gives an empty result; other columns are kept, unless an added column has their name.
@@ -75,6 +78,13 @@ def failures() -> dict[str, F.Column]:
     }
 
 
+def evidence() -> F.Column:
+    """How many times over its limit a document's worst measure is, of the rules that aren't the base; null if it keeps to them. Without words or lines there is none."""
+    m = lambda name: F.col(f"measures.{name}")
+    over = [(m("n_symbols"), MAX_SYMBOL_PCT * m("n_words")), (m("n_dup_lines"), MAX_DUP_LINE_PCT * m("n_lines"))]
+    return F.greatest(*[F.when((limit > 0) & (100 * x > limit), 100 * x / limit) for x, limit in over])
+
+
 def base_failed() -> F.Column:
     return failures()["few_words"] | failures()["repeats"]
 
@@ -98,13 +108,15 @@ def host_verdicts(df: DataFrame, host: str = "source") -> DataFrame:
 
 
 def apply_rules(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """Add measures (struct), base_failed, host_docs, host_rate, host_rejected and kept."""
-    added = ("measures", "base_failed", "host_docs", "host_failed", "host_rate", "host_rejected", "kept")
+    """Add measures (struct), base_failed, host_docs, host_rate, host_rejected, posterior (of a document that oversteps a rule; else null) and kept."""
+    added = ("measures", "base_failed", "host_docs", "host_failed", "host_rate", "host_rejected", "posterior", "kept")
     rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in added])
     rows = measured(rows, text)
     hosts = host_verdicts(measured(df.select(F.col(f"`{text}`"), F.col(f"`{host}`").alias("__host")), text), "__host")
     out = lookup(rows.withColumn("__host", F.col(f"`{host}`")), hosts.withColumnRenamed("host", "__host"), "__host")
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("__host")
+    for_, against = 1 - F.col("host_rate"), F.col("host_rate") * evidence()
+    out = out.withColumns({"base_failed": base_failed(), "posterior": against / (against + for_), "__bad": F.coalesce(against > for_, F.lit(False))})
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~F.col("__bad")).drop("__host", "__bad")
 
 
 def good_documents(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

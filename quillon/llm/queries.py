@@ -52,7 +52,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return df.select("doc_id", *[F.col(f"measures.{n}").alias(n) for n in names], "base_failed", "kept", "host_docs", "host_failed", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
+    host = ["host_docs", "host_failed", F.round("host_rate", 6).alias("host_rate"), "host_rejected"]
+    return df.select("doc_id", *[F.col(f"measures.{n}").alias(n) for n in names], "base_failed", "kept", *host, F.round("posterior", 6).alias("posterior"))
 
 
 @query("op4_winnowing")

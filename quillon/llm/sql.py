@@ -31,8 +31,11 @@ p AS (SELECT mean, CASE WHEN q - mean * mean <= 1e-12 OR mean * (1 - mean) <= 1e
 s AS (SELECT source, host_docs, host_failed, strength, (host_failed + mean * strength) / (host_docs + strength) AS rate FROM h, p),
 v AS (SELECT *, rate - {Q.DEVIATIONS} * sqrt(rate * (1 - rate) / (host_docs + strength + 1)) > {Q.MAX_HOST_RATE} AS rejected FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT rejected AS kept, host_docs, host_failed, round(rate, 6) AS host_rate, rejected AS host_rejected
-FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+  NOT base_failed AND NOT rejected AND NOT coalesce(rate * evidence > 1 - rate, false) AS kept, host_docs, host_failed, round(rate, 6) AS host_rate, rejected AS host_rejected,
+  round(rate * evidence / (rate * evidence + 1 - rate), 6) AS posterior
+FROM (SELECT *, greatest(CASE WHEN n_words > 0 AND 100 * n_symbols > {Q.MAX_SYMBOL_PCT} * n_words THEN 100 * n_symbols / ({Q.MAX_SYMBOL_PCT} * n_words)::DOUBLE END,
+    CASE WHEN n_lines > 0 AND 100 * n_dup_lines > {Q.MAX_DUP_LINE_PCT} * n_lines THEN 100 * n_dup_lines / ({Q.MAX_DUP_LINE_PCT} * n_lines)::DOUBLE END) AS evidence FROM f) AS f
+JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 _HOSTS = ", ".join(f"({_text(v)}, {_text(h)}, {_text(p)}, {_text(h + p)})" for v, h, p in U.HOST_RULES)
