@@ -114,13 +114,20 @@ def fingerprint(df: DataFrame, text: str = "text", to: str = "fingerprint") -> D
 
 
 def with_next(df: DataFrame, id: str, text: str, ranges: int) -> DataFrame:
-    """id, text, range and guest of every row, guests included, dealt by range and sorted: successors follow each other."""
+    """ids may be numbers, texts, dates or of any other type with an order. id, text, range and guest of every row, guests included, dealt by range and sorted: successors follow each other."""
     rows = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = rows.select(F.percentile_approx("id", probs, 10_000).alias("c")).first().c if ranges > 1 else None
+    kind = rows.schema["id"].dataType
+    if ranges < 2:
+        cuts = []
+    elif isinstance(kind, T.NumericType):
+        probs = [i / ranges for i in range(1, ranges)]
+        cuts = rows.select(F.percentile_approx("id", probs, 10_000).alias("c")).first().c
+    else:  # the ids alone, dealt by Spark's own ranges: the first id of each
+        dealt = rows.select("id").where("id IS NOT NULL").repartitionByRange(ranges, F.col("id"))
+        cuts = [r.c for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.max("id").alias("c")).collect()]
     cuts = sorted(set(cuts or []), reverse=True)
     # range 0 has the largest ids; null ids are in the last
-    place = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c >= F.col("id")))
+    place = F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(T.ArrayType(kind)), lambda c: c >= F.col("id")))
     place = F.when(F.col("id").isNull(), len(cuts)).otherwise(place)
     heads = {r.range: r.head for r in rows.select(place.alias("range"), "id").groupBy("range").agg(F.max("id").alias("head")).collect()}  # a row for each range
     first = sorted(heads)
