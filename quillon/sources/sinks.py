@@ -38,7 +38,8 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def write_manifest(df: DataFrame, path: str, columns: list[str]) -> None:
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    # a quote within a field is doubled, as other readers expect
+    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def _fs(spark: SparkSession, path: str):

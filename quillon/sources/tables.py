@@ -21,11 +21,11 @@ LABEL_EXAMPLE = ("chunk_0000.wav", 0.0, 10.0, "snore", "left", "supine", 0.8, "t
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV table with a header and a given schema; a value that doesn't fit ends the job, as it would be lost else."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_scores(df: DataFrame, path: str, id: str = "id", z: str = "z", flag: str = "flag") -> None:
