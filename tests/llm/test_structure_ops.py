@@ -185,15 +185,15 @@ def test_matches_have_their_rules_tokens(spark):
     matches = {
         "spam-host": ["http://spam-farm.", "x://a.b.SPAM-farm.org/", "x://u:p@a.spam-farm.c"],
         "tracked-feed": ["?utm_source=feed", "x&UTM_SOURCE=feed&y", "a?utm_source=Feed#"],
-        "click-redirect": ["/out/http:", "/click?xhttps%3A", "/redirect/1http%3a", "/OUT?https:"],
-        "archive": ["a.zip", "b.tar.gz?x", "c.EXE#"],
+        "click-redirect": ["/redirect?u=https:", "/out/http:", "/click?xhttps%3A", "/redirect/1http%3a", "/OUT?https:"],
+        "archive": ["a.zip", "b.tar.gz?x", "c.EXE#", "d.tar.gz"],
         "mobile-article": ["http://m.a/xx/1.html", "https://M.a.b/yy/22.HTML"],
     }
     assert set(matches) == {r[0] for r in urls.PATTERN_RULES}
-    rows = [(u, list(r[3]), r[2]) for r in urls.PATTERN_RULES for u in matches[r[0]]]
-    df = spark.createDataFrame(rows, "url string, tokens array<string>, regex string")
-    wrong = df.withColumn("own", urls.tokens_of(df.url)).where("NOT url RLIKE regex OR size(array_except(tokens, own)) > 0")
-    assert wrong.collect() == []
+    rows = [(u, [list(a) for a in r[3]], r[2]) for r in urls.PATTERN_RULES for u in matches[r[0]]]
+    df = spark.createDataFrame(rows, "url string, alternatives array<array<string>>, regex string")
+    wrong = df.withColumn("own", urls.tokens_of(df.url)).where("NOT url RLIKE regex OR NOT exists(alternatives, a -> size(array_except(a, own)) = 0)")
+    assert wrong.collect() == [] and all(r[3] for r in urls.PATTERN_RULES)
 
 
 def plain_chat(rows):
