@@ -15,8 +15,10 @@ distinct ones; as rows, words, answers and places take over 2 times the input in
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -33,13 +35,22 @@ BLOCK_BYTES = 4 << 20
 SHORT = 192
 
 
+#: A pickle begins with this; what is compressed with a mark and its size.
+PICKLE, PACKED = b"\x80", b"\x01"
+
+
 def dump(x, squeeze: bool = True) -> bytes:
     data = pickle.dumps(x, protocol=5)
-    return zlib.compress(data, 1) if squeeze else data
+    return PACKED + len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) if squeeze else data
 
 
 def load(b: bytes):
-    return pickle.loads(b if b[:1] == b"\x80" else zlib.decompress(b))
+    return pickle.loads(b if b[:1] == PICKLE else pa.decompress(memoryview(b)[9:], int.from_bytes(b[1:9], "little"), "zstd", asbytes=True))
+
+
+def numbering() -> dict:
+    """Gives each new key the next number, from 0."""
+    return defaultdict(itertools.count().__next__)
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
@@ -110,7 +121,7 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
-        rows, ids, places, lens, size = [], {}, [], [], 0
+        rows, ids, places, lens, size = [], numbering(), [], [], 0
 
         def out():
             every, words = np.concatenate(places), list(ids)
@@ -124,8 +135,8 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
             columns = [batch.column(i).to_pylist() for i in range(n)]
             for i, x in enumerate(batch.column(n)):
                 t = x.as_py() or ""
-                put = ids.setdefault
-                a = np.fromiter([put(w, len(ids)) for w in split(t)], np.uint32)
+                words = split(t)
+                a = np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))
                 rows.append([c[i] for c in columns])
                 places.append(a)
                 lens.append(len(a))
@@ -133,7 +144,7 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
                 if size >= BLOCK_BYTES:
                     yield out()
                     k += 1
-                    rows, ids, places, lens, size = [], {}, [], [], 0
+                    rows, ids, places, lens, size = [], numbering(), [], [], 0
         if rows:
             yield out()
 
@@ -165,13 +176,12 @@ def lookup_words(packed: DataFrame, gather: Callable, answer: Callable, total: C
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([key] * len(parts), pa.int64()), pa.array(body, pa.binary())], ["part", "block", "words"])
 
     def reply(batches):
-        ids, sums, asked = {}, [], []
-        put = ids.setdefault
+        ids, sums, asked = numbering(), [], []
         for batch in batches:
             for part, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words, values = load(data.as_py())
                 words = part_words(words)
-                at = narrow(np.fromiter([put(w, len(ids)) for w in words], np.int64, len(words)))
+                at = narrow(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
                 asked.append((part, key, at))
                 if values is not None:
                     sums.append((at, values))

@@ -51,7 +51,7 @@ NEVER = -30.0
 ROUNDS, STEP, BATCH = 2, 0.1, 2048
 CHUNKS = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-SUFFIX_SIGNS = b".,;:!?\"'()"
+SUFFIX_SIGNS, TAIL = b".,;:!?\"'()", 4
 
 
 def split(text: str) -> list[bytes]:
@@ -60,10 +60,23 @@ def split(text: str) -> list[bytes]:
     return words
 
 
+class _Endings(dict):
+    """The hash of a word's ending by its last TAIL letters; a tail that doesn't tell (signs but for one letter) has None."""
+
+    def __missing__(self, tail: bytes) -> int | None:
+        own = tail.rstrip(SUFFIX_SIGNS)
+        self[tail] = found = zlib.crc32(own[-2:]) if len(own) > 1 or len(tail) < TAIL else None
+        return found
+
+
 def hashes(words) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word and one of its ending."""
     whole = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-    return whole, np.fromiter([zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:]) for w in words], np.int64, len(words))
+    known = _Endings()
+    endings = [known[w[-TAIL:]] for w in words]
+    if None in endings:
+        endings = [zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:]) if e is None else e for w, e in zip(words, endings)]
+    return whole, np.fromiter(endings, np.int64, len(words))
 
 
 def bit_length(counts: np.ndarray) -> np.ndarray:
@@ -184,8 +197,13 @@ def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target:
     order = np.argsort(rows.astype(np.uint16), 1, kind="stable")
     own = np.take_along_axis(rows, order, 1).ravel()
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    # two outcomes at a time, as a complex number
-    change = np.add.reduceat(g.take(order.ravel(), 0).view(np.complex64), first, 0).view(np.float32)
+    count = np.diff(np.append(first, len(own)))
+    order, more = order.ravel(), count > 1
+    # rows of one token are taken as they are; of others the sums, two outcomes at a time, as a complex number
+    change = g.take(order.take(first), 0)
+    if more.any():
+        some = count[more]
+        change[more] = np.add.reduceat(g.take(order[np.repeat(more, count)], 0).view(np.complex64), np.cumsum(some) - some, 0).view(np.float32)
     at = own[first]
     size = squares.take(at) + np.einsum("ij,ij->i", change, change) / g.shape[1]
     squares[at] = size
