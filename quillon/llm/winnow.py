@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import small_batches
+from quillon.llm.common import BATCH_BYTES, small_batches
 
 GRAM, WINDOW = 12, 16
 #: A hash has so many bits; below them stands the place, in pieces of a text so long.
@@ -156,17 +156,22 @@ def compare_edits(df: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     types = [to_arrow_type(k) for k in kinds]
 
     def run(batches):
-        held, done = None, []  # a row that waits for its successor
+        held, done, size = None, [], 0  # a row that waits for its successor; results and their characters
 
         def result(row, following):
+            nonlocal size
             old = winnow(row[1]) if row[3] is None else row[3]
             nxt = winnow(following[1])
             new_text = edited(row[1], following[1])
             new = winnow(new_text)
-            done.append((row[0], len(row[1]), hashlib.sha256(new_text.encode("utf-8", "surrogatepass")).hexdigest(), shown(old), shown(new), likeness(old[0], new[0]), likeness(old[0], nxt[0])))
+            prints = shown(old), shown(new)
+            size += len(prints[0]) + len(prints[1])
+            done.append((row[0], len(row[1]), hashlib.sha256(new_text.encode("utf-8", "surrogatepass")).hexdigest(), *prints, likeness(old[0], new[0]), likeness(old[0], nxt[0])))
             return nxt
 
         def out():
+            nonlocal size
+            size = 0
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
             done.clear()
             return batch
@@ -180,7 +185,7 @@ def compare_edits(df: DataFrame, id: str = "doc_id", text: str = "text") -> Data
                         row[3] = result(held, row)
                         held = None
                     held = None if guests[i] else row
-                    if len(done) >= 500:
+                    if len(done) >= 500 or size >= BATCH_BYTES:
                         yield out()
             if done:
                 yield out()
