@@ -33,11 +33,11 @@ def rates(df: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-def threshold_sweep(df: DataFrame, y: str, p: str, grid: list[float]) -> DataFrame:
-    """Rates at each threshold of the grid. Rows are counted once by how many thresholds they reach; the counts of the few
+def threshold_sweep(df: DataFrame, y: str, p: str, grid: list[float], strict: bool = False) -> DataFrame:
+    """Rates at each threshold of the grid, which a positive reaches (strict: exceeds). Rows are counted once by how many thresholds they reach; the counts of the few
     steps are then summed, so the rows aren't multiplied by the grid."""
     grid = sorted(grid)
-    reached = F.size(F.filter(F.lit(grid), lambda t: t <= F.col(p)))
+    reached = F.size(F.filter(F.lit(grid), lambda t: t < F.col(p) if strict else t <= F.col(p)))
     steps = df.groupBy(reached.alias("k")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
     t = df.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(grid)], "i int, threshold double")
     whole = steps.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
@@ -52,6 +52,14 @@ def best_threshold(sweep: DataFrame, most_fnr: float, most_fpr: float) -> DataFr
     return sweep.agg(F.coalesce(good, F.max(F.struct("recall", "threshold"))["threshold"]).alias("threshold"))
 
 
+def deploy_threshold(sweep: DataFrame, most_fnr: float, most_fpr: float, candidates: list[float], both: list[float], default: float = 0.5) -> DataFrame:
+    """The largest candidate that keeps the bound of misses; without one the largest of both that keeps the two bounds; else the default."""
+    t, misses = F.col("threshold"), F.col("fnr") <= most_fnr
+    first = F.max(F.when(t.isin(candidates) & misses, t))
+    second = F.max(F.when(t.isin(both) & misses & (F.col("fpr") <= most_fpr), t))
+    return sweep.agg(F.coalesce(first, second, F.lit(float(default))).alias("threshold"))
+
+
 def distinct_scores(df: DataFrame, y: str, p: str) -> DataFrame:
     """(p, pos, neg, tp, fp): rows by distinct score, and running sums from the highest score."""
     by = df.groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))

@@ -53,6 +53,22 @@ def best_threshold(spark, d):
     return M.best_threshold(M.threshold_sweep(scored(spark, d), "y", "p", GRID), 0.5, 0.6)
 
 
+#: The candidates, and the thresholds that may keep both bounds.
+CANDIDATES, BOTH = [0.25, 0.3, 0.35, 0.4, 0.45, 0.5], [0.3, 0.35, 0.4, 0.45, 0.5, 0.55]
+DEPLOY = f"""WITH {S}, t AS (SELECT unnest({sorted({*CANDIDATES, *BOTH})})::DOUBLE AS threshold),
+w AS (SELECT threshold, count(*) FILTER (WHERE y = 1 AND p <= threshold)::DOUBLE / greatest(count(*) FILTER (WHERE y = 1), 1) AS fnr, count(*) FILTER (WHERE y <> 1 AND p > threshold)::DOUBLE / greatest(count(*) FILTER (WHERE y <> 1), 1) AS fpr FROM s, t GROUP BY threshold)
+SELECT a.most AS most_fnr, coalesce(max(threshold) FILTER (WHERE threshold IN {tuple(CANDIDATES)} AND fnr <= a.most), max(threshold) FILTER (WHERE threshold IN {tuple(BOTH)} AND fnr <= a.most AND fpr <= 0.8), 0.5::DOUBLE) AS threshold
+FROM w, (SELECT unnest([0.15, 0.35, 0.5])::DOUBLE AS most) a GROUP BY a.most"""
+
+
+@query("deploy_threshold", DEPLOY)
+def deploy_threshold(spark, d):
+    """The threshold to deploy under three bounds of misses."""
+    sweep = M.threshold_sweep(scored(spark, d), "y", "p", sorted({*CANDIDATES, *BOTH}), strict=True)
+    rows = [M.deploy_threshold(sweep, most, 0.8, CANDIDATES, BOTH).select(F.lit(most).alias("most_fnr"), "threshold") for most in (0.15, 0.35, 0.5)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("roc_auc", f"WITH {S} SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS auc, count(DISTINCT a.doc_id) AS n_pos, count(DISTINCT b.doc_id) AS n_neg FROM s a, s b WHERE a.y = 1 AND b.y <> 1")
 def roc_auc(spark, d):
     return r6(M.roc_auc(scored(spark, d), "y", "p"))

@@ -381,9 +381,26 @@ def cascade_filter(spark, d):
     return e.where((F.col("value") >= 60) & F.col("event_type").isin("click", "purchase")).where(F.log10(F.col("value") + 1) > 1.9).select("event_id", "value")
 
 
-@query("cloud_events", "WITH c AS (SELECT event_id, user_id, greatest(0, least(1, round(value / 100 + 1e-9::DOUBLE, 3))) AS p, event_type FROM events) SELECT event_id, p, length('{\"device\":\"' || user_id || '\",\"type\":\"' || event_type || '\"}')::INT AS note_chars FROM c")
+CLOUD = """
+SELECT event_id, device_id, epoch(ts)::BIGINT - CASE WHEN epoch(ts)::BIGINT > epoch(ts) THEN 1 ELSE 0 END AS timestamp, 'snore_detected' AS event_type, round(value * 1.7::DOUBLE + 1e-9::DOUBLE, 1) AS snore_duration_sec,
+  round(greatest(0, least(1, value / 100 + 1e-9::DOUBLE)), 3) AS snore_confidence, event_type <> 'error' AS in_bed, greatest(0, least(1, (value - 50) / 100)) AS body_motion_level, '2.1' AS model_version,
+  CASE WHEN value >= 120 THEN 'left' WHEN value >= 60 THEN 'right' ELSE 'unknown' END AS side, round(value / 7 + 1e-9::DOUBLE, 3) AS lag_ms, 0.0::DOUBLE AS doa_conf, k AS n_bursts, round(value / 3 - 90 - 1e-9::DOUBLE, 1) AS level_dbfs
+FROM (SELECT *, 'user-' || user_id AS device_id, json_extract_string(props, '$.k')::INT AS k FROM events)
+"""
+
+
+@query("cloud_events", CLOUD)
 def cloud_events(spark, d):
+    """Events as episodes: all fields of their payloads, those of the note read back from its JSON."""
     from quillon.sources import sinks
 
-    e = sinks.to_cloud_event(table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("device"), F.col("event_type").alias("type"), (F.col("value") / 100 + 1e-9).alias("p")), ["device", "type"])
-    return e.select("event_id", "p", F.length("note").alias("note_chars"))
+    v, e = F.col("value"), table(spark, d, "events")
+    rows = e.select(
+        F.concat_ws("\x1f", F.concat(F.lit("user-"), F.col("user_id")), "event_id").alias("device_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (v * 1.7 + 1e-9).alias("duration_s"),
+        (v / 100 + 1e-9).alias("mean_p"), (F.col("event_type") != "error").alias("presence"), ((v - 50) / 100).alias("motion"), F.when(v >= 120, "left").when(v >= 60, "right").alias("side"),
+        (v / 7 + 1e-9).alias("lag_ms"), F.get_json_object("props", "$.k").cast("int").alias("n_bursts"), (v / 3 - 90 - 1e-9).alias("level_dbfs"),
+    )
+    note = F.from_json("note", "side string, lag_ms double, doa_conf double, n_bursts int, level_dbfs double")
+    out = sinks.cloud_events(rows, "2.1").withColumn("note", note)
+    id = F.split("device_id", "\x1f")  # the event's id rides on the device's, to tell rows apart
+    return out.select(id[1].cast("long").alias("event_id"), id[0].alias("device_id"), *[c for c in out.columns if c not in ("device_id", "note")], "note.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import arrays as A
 from quillon.functions import dsp
 from quillon.operators import episodes as E
-from quillon.operators import night_audio
+from quillon.operators import features, night_audio
 from quillon.operators.written import shared_folder
 from quillon.plans.q_arrays import X, frames
 from quillon.plans.q_metrics import r6
@@ -117,3 +117,10 @@ def night_blocks(spark, d):
     blocks, _ = night_audio.night_blocks(nights, "user_id", v.where("label = 0").drop("label"), v.where("id % 2 = 1").drop("label"), v.where("id % 2 = 0 AND label <> 0").drop("label"), 7, spec)
     power = F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)
     return blocks.select("user_id", "block", F.size("x").alias("n"), F.round(power, 6).alias("power"), F.round(F.array_max("x"), 6).alias("peak"))
+
+
+@query("feature_skips", f"SELECT label, count(*) AS rows, count(*) FILTER (WHERE n >= 64) AS kept, count(*) FILTER (WHERE n < 64 OR n IS NULL) AS skipped FROM (SELECT label, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE least(64, 40 + vec_id % 40) END AS n FROM embeddings) GROUP BY label")
+def feature_skips(spark, d):
+    """Vectors cut to lengths by their ids, or to nothing: those that don't fill three frames are skipped and counted."""
+    x = F.when(F.col("vec_id") % 11 != 0, F.slice("x", 1, F.least(F.lit(64), 40 + F.col("vec_id") % 40).cast("int")))
+    return features.skip_counts(features.feature_rows(frames(spark, d).withColumn("x", x), "x", 3, SMALL), "label")
