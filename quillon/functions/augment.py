@@ -27,6 +27,9 @@ class Chain:
     shift: int = 1600
     p_gain: float = 0.3
     gain: tuple[float, float] = (-12.0, 6.0)
+    p_mask: float = 0.5
+    mask_bands: int = 4
+    mask_frames: int = 8
 
 
 def within(u: Column, low: float, high: float) -> Column:
@@ -87,6 +90,22 @@ def chain(x: Column, label: Column, seed: int, key: Column, noise: Column | None
     return of(x, F.lit(None).cast("array<double>") if noise is None else noise, label, u)
 
 
+def feature_mask(x: Column, seed: int, key: Column, c: Chain = Chain()) -> Column:
+    """The end of the chain, on feature matrices (arrays of frames): with a chance, one stretch of bands and one of frames are set to 0. Each has a drawn width
+    from 1 up to a most, and a drawn place; a matrix with fewer is masked whole in that direction. Null and empty matrices stay."""
+    u = lambda k: uniform(seed + k, key)
+    width = lambda k, most: 1 + F.floor(u(k) * most)
+    place = lambda k, n, w: F.floor(u(k) * (F.greatest(n - w, F.lit(0)) + 1))
+    sizes = F.struct(x.alias("x"), u(0).alias("u"), width(1, c.mask_bands).alias("w"), width(2, c.mask_frames).alias("h"), F.size(x).alias("rows"), F.coalesce(F.size(F.get(x, F.lit(0))), F.lit(0)).alias("columns"))
+    drawn = lambda s: F.struct(s["x"].alias("x"), s["u"].alias("u"), s["w"].alias("w"), s["h"].alias("h"), place(3, s["columns"], s["w"]).alias("a"), place(4, s["rows"], s["h"]).alias("b"))
+
+    def masked(s: Column) -> Column:
+        cell = lambda v, i, j: F.when(((j >= s["a"]) & (j < s["a"] + s["w"])) | ((i >= s["b"]) & (i < s["b"] + s["h"])), 0.0).otherwise(v)
+        return F.when(s["u"] < c.p_mask, F.transform(s["x"], lambda row, i: F.transform(row, lambda v, j: cell(v, i, j)))).otherwise(s["x"])
+
+    return A.let(sizes, lambda s: A.let(drawn(s), masked))
+
+
 def batch_matrix(x: Column, place: Column, size: Column, seed: int, key: Column, deviation: float = 0.02) -> Column:
     """A feature matrix (array of frames) by its place in its batch: the first half is shifted by -5 to 4 frames, of the first third 2 to 5 bands
     are set to 0, and all get noise and are held within 0 and 1."""

@@ -142,3 +142,16 @@ def platt_fit(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.log(F.col("n_chars") + 1).alias("z")), "doc_id")
     slope, intercept = N.platt_fit(rows, "z", "quality")
     return rows.select("doc_id", F.round("z", 6).alias("z"), F.round(A.sigmoid(slope * F.col("z") + intercept), 4).alias("p"))
+
+
+_U = [f"({H.format(f"'{90 + k}|' || vec_id")} / 4294967296.0::DOUBLE)" for k in range(5)]
+
+
+@query("feature_mask", f"""WITH {X}, d AS (SELECT vec_id, x, {_U[0]} AS u, 1 + floor({_U[1]} * 4)::INT AS w, 1 + floor({_U[2]} * 8)::INT AS h, {_U[3]} AS p, {_U[4]} AS q FROM x),
+c AS (SELECT *, floor(p * (8 - w + 1))::INT AS a, floor(q * (8 - h + 1))::INT AS b FROM d), k AS (SELECT *, unnest(range(64)) AS k FROM c)
+SELECT vec_id, (k // 8)::INT AS frame, (k % 8)::INT AS band, round(CASE WHEN u < 0.5 AND (k % 8 >= a AND k % 8 < a + w OR k // 8 >= b AND k // 8 < b + h) THEN 0 ELSE x[k + 1] END, 6) AS value FROM k""")
+def feature_mask(spark, d):
+    """Vectors as matrices of eight frames of eight bands, with a stretch of bands and one of frames at 0 in about half of them."""
+    m = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("x", i * 8 + 1, F.lit(8)))
+    masked = frames(spark, d).select("vec_id", augment.feature_mask(m, 90, F.col("vec_id")).alias("m"))
+    return r6(masked.select("vec_id", F.posexplode("m").alias("frame", "row")).select("vec_id", "frame", F.posexplode("row").alias("band", "value")))
