@@ -8,8 +8,9 @@ score to beat. Processing stops only where the vectors that may still reach it (
 positive impacts are processed; these possible members are then scored exactly.
 
 Equal vectors are one entry of the index with their k + 1 smallest ids, as no more of them can be among the k best of any query; equal
-queries are searched once. The index is made in shards of about SHARD_ROWS vectors by their hash, queries are put in packs of about PACK_ROWS, and
-each pack meets each shard once; a shard's k + 1 best go on, through a window that keeps k + 1 of each task in front of its shuffle.
+queries are searched once. The index is made in shards of about SHARD_ROWS vectors by their hash, queries are put in packs of about PACK_ROWS, the packs in
+groups of about GROUP_QUERIES, and each group meets each shard once, by a shuffle: a task holds one shard and one group, and neither the driver nor an executor
+holds all queries. A shard's k + 1 best go on, through a window that keeps k + 1 of each task in front of its shuffle.
 
 Cases: vectors that are null or hold a null or non-finite component take no part. Shorter vectors count as filled up with zeros; an empty one has score 0
 everywhere. Repeated rows are rows of their own: a query's own row is left out, another with the same id or vector is not. A null id is no
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.llm.common import cut, small_batches
 
 K, SCALE = 5, 256
-SHARD_ROWS, PACK_ROWS = 16_384, 128
+SHARD_ROWS, PACK_ROWS, GROUP_QUERIES = 16_384, 128, 4096
 #: Processing stops at a level where at most this share of a shard may be among the best; below a level at which all dimensions together are this share of the
 #: score to beat the next level is 0. A dimension's values have a table of segments if they span fewer than MOST_SEGMENTS; else they are searched.
 FEW, SMALL, MOST_SEGMENTS = 1 / 256, 1 / 8, 1 << 12
@@ -133,18 +135,20 @@ def search(df: DataFrame, is_query: Column, k: int = K, id: str = "vec_id", vect
     n_shards, n_packs = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // PACK_ROWS))
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     id_type = rows.schema["id"].dataType
-    shards = cut(entries.groupBy(F.pmod(F.xxhash64("v"), F.lit(n_shards)).alias("shard")).agg(F.collect_list(F.struct("v", F.col("ids.id").alias("id"))).alias("rows")))
+    n_groups = max(1, -(-m // GROUP_QUERIES))
+    # cogrouped, not joined: Spark would broadcast the packs by their size before each goes to every shard
     packs = asked.groupBy(F.pmod("uid", F.lit(n_packs)).alias("pack")).agg(F.collect_list(F.struct("uid", "v")).alias("queries"))
-    packs = packs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
-
-    def find(batches):
-        last, shard, ids = None, None, None
-        for batch in batches:
-            for name, own, queries in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if name != last:  # packs of one shard come one after the other
-                    ids = own.values.field("id")
-                    shard, last = Shard(matrix(own.values.field("v"), width)), name
-                uids, of, scored, same = [], [], [], []
+    packs = packs.select(F.pmod("pack", F.lit(n_groups)).cast("int").alias("group"), "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group")
+    shards = entries.select(F.pmod(F.xxhash64("v"), F.lit(n_shards)).alias("shard"), "v", F.col("ids.id").alias("ids"), every)
+
+    def find(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        """The k + 1 best of a shard for each query of a group."""
+        uids, of, scored, same = [], [], [], []
+        if asking.num_rows and rows.num_rows:
+            ids = rows.column("ids").combine_chunks()
+            shard = Shard(matrix(rows.column("v").combine_chunks(), width))
+            for queries in asking.column("queries").combine_chunks():
                 for uid, q in zip(queries.values.field("uid").to_pylist(), matrix(queries.values.field("v"), width)):
                     at, scores, _ = shard.top(q, k + 1)
                     if len(at) > k + 1:
@@ -157,15 +161,14 @@ def search(df: DataFrame, is_query: Column, k: int = K, id: str = "vec_id", vect
                     of += [p[2] for p in found]
                     scored += [str(max(-MOST, min(MOST, -p[0]))) for p in found]
                     same += [bool((shard.vectors[p[3]] == q).all()) for p in found]
-                columns = [pa.array(uids, pa.int64()), pa.array(of, ids.type.value_type), pa.array(scored, pa.string()), pa.array(same, pa.bool_())]
-                yield pa.record_batch(columns, ["uid", "id", "exact", "same"])
+        return pa.table([pa.array(uids, pa.int64()), pa.array(of, to_arrow_type(id_type)), pa.array(scored, pa.string()), pa.array(same, pa.bool_())], ["uid", "id", "exact", "same"])
 
     schema = T.StructType([T.StructField(c, t) for c, t in (("uid", T.LongType()), ("id", id_type), ("exact", T.StringType()), ("same", T.BooleanType()))])
-    found = packs.join(shards, "shard").select("shard", "rows", "queries").mapInArrow(find, schema)
+    found = packs.groupBy("shard", "group").cogroup(shards.groupBy("shard", "group")).applyInArrow(find, schema)
     found = found.withColumn("exact", F.col("exact").cast("decimal(38,0)"))
     place = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("exact"), F.asc_nulls_last("id")))
     best = found.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "id", "exact", "same"))).alias("best"))
-    asking = rows.where("asks").select(F.col("id").alias("query_id"), "v").join(asked, "v").join(best, "uid")
+    asking = rows.where("asks").select(F.col("id").alias("query_id"), "v").join(asked.hint("merge"), "v").join(best.hint("merge"), "uid")
     # one's own row, if it is there; of several with its id and vector any
     mine = F.array_position(F.transform("best", lambda b: F.coalesce(b["same"] & (b["id"] == F.col("query_id")), F.lit(False))), True)
     others = F.filter("best", lambda b, j: j + 1 != mine)

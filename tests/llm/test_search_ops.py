@@ -212,3 +212,18 @@ def test_runs_columns(spark):
     row = runs.find_runs(df).first()
     assert [tuple(r) for r in row.runs] == [(0, 8, 2)] and row.collapsed == "a b c" and row.text == "a b a b a b a b c" and tuple(row.best) == (0, 8, 2)
     assert runs.find_runs(df.limit(0)).count() == 0
+
+
+def test_topk_sends_nothing_to_all_executors(spark, monkeypatch, capsys):
+    """Many shards and groups: packs of queries go to every shard, which must not be done by a broadcast through the driver."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "PACK_ROWS", 2)
+    monkeypatch.setattr(topk, "GROUP_QUERIES", 4, raising=False)
+    rng = np.random.default_rng(11)
+    rows = [(int(i) * 10, x.tolist()) for i, x in enumerate(rng.normal(0, 0.2, (400, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") % 50 == 0, 5)
+    assert sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()), key=str) == plain_topk(rows, 5)
+    capsys.readouterr()
+    got.explain()
+    assert "Broadcast" not in capsys.readouterr().out
