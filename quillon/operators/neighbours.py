@@ -3,24 +3,29 @@
 Unit vectors with cosine >= t lie within sqrt(2 - 2 t) of each other, and so do their projections on any unit direction. Each vector is
 put in the cell of a grid over the directions in which all vectors vary most, with cells as wide as that distance; a similar vector is in
 the same cell or one next to it. Cells are dealt in chunks of at most about CHUNK vectors, and each pair of chunks of neighbouring cells is one
-block product in numpy, so that a full cell is spread over many tasks. Work grows with the square of a cell's vectors, memory and rows do not."""
+block, multiplied in numpy by tiles, so that a full cell is spread over many tasks. Products grow with the square of a cell's vectors, memory does not; a
+vector is shuffled once for each chunk that it meets, so that chunks are large. Clusters need no list of all pairs: each block gives a forest of its pairs."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions.arrays import let, mean
 from quillon.operators import written
 from quillon.operators.ranking import global_rank
 from quillon.operators.written import kept
 
-DIRECTIONS, CHUNK = 3, 2000
+DIRECTIONS, CHUNK = 3, 32_768
+#: Vectors of both sides that are multiplied at once, and the similar pairs that go on at once.
+TILE, HITS = (1024, 8192), 200_000
 #: Cells that are few enough to send their counts to every executor.
 BROADCAST_CELLS = 100_000
 
@@ -57,12 +62,8 @@ def directions(rows: DataFrame, v: str, dims: int) -> np.ndarray:
     return vectors[:, ::-1][:, :DIRECTIONS].T
 
 
-def _matrix(t: pa.Table, dims: int) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks]).reshape(-1, dims)
-
-
-def similar_pairs(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
-    """(a, b, cosine) with a < b of unit vectors with a cosine of at least `least`."""
+def _blocks(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
+    """(c1, c2, i, j, side, id, v): for each pair of chunks of one cell or neighbouring ones the vectors of both, in chunk 0 and 1."""
     width = math.sqrt(2 - 2 * least) + 1e-9
     # written once: the vectors are read for the directions, the counts and both sides
     rows = kept(df.select(F.col(id).alias("id"), F.col(unit).alias("v")))
@@ -72,37 +73,119 @@ def similar_pairs(df: DataFrame, id: str, unit: str, least: float, dims: int) ->
     if counts.count() <= BROADCAST_CELLS:
         counts = F.broadcast(counts)
     rows = rows.join(counts, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    # each pair of cells once: from the one that comes first
-    shifts = [s for s in product((-1, 0, 1), repeat=DIRECTIONS) if s >= (0,) * DIRECTIONS]
+    # each pair of cells once: from the one that comes first; in a cell each pair of chunks once, a chunk with itself from one side
+    same = (0,) * DIRECTIONS
+    shifts = [s for s in product((-1, 0, 1), repeat=DIRECTIONS) if s >= same]
     steps = F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts])
     other = counts.select(F.col("cell").alias("c2"), F.col("chunks").alias("n2"))
-    spread = rows.select("id", "v", "cell", "chunk", F.explode(steps).alias("s"))
-    left = spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x + y)).join(other, "c2").select("id", "v", F.col("cell").alias("c1"), "c2", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("j"))
-    right = spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x - y)).join(other, "c2").select("id", "v", F.col("c2").alias("c1"), F.col("cell").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("i"), F.col("chunk").alias("j"))
-    right = right.toDF(*right.columns)  # columns of their own: both sides come from the same rows, and the cogroup can't tell them apart
-    id_type = rows.schema["id"].dataType
-
-    def block(x: pa.Table, y: pa.Table) -> pa.Table:
-        a, b, hits = x.column("id").to_pylist(), y.column("id").to_pylist(), []
-        if a and b:
-            same = x.column("c1")[0] == x.column("c2")[0]
-            if not (same and x.column("i")[0].as_py() > x.column("j")[0].as_py()):
-                product_ = _matrix(x, dims) @ _matrix(y, dims).T
-                twice = same and x.column("i")[0] == x.column("j")[0]
-                for k, m in zip(*np.nonzero(product_ >= least)):
-                    if not twice or a[k] < b[m]:
-                        hits.append((min(a[k], b[m]), max(a[k], b[m]), float(product_[k, m])))
-        own = x.schema.field("id").type if x.num_columns else y.schema.field("id").type
-        return pa.table([pa.array([h[i] for h in hits], t) for i, t in enumerate((own, own, pa.float64()))], names=["a", "b", "cosine"])
-
-    key = ["c1", "c2", "i", "j"]
-    schema = f"a {id_type.simpleString()}, b {id_type.simpleString()}, cosine double"
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(block, schema)
+    spread = rows.select("id", "v", "cell", "chunk", F.explode(steps).alias("s")).withColumn("same", F.col("s") == F.array(*[F.lit(0)] * DIRECTIONS))
+    near = lambda sign: spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x + sign * y)).join(other, "c2")
+    chunks = lambda low, high: F.explode(F.when(low <= high, F.sequence(low, high)))
+    left = near(1).select(F.col("cell").alias("c1"), "c2", F.col("chunk").alias("i"), chunks(F.when(F.col("same"), F.col("chunk")).otherwise(0), F.col("n2") - 1).alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = near(-1).select(F.col("c2").alias("c1"), F.col("cell").alias("c2"), chunks(F.lit(0), F.when(F.col("same"), F.col("chunk") - 1).otherwise(F.col("n2") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side"), "id", "v")
+    return left.unionByName(right)
+
+
+KEY = ["c1", "c2", "i", "j"]
+
+
+def _hits(batches: Iterator[pa.RecordBatch], least: float, dims: int) -> Iterator[tuple]:
+    """Of a block first (ids, how many of them are of its first chunk), then (k, m, cosine) of the similar pairs among its vectors, by tiles. Products in
+    single precision tell which pairs are worked out in double."""
+    sides = ([], [])
+    for batch in batches:
+        side = batch.column("side").to_numpy(zero_copy_only=False)
+        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for n in (0, 1):
+            if (side == n).any():
+                sides[n].append((ids[side == n], x[side == n]))
+    if not sides[0] and not sides[1]:
+        return
+    own = not sides[1]  # a chunk with itself
+    of = lambda n: (np.concatenate([i for i, _ in sides[n]]), np.concatenate([x for _, x in sides[n]])) if sides[n] else (np.zeros(0, object), np.zeros((0, dims)))
+    (a, x), (b, y) = of(0), of(1)
+    yield np.concatenate((a, b)) if not own else a, len(a)
+    if own:
+        y = x
+    elif not len(a):
+        return
+    x32, y32, t = x.astype(np.float32), y.astype(np.float32), np.float32(least - (dims + 8) * 2.4e-7)
+    for at in range(0, len(x), TILE[0]):
+        for to in range(at // TILE[1] * TILE[1] if own else 0, len(y), TILE[1]):
+            k, m = np.nonzero(x32[at : at + TILE[0]] @ y32[to : to + TILE[1]].T >= t)
+            k, m = k + at, m + to
+            if own:
+                k, m = k[m > k], m[m > k]
+            for part in range(0, len(k), HITS):
+                p, q = k[part : part + HITS], m[part : part + HITS]
+                cosine = np.einsum("ij,ij->i", x[p], y[q])
+                good = cosine >= least
+                if good.any():
+                    yield p[good], q[good] if own else q[good] + len(a), cosine[good]
+
+
+def similar_pairs(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
+    """(a, b, cosine) with a < b of unit vectors with a cosine of at least `least`."""
+    blocks = _blocks(df, id, unit, least, dims)
+    id_type = blocks.schema["id"].dataType
+    own = to_arrow_type(id_type)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _hits(batches, least, dims)
+        ids, _ = next(found, (None, 0))
+        for k, m, cosine in found:
+            a, b = ids[k], ids[m]
+            first = a < b
+            yield pa.record_batch([pa.array(np.where(first, a, b), own), pa.array(np.where(first, b, a), own), pa.array(cosine)], ["a", "b", "cosine"])
+
+    return blocks.groupBy(*KEY).applyInArrow(pairs, f"a {id_type.simpleString()}, b {id_type.simpleString()}, cosine double")
+
+
+def links(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
+    """(a, b): pairs that connect what similar_pairs() connects. Of a block's similar pairs as many go on as join its vectors, fewer than it has vectors."""
+    blocks = _blocks(df, id, unit, least, dims)
+    id_type = blocks.schema["id"].dataType
+    own = to_arrow_type(id_type)
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _hits(batches, least, dims)
+        ids, _ = next(found, (np.zeros(0, object), 0))
+        label = np.arange(len(ids))
+        for k, m, _ in found:
+            low, high = np.minimum(label[k], label[m]), np.maximum(label[k], label[m])
+            apart = low < high
+            if not apart.any():
+                continue
+            joined = np.arange(len(ids)).tolist()
+
+            def top(x: int) -> int:
+                while joined[x] != x:
+                    joined[x] = x = joined[joined[x]]
+                return x
+
+            for pair in np.unique(low[apart] * len(ids) + high[apart]).tolist():
+                p, q = sorted((top(pair // len(ids)), top(pair % len(ids))))
+                joined[q] = p
+            label = np.array([top(x) for x in range(len(ids))])[label]
+        other = np.flatnonzero(label != np.arange(len(ids)))
+        yield pa.record_batch([pa.array(ids[label[other]], own), pa.array(ids[other], own)], ["a", "b"])
+
+    return blocks.groupBy(*KEY).applyInArrow(forest, f"a {id_type.simpleString()}, b {id_type.simpleString()}")
+
+
+def similar_clusters(nodes: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
+    """clusters() of the similar pairs. Of equal vectors the one with the smallest id stands for all, so that copies aren't compared."""
+    nodes = kept(nodes.select(F.col(id).alias("id"), F.col(unit).alias("v")))
+    classes = kept(nodes.groupBy("v").agg(F.min("id").alias("first"), F.collect_list("id").alias("ids")))
+    copies = classes.where(F.size("ids") > 1).select(F.col("first").alias("a"), F.explode("ids").alias("b")).where("a <> b")
+    return clusters(nodes, "id", links(classes.select("first", "v"), "first", "v", least, dims).union(copies))
 
 
 def clusters(nodes: DataFrame, id: str, pairs: DataFrame) -> DataFrame:
     """(id, root, cluster): root is the smallest id of the component; cluster numbers components by it, from 0."""
-    both = kept(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    pairs = kept(pairs.select("a", "b"))  # both directions read them
+    both = kept(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
     since = written.marked()
     while True:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions import arrays as A
 from quillon.operators import neighbours as N
-from quillon.operators.written import kept
 from quillon.operators import windowing as W
 from quillon.plans.q_metrics import r6
 from quillon.plans.registry import query, table
@@ -136,8 +135,7 @@ low AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
 
 @query("near_dup_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT id AS doc_id, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM low")
 def near_dup_clusters(spark, d):
-    v = kept(word_vectors(spark, d))
-    return N.clusters(v, "doc_id", N.similar_pairs(v, "doc_id", "v", 0.98, BUCKETS)).select(F.col("id").alias("doc_id"), "root", "cluster")
+    return N.similar_clusters(word_vectors(spark, d), "doc_id", "v", 0.98, BUCKETS).select(F.col("id").alias("doc_id"), "root", "cluster")
 
 
 @query("lookup_join", "SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_regionkey IN (0, 2)")

@@ -185,3 +185,26 @@ def test_similar_pairs_in_a_full_cell(spark, monkeypatch):
     want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if c[i, j] >= 0.95}
     got = [(r.a, r.b) for r in similar_pairs(df, "id", "v", 0.95, 16).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_similar_vectors_in_large_cells(spark, monkeypatch):
+    """A full cell: a vector is shuffled a few times, clusters come from forests and copies are one vector."""
+    from quillon.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TILE", (64, 128), raising=False)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 16))
+    x = np.concatenate([base[i % 12] + rng.normal(size=16) * 0.03 * (i % 7) for i in range(2500)]).reshape(-1, 16)
+    x[2000:] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").select("id", centred_unit(F.col("x")).alias("v"))
+    u = x - x.mean(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    root, last = np.arange(len(x)), None
+    while last is None or (root != last).any():
+        last, root = root, np.where(near, root, len(x)).min(1)
+    assert similar_pairs(df, "id", "v", 0.98, 16).count() == (near.sum() - len(x)) // 2
+    links = neighbours.links(df, "id", "v", 0.98, 16)
+    got = {r.id: r.root for r in neighbours.similar_clusters(df, "id", "v", 0.98, 16).collect()}
+    assert [got[i] for i in range(len(x))] == root.tolist() and 1 < len(set(root)) < 2000
+    assert links.count() < 20 * len(x)
