@@ -1,7 +1,7 @@
 """Synthetic nights as samples: a bed of noise, pulses in episodes and distractors outside them, put together by blocks of samples.
 
-A night is never one row: the bed's pieces and the parts of each sound are rows (night, block, place in it, samples), and a block is the
-sum of its rows in a fixed order. All draws are hashes of (seed, night, ...), so that the same seed gives the same samples under any partitioning."""
+A night is never one row: the bed's pieces and the parts of each sound are rows (night, block, place in it, samples, how many they fill by
+repeating), and a block is the sum of its rows in a fixed order. All draws are hashes of (seed, night, ...), so that the same seed gives the same samples under any partitioning."""
 
 from __future__ import annotations
 
@@ -103,7 +103,7 @@ def _pieces(x: Column, start: Column, block: int, samples: int) -> Column:
 
 
 def sounds_of(events: DataFrame, key: str, pulses: DataFrame, distractors: DataFrame, seed: int, spec: NightSpec) -> DataFrame:
-    """key, kind, id, block, at, x: each event's sound, one of those of its kind, brought to its loudness over the bed."""
+    """key, kind, id, block, at, x, n: each event's sound, one of those of its kind, brought to its loudness over the bed."""
     parts = []
     bed = 10 ** (spec.bed_dbfs / 20)
     for kind, table in (("pulse", pulses), ("distractor", distractors)):
@@ -114,29 +114,38 @@ def sounds_of(events: DataFrame, key: str, pulses: DataFrame, distractors: DataF
         heard = mine.join(rows, "k").withColumn("__g", bed * F.pow(F.lit(10.0), db / 20)).withColumn("__r", rms("x"))
         heard = heard.withColumn("x", F.when(F.col("__r") > 0, F.transform("x", lambda v: v * (F.col("__g") / F.col("__r")))).otherwise(F.col("x")))
         start = F.floor(F.col("t") * spec.rate)
-        parts.append(heard.select(key, "kind", "id", F.inline(_pieces(F.col("x"), start, spec.block, spec.samples))))
+        parts.append(heard.select(key, "kind", "id", F.inline(_pieces(F.col("x"), start, spec.block, spec.samples))).withColumn("n", F.size("x")))
     return parts[0].unionByName(parts[1])
 
 
 def beds_of(nights: DataFrame, key: str, beds: DataFrame, seed: int, spec: NightSpec) -> DataFrame:
-    """key, kind, id, block, at, x: one of the beds (id, x), from a drawn place on and again from its start, at its loudness. A bed is cut into chunks of a
-    block's size, so that a block needs a few chunks and not the bed."""
+    """key, kind, id, block, at, x, n: one of the beds (id, x), from a drawn place on and again from its start, at its loudness. A bed is cut into chunks of a
+    block's size, so that a block needs a few chunks and not the bed. One that is shorter than a block is a single row of each block: x repeated to n samples."""
     rows, n = numbered(beds, "id", "x")
-    chunks = rows.where(F.size("x") > 0).select("k", F.size("x").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / spec.block).cast("int")), lambda c: F.slice("x", c * spec.block + 1, spec.block))).alias("chunk", "x"))
     mine = nights.select(key, F.least(F.floor(draw(seed, "bed", F.col(key)) * n), F.lit(n - 1)).alias("k")).join(rows.select("k", F.size("x").alias("size")).where("size > 0"), "k")
     mine = mine.withColumn("from", F.floor(draw(seed, "from", F.col(key)) * F.col("size")))
+    id = F.format_string("%015d", F.col("start"))
+    power = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+
+    long = F.col("size") >= spec.block
+    chunks = rows.where(F.size("x") >= spec.block).select("k", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / spec.block).cast("int")), lambda c: F.slice("x", c * spec.block + 1, spec.block))).alias("chunk", "x"))
     # where each pass over the bed begins in the night (the first one before it), and its chunks that lie in the night
-    passes = mine.withColumn("begin", F.explode(F.sequence(-F.col("from"), F.lit(spec.samples - 1).cast("long"), F.col("size").cast("long"))))
-    one = passes.join(chunks.select("k", "chunk", "x"), "k").withColumn("start", F.col("begin") + F.col("chunk") * spec.block)
+    passes = mine.where(long).withColumn("begin", F.explode(F.sequence(-F.col("from"), F.lit(spec.samples - 1).cast("long"), F.col("size").cast("long"))))
+    one = passes.join(chunks, "k").withColumn("start", F.col("begin") + F.col("chunk") * spec.block)
     skip = F.greatest(F.lit(0), -F.col("start"))
     one = one.where((F.col("start") < spec.samples) & (F.col("start") + F.size("x") > 0)).withColumn("x", F.slice("x", (skip + 1).cast("int"), F.size("x"))).withColumn("start", F.greatest("start", F.lit(0)))
-    id = F.format_string("%015d", F.col("start"))
-    pieces = one.select(key, F.lit("bed").alias("kind"), id.alias("id"), F.inline(_pieces(F.col("x"), F.col("start"), spec.block, spec.samples)))
-    power = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    pieces = kept(pieces)
-    loud = pieces.select(key, power.alias("p")).groupBy(key).agg(F.sqrt(F.sum(F.col("p").cast("decimal(38,18)")).cast("double") / spec.samples).alias("__r"))
+    pieces = one.select(key, F.lit("bed").alias("kind"), id.alias("id"), F.inline(_pieces(F.col("x"), F.col("start"), spec.block, spec.samples))).select("*", F.size("x").alias("n"), power("x").alias("p"))
+
+    last = (spec.samples - 1) // spec.block
+    short = mine.where(~long).join(rows.select("k", "x"), "k").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).withColumn("start", F.col("block") * spec.block)
+    short = short.withColumn("n", F.least(F.lit(spec.block), F.lit(spec.samples) - F.col("start")).cast("int"))
+    off = F.pmod(F.col("from") + F.col("start"), F.col("size")).cast("int")
+    short = short.withColumn("x", F.concat(F.slice("x", off + 1, F.col("size") - off), F.slice("x", F.lit(1), off)))
+    whole = F.floor(F.col("n") / F.col("size")) * power("x") + power(F.slice("x", F.lit(1), F.col("n") % F.col("size")))
+    pieces = kept(pieces.unionByName(short.select(key, F.lit("bed").alias("kind"), id.alias("id"), "block", F.lit(0).alias("at"), "x", "n", whole.alias("p"))))
+    loud = pieces.groupBy(key).agg(F.sqrt(F.sum(F.col("p").cast("decimal(38,18)")).cast("double") / spec.samples).alias("__r"))
     gain = 10 ** (spec.bed_dbfs / 20) / F.col("__r")
-    return pieces.join(loud, key).withColumn("x", F.when(F.col("__r") > 0, F.transform("x", lambda v: v * gain)).otherwise(F.col("x"))).drop("__r")
+    return pieces.drop("p").join(loud, key).withColumn("x", F.when(F.col("__r") > 0, F.transform("x", lambda v: v * gain)).otherwise(F.col("x"))).drop("__r")
 
 
 def night_blocks(nights: DataFrame, key: str, beds: DataFrame, pulses: DataFrame, distractors: DataFrame, seed: int, spec: NightSpec = NightSpec()) -> tuple[DataFrame, DataFrame]:
@@ -147,15 +156,19 @@ def night_blocks(nights: DataFrame, key: str, beds: DataFrame, pulses: DataFrame
     rows = beds_of(nights, key, beds, seed, spec).unionByName(sounds_of(kept(events), key, pulses, distractors, seed, spec))
     # a block that nothing falls in, of a night without a bed
     last = (spec.samples - 1) // spec.block
-    empty = nights.select(key, F.lit("").alias("kind"), F.lit("").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block"), F.lit(0).alias("at"), F.array().cast("array<double>").alias("x"))
+    empty = nights.select(key, F.lit("").alias("kind"), F.lit("").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block"), F.lit(0).alias("at"), F.array().cast("array<double>").alias("x"), F.lit(0).alias("n"))
     schema = T.StructType([nights.schema[key], T.StructField("block", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def add(group: pa.Table) -> pa.Table:
         b = group.column("block")[0].as_py()
         out = np.zeros(min(spec.block, spec.samples - b * spec.block))
-        for a, x in zip(*(group.sort_by([("kind", "ascending"), ("id", "ascending"), ("at", "ascending")]).column(c) for c in ("at", "x"))):
-            v = x.values.to_numpy(zero_copy_only=False)
-            out[a.as_py() : a.as_py() + len(v)] += v
+        at, n, x = (group.column(c).to_pylist() if c != "x" else group.column(c).combine_chunks() for c in ("at", "n", "x"))
+        ends, flat = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)
+        order = sorted(range(len(at)), key=list(zip(group.column("kind").to_pylist(), group.column("id").to_pylist(), at)).__getitem__)
+        for i in order:
+            v = flat[ends[i] : ends[i + 1]]
+            if n[i]:
+                out[at[i] : at[i] + n[i]] += v if len(v) == n[i] else np.resize(v, n[i])
         return pa.table([group.column(key).slice(0, 1), pa.array([b], pa.int64()), pa.array([np.clip(out, -1, 1)], pa.list_(pa.float64()))], names=[key, "block", "x"])
 
     return rows.unionByName(empty).groupBy(key, "block").applyInArrow(add, schema), episodes

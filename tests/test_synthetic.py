@@ -247,3 +247,16 @@ def test_specs_by_sums():
     assert got.shape == want.shape == (1 + 3000 // 256, 30) and np.allclose(got, want, atol=1e-6) and got.max() > 0.999
     assert dsp.log_mel(np.zeros(16000), spec).shape == (63, 30) and not dsp.log_mel(np.zeros(16000), spec).any()
     assert dsp.log_mel(np.zeros(0), dsp.WHOLE_BINS).shape[1] == 30
+
+
+def test_short_beds_are_a_row_a_block(spark, night):
+    nights, _, _, _ = night
+    x = np.random.default_rng(4).normal(0, 1, 37)
+    bed = spark.createDataFrame([(0, x.tolist())], "id long, x array<double>")
+    rows = N.beds_of(nights.distinct(), "night", bed, 3, SPEC).collect()
+    assert len(rows) == 3 * 12 and sum(len(r.x) for r in rows) <= 37 * len(rows)
+    for name in "abc":
+        mine = sorted((r for r in rows if r["night"] == name), key=lambda r: r["block"])
+        whole = np.concatenate([np.resize(r.x, r.n) for r in mine])
+        assert len(whole) == SPEC.samples and abs(np.sqrt(np.mean(whole**2)) - 10**-1.5) < 1e-9
+        assert np.abs(whole[37:] - whole[:-37]).max() < 1e-12
