@@ -6,7 +6,7 @@ has passed it, whether a row comes or not. A key without a row for forget_s ends
 A batch gives the same rows as the stream (run_batch), as both take rows and timeouts in the same order; rows behind the watermark are dropped
 by Spark before they get here.
 
-State is one value a key and the rows that wait, in Spark's state store; a trigger touches the keys with rows or due timers only."""
+State is one value a key and the rows that wait, in packs, in Spark's state store; a trigger touches the keys with rows or due timers only."""
 
 from __future__ import annotations
 
@@ -98,62 +98,77 @@ def run_batch(df: DataFrame, key: str, t: str, columns: list[str], machine: Mach
 
 
 class OrderedProcessor(StatefulProcessor):
-    def __init__(self, key: str, columns: list[str], order: list[str], machine: Machine, names: list[str]):
-        self.key, self.columns, self.order, self.machine, self.names = key, columns, order, machine, names
+    """Waiting rows are kept in packs, and the time of the timer with the state: each call of the store takes far longer than a row."""
+
+    def __init__(self, names: list[str], columns: list[str], order: list[str], machine: Machine, key: str, out: list[str]):
+        self.us = names.index("__us")
+        self.order, self.columns = [names.index(c) for c in order], [names.index(c) for c in columns]
+        self.machine, self.row = machine, Row(key, *out)
+        self.names = out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", "data binary")
-        self.waiting = handle.getListState("waiting", "us bigint, data binary")
+        self.waiting = handle.getListState("waiting", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r["__us"], pickle.dumps((tuple(r[c] for c in self.order), tuple(r[c] for c in self.columns)))) for r in rows]
-        self.waiting.appendList(new)
-        held = self._load()
-        times = [us for us, _ in new] + ([] if held.next() is None else [held.next() * 1e6])
-        self._set_timer(min(times), timerValues)
+        # rows of one time by their order, then their values, as in the batch
+        new = [(r[self.us], tuple(r[i] for i in self.order), tuple(r[i] for i in self.columns)) for r in rows]
+        self.waiting.appendList(_packs(new))
+        run, timer = self._load()
+        first = min(r[0] for r in new)
+        self._keep(run, timer, first, timerValues)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        every = [(us, *pickle.loads(data)) for us, data in self.waiting.get()]
-        # rows of one time by their order, then their values, as in the batch
+        every = [r for (data,) in self.waiting.get() for r in pickle.loads(data)]
         ready = sorted((r for r in every if r[0] <= now), key=lambda r: (r[0], *((x is not None, x) for x in (*r[1], *r[2]))))
-        later = [(us, pickle.dumps((o, v))) for us, o, v in every if us > now]
-        run, out = self._load(), []
+        later = [r for r in every if r[0] > now]
+        (run, _), out = self._load(), []
         for us, _, values in ready:
             out += run.row(us / 1e6, values)
         out += run.until(now / 1e6, True)
         if ready:
             self.waiting.clear()
             if later:
-                self.waiting.put(later)
-        if run.state is None:
-            self.value.clear()
-        else:
-            self.value.update((pickle.dumps((run.state, run.last)),))
-        times = [us for us, _ in later] + ([] if run.next() is None else [run.next() * 1e6])
-        if times:
-            self._set_timer(min(times), timerValues)
-        return iter([Row(**({self.key: key[0]} | {n: x.get(n) for n in self.names})) for x in out])
+                self.waiting.put(_packs(later))
+        self._keep(run, None, min((r[0] for r in later), default=None), timerValues)
+        return iter([self.row(key[0], *(x.get(n) for n in self.names)) for x in out])
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> Run:
-        if not self.value.exists():
-            return Run(self.machine)
-        return Run(self.machine, *pickle.loads(bytes(self.value.get()[0])))
+    def _load(self) -> tuple[Run, int | None]:
+        data = self.value.get()
+        if data is None:
+            return Run(self.machine), None
+        state, last, timer = pickle.loads(bytes(data[0]))
+        return Run(self.machine, state, last), timer
+
+    def _keep(self, run: Run, timer: int | None, first: int | None, timerValues) -> None:
+        """Keep the state, and one timer a key, at the next time at which there is something to do."""
+        times = ([] if first is None else [first]) + ([] if run.next() is None else [run.next() * 1e6])
+        old = timer
+        if times:
+            at = max(math.ceil(min(times) / 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            if timer is None or at < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+                timer = at
+        if run.state is None and timer is None:
+            self.value.clear()
+        elif old is None or timer != old:
+            self.value.update((pickle.dumps((run.state, run.last, timer)),))
+
+
+#: Rows that wait in one value of the store.
+PACK = 4096
+
 
-    def _set_timer(self, us: float, timerValues) -> None:
-        """One timer a key, at the next time at which there is something to do."""
-        now = timerValues.getCurrentWatermarkInMs()
-        at = max(math.ceil(us / 1000), now + 1)
-        old = [x for x in self.handle.listTimers() if x > now]  # one that is being handled is still listed
-        if not old or at < min(old):
-            for x in old:
-                self.handle.deleteTimer(x)
-            self.handle.registerTimer(at)
+def _packs(rows: list[tuple]) -> list[tuple]:
+    return [(pickle.dumps(rows[i : i + PACK]),) for i in range(0, len(rows), PACK)]
 
 
 def run_stream(df: DataFrame, key: str, t: str, columns: list[str], machine: Machine, late: str, order: tuple[str, ...] = ()) -> DataFrame:
@@ -162,9 +177,9 @@ def run_stream(df: DataFrame, key: str, t: str, columns: list[str], machine: Mac
     if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = df.where(F.col(key).isNotNull() & F.col(t).isNotNull()).withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, late)
-    rows = rows.select(key, t, F.unix_micros(t).alias("__us"), *dict.fromkeys([*order, *columns]))
+    rows = rows.select(key, t, F.unix_micros(t).alias("__us"), *[c for c in dict.fromkeys([*order, *columns]) if c not in (key, t)])
     fields = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(machine.schema)])
-    processor = OrderedProcessor(key, columns, list(order), machine, fields.names[1:])
+    processor = OrderedProcessor(rows.columns, columns, list(order), machine, key, fields.names[1:])
     return rows.groupBy(key).transformWithState(processor, fields, "Append", "EventTime")
 
 

@@ -99,3 +99,14 @@ def test_stream_is_batch_for_any_arrival(spark, tmp_path, name):
     assert sorted(got, key=str) == sorted(batch, key=str)
     left = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "value").load()
     assert {r[0] for r in left.select("key.key").collect()} <= {"end"}
+
+
+def test_waiting_rows_are_kept_in_packs(spark, tmp_path):
+    machine, columns, _ = MACHINES["rules"]
+    rows = [("x", (DAY + i) * 10**6, 40.0, 0.5) for i in range(300)]
+    spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA + ", ts timestamp").parquet(str(tmp_path / "in"))
+    out = O.run_stream(stream, "key", "ts", columns, machine, "1 day")
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 1 <= spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "waiting").load().count() < 5
