@@ -33,6 +33,8 @@ from quillon.llm.common import small_batches
 BLOCK_BYTES = 4 << 20
 #: Places below this take one byte.
 SHORT = 192
+#: Words of one task are sorted by so many bytes (one number).
+FIRST_BYTES = 8
 
 
 def dump(x, squeeze: bool = True) -> bytes:
@@ -97,50 +99,59 @@ def open_block(data: bytes) -> tuple:
 
 
 def homes(words: list, q: int) -> tuple[list[int], list[np.ndarray]]:
-    """The tasks that the words' hashes name, and for each its words' numbers, in the order of the words."""
-    home = np.fromiter([zlib.crc32(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass")) % q for w in words], np.int32, len(words))
-    order = np.argsort(home, kind="stable")
+    """The tasks that the words' hashes name, and for each its words' numbers, in the order of the words' first bytes (so that they compress)."""
+    coded = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in words]
+    home = np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % q
+    order = np.lexsort((np.array(coded, f"S{FIRST_BYTES}").view(">u8").astype(np.uint64), narrow(home)))
     ends = np.searchsorted(home[order], np.arange(q + 1))
     parts = [i for i in range(q) if ends[i] < ends[i + 1]]
-    return parts, [np.array(sorted(order[ends[i] : ends[i + 1]].tolist(), key=words.__getitem__)) for i in parts]
+    return parts, [order[ends[i] : ends[i + 1]] for i in parts]
 
 
 def block_key(part: int, k: int) -> int:
     return part << 32 | k
 
 
-def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]) -> DataFrame:
+def index_each(split: Callable[[str], list]) -> Callable[[list[str]], tuple]:
+    """The distinct words of some texts, the places of all words, and the number of words of each text, by a function that splits a text."""
+
+    def index(texts):
+        ids = numbering()
+        places = [np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)) for words in map(split, texts)]
+        return list(ids), np.concatenate(places), np.array([len(a) for a in places], np.int64)
+
+    return index
+
+
+def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list] | None = None, index: Callable[[list[str]], tuple] | None = None) -> DataFrame:
     """(block, payload), one row a block; open_block() reads a payload. Words are in the order of their frequency.
-    split gives the words of a text (null: empty)."""
+    split gives the words of a text (null: empty); or index those of all texts of a block at once, as index_each() does."""
     small_batches(df.sparkSession)
-    n = len(keep)
+    n, index = len(keep), index or index_each(split)
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
-        rows, ids, places, lens, size = [], numbering(), [], [], 0
+        rows, texts, size = [], [], 0
 
         def out():
-            every, words = np.concatenate(places), list(ids)
+            words, every, lens = index(texts)
             order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words))
-            data = dump(([list(c) for c in zip(*rows)] or [[]] * n, join_words([words[i] for i in order.tolist()]), put_places(rank[every] if len(words) else every), narrow(np.array(lens, np.int64))))
+            data = dump(([list(c) for c in zip(*rows)] or [[]] * n, join_words([words[i] for i in order.tolist()]), put_places(rank[every] if len(words) else every), narrow(lens)))
             return pa.RecordBatch.from_arrays([pa.array([block_key(part, k)], pa.int64()), pa.array([data], pa.binary())], ["block", "payload"])
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(n)]
             for i, x in enumerate(batch.column(n)):
                 t = x.as_py() or ""
-                words = split(t)
-                a = np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))
                 rows.append([c[i] for c in columns])
-                places.append(a)
-                lens.append(len(a))
+                texts.append(t)
                 size += len(t)
                 if size >= BLOCK_BYTES:
                     yield out()
                     k += 1
-                    rows, ids, places, lens, size = [], numbering(), [], [], 0
+                    rows, texts, size = [], [], 0
         if rows:
             yield out()
 

@@ -14,7 +14,7 @@ unknown symbol together have probability 1.
 Training: each task runs gradient steps over its own blocks of training documents, starting from the common weights;
 the changes are averaged by the tokens seen (a shuffle of chunks of weights), and the next round starts from there. Rounds
 take disjoint parts of the blocks, so that each training token is used once. Word counts are summed over the
-whole corpus by a shuffle of each block's distinct words (blocks.py); the tokens and words of the leaves are summed over the blocks.
+whole corpus by a shuffle of each block's distinct words (blocks.py), whose tasks also sum the tokens and words of the leaves.
 
 Cases: a null text counts as empty, which has only its end; without training documents all words are unknown and the
 classes are equally likely; null ids are kept; a null held_out counts as false; repeated rows count as often as they stand there; a very long text is
@@ -23,6 +23,7 @@ a block of its own; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -46,12 +47,15 @@ LEAST_BITS, MOST_BITS = 10, 15
 LAYERS = ((1, CLASSES), (CLASSES, SLOTS), (CLASSES * SLOTS, SLOTS))
 #: A word is frequent if its count's bit length is at least that of all tokens less this.
 FREQUENT_BITS = 8
+#: Bit lengths of counts are below this.
+BITS = 64
 #: The log weight of outcomes that no word has.
 NEVER = -30.0
 ROUNDS, STEP, BATCH = 2, 0.1, 2048
 CHUNKS = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SUFFIX_SIGNS, TAIL = b".,;:!?\"'()", 4
+SIGNS = np.isin(np.arange(256), list(SUFFIX_SIGNS))
 
 
 def split(text: str) -> list[bytes]:
@@ -60,23 +64,55 @@ def split(text: str) -> list[bytes]:
     return words
 
 
-class _Endings(dict):
-    """The hash of a word's ending by its last TAIL letters; a tail that doesn't tell (signs but for one letter) has None."""
+#: Whether a byte parts words.
+PARTS = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
-    def __missing__(self, tail: bytes) -> int | None:
-        own = tail.rstrip(SUFFIX_SIGNS)
-        self[tail] = found = zlib.crc32(own[-2:]) if len(own) > 1 or len(tail) < TAIL else None
-        return found
+
+def index(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What split() gives for each text, as distinct words, places and numbers of words: all texts at once, in Arrow."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    signs = np.frombuffer(b"".join([x for t in data for x in (t, END)]).translate(LOWER), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in data]) - 1
+    word, first = ~PARTS[signs], np.ones(len(signs), bool)
+    first[1:] = ~word[:-1]
+    word[ends] = first[ends] = True  # an end is a word of its own; what follows one is first, as it follows a sign that parts
+    offsets = np.append(np.flatnonzero(first[word]), np.count_nonzero(word))
+    lens = np.diff(np.searchsorted(np.flatnonzero(first & word), ends) + 1, prepend=0)
+    long = offsets[-1] >= 1 << 31
+    all_words = pa.Array.from_buffers(pa.large_binary() if long else pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64 if long else np.int32)), pa.py_buffer(signs[word])])
+    coded = all_words.dictionary_encode()
+    _, cuts, body = coded.dictionary.buffers()
+    cuts, body = np.frombuffer(cuts, np.int64 if long else np.int32)[: len(coded.dictionary) + 1].tolist(), body.to_pybytes()
+    return [body[a:b] for a, b in zip(cuts, cuts[1:])], coded.indices.to_numpy().astype(np.uint32), lens
+
+
+@functools.cache
+def _pairs() -> np.ndarray:
+    """The hash of each two letters."""
+    return np.array([zlib.crc32(bytes((a, b))) for a in range(256) for b in range(256)], np.int64)
 
 
 def hashes(words) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word and one of its ending."""
+    """A hash of each word and one of its ending: its last two letters without the signs after them."""
     whole = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-    known = _Endings()
-    endings = [known[w[-TAIL:]] for w in words]
-    if None in endings:
-        endings = [zlib.crc32(w.rstrip(SUFFIX_SIGNS)[-2:]) if e is None else e for w, e in zip(words, endings)]
-    return whole, np.fromiter(endings, np.int64, len(words))
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer(bytes(TAIL) + b"".join(words), np.uint8)
+    last, signs = np.cumsum(lens) + TAIL - 1, np.zeros(len(words), np.int64)
+    open_ = np.arange(len(words))
+    for _ in range(TAIL - 1):
+        open_ = open_[SIGNS[letters[last[open_] - signs[open_]]]]
+        signs[open_] += 1
+    at = last - signs
+    endings = _pairs()[letters[at - 1].astype(np.int64) << 8 | letters[at]]
+    # what has less than two letters, or may have more signs, is stripped by itself
+    for i in np.flatnonzero((lens - signs < 2) | (signs == TAIL - 1)).tolist():
+        endings[i] = zlib.crc32(words[i].rstrip(SUFFIX_SIGNS)[-2:])
+    return whole, endings
+
+
+def is_end(words, whole: np.ndarray) -> np.ndarray:
+    """The places of the end among words of these hashes."""
+    return np.array([i for i in np.flatnonzero(whole == zlib.crc32(END)).tolist() if words[i] == END], np.int64)
 
 
 def bit_length(counts: np.ndarray) -> np.ndarray:
@@ -97,6 +133,29 @@ def partition_totals(words, counts) -> tuple:
     return int(counts.sum()), int((counts > 0).sum()), int(counts[end].sum()), int((c == 1).sum()), int((c == 2).sum())
 
 
+def choices(words, counts: np.ndarray, border: int, hashed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class and the two slots of each word, of which those with counts of border bits or more are frequent."""
+    h, ending = hashed or hashes(words)
+    of = np.where(bit_length(counts) >= border, 2 + h % FREQUENT, 2 + FREQUENT + ending % SUFFIXES)
+    of[counts <= 1] = 1
+    of[is_end(words, h)] = 0
+    return of, (h >> 8) % SLOTS, (h >> 16) % SLOTS
+
+
+def leaves_by_bits(words, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and types of a part of all words by the bit length of their counts and by leaf, and where these are not 0. Which words are
+    frequent is known only from all parts; so a word stands both in its leaf as a frequent one and in that by its ending."""
+    counts, hashed, sums = np.asarray(counts, np.int64), hashes(words), np.zeros((2, BITS * LEAVES), np.int64)
+    for border in (0, BITS):
+        of, one, two = choices(words, counts, border, hashed)
+        some = np.flatnonzero((counts > 0) & ((border == 0) | (of > 1)))
+        at = (((bit_length(counts) * CLASSES + of) * SLOTS + one) * SLOTS + two)[some]
+        np.add.at(sums[0], at, counts[some])
+        np.add.at(sums[1], at, 1)
+    where = np.flatnonzero(sums[1])
+    return where, sums[0, where], sums[1, where]
+
+
 class Shape:
     """What is known of the whole corpus: tokens, types, and each leaf's tokens and types."""
 
@@ -109,11 +168,7 @@ class Shape:
 
     def choices(self, words, counts, hashed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The class and the two slots of each word; hashed are its hashes, if they are known."""
-        counts, (h, ending) = np.asarray(counts, np.int64), hashed or hashes(words)
-        of = np.where(bit_length(counts) >= self.border, 2 + h % FREQUENT, 2 + FREQUENT + ending % SUFFIXES)
-        of[counts <= 1] = 1
-        of[np.fromiter([w == END for w in words], bool, len(words))] = 0
-        return of, (h >> 8) % SLOTS, (h >> 16) % SLOTS
+        return choices(words, np.asarray(counts, np.int64), self.border, hashed)
 
     def leaves(self, words, counts, here) -> np.ndarray:
         """Tokens and types by leaf, of words of which here are in a part of the corpus: over all parts a word adds up to one type."""
@@ -152,28 +207,34 @@ class Shape:
 
 def features(words, places: np.ndarray, lens: np.ndarray, hashed=None) -> np.ndarray:
     """The features of each token: shape (tokens, FEATURES). Before a text stands the word 0."""
-    h, e = ((x.astype(np.uint64) << np.uint64(1) | np.uint64(1))[places] for x in hashed or hashes(words))
+    h, e = ((x.astype(np.uint64) << np.uint64(1) | np.uint64(1)).take(places) for x in hashed or hashes(words))
     lens = lens.astype(np.int64)
-    place = np.arange(len(places)) - np.repeat(np.cumsum(lens) - lens, lens)
+    starts = (np.cumsum(lens) - lens)[lens > 0]
+    seconds = starts[lens[lens > 0] > 1] + 1
 
     def back(x, k):
         b = np.zeros(len(x), np.uint64)
         b[k:] = x[:-k]
-        b[place < k] = 0
+        b[starts] = 0
+        if k > 1:
+            b[seconds] = 0
         return b
 
     pair, h1, h2 = np.uint64(0x9E3779B1), back(h, 1), back(h, 2)
-    return np.stack((h1, h2 * np.uint64(3), h1 * pair + h2 * np.uint64(5), back(e, 1) * pair + back(e, 2) * np.uint64(7)), 1)
+    out = np.empty((FEATURES, len(places)), np.uint64)
+    out[0], out[1], out[2], out[3] = h1, h2 * np.uint64(3), h1 * pair + h2 * np.uint64(5), back(e, 1) * pair + back(e, 2) * np.uint64(7)
+    return out.T
 
 
 def rows_of(feats: np.ndarray, group: np.ndarray | int, bits: int) -> np.ndarray:
     """The rows of weights of each token, those of its features and that of its group: shape (FEATURES + 1, tokens)."""
     out = np.empty((FEATURES + 1, len(feats)), np.intp)
-    g = np.broadcast_to(np.asarray(group, np.int64), len(feats))
     with np.errstate(over="ignore"):
-        x = (feats.T ^ (g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD1B54A32D192ED03)
-    out[:FEATURES] = (x >> np.uint64(64 - bits)).astype(np.intp) + (np.arange(FEATURES) << bits)[:, None]
-    out[FEATURES] = (FEATURES << bits) + g
+        x = feats.T ^ (np.asarray(group).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        x *= np.uint64(0xD1B54A32D192ED03)
+    x >>= np.uint64(64 - bits)
+    np.add(x.view(np.int64), (np.arange(FEATURES) << bits)[:, None], out=out[:FEATURES])
+    out[FEATURES] = (FEATURES << bits) + np.asarray(group)
     return out
 
 
@@ -191,32 +252,41 @@ def exp_scores(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
 def descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step over a batch, with a step size that shrinks by row as its gradients add up."""
     g, total = exp_scores(weights, rows)
-    g /= total[:, None]
-    g[np.arange(len(target)), target] -= 1
-    # tokens of one row side by side, for all features at once: 16 bits tell the rows of a feature apart, and such keys are sorted by radix
-    order = np.argsort(rows.astype(np.uint16), 1, kind="stable")
-    own = np.take_along_axis(rows, order, 1).ravel()
+    g *= (1 / total)[:, None]
+    g.reshape(-1)[np.arange(0, g.size, g.shape[1]) + target] -= 1
+    # tokens of one row side by side, for all features at once: rows and places together are numbers of 32 bits, which are sorted without an order
+    low = BATCH.bit_length()
+    key = rows.astype(np.uint32) << np.uint32(low) | np.arange(len(target), dtype=np.uint32)
+    key.sort(1)
+    key = key.reshape(-1)
+    own, order = key >> np.uint32(low), (key & np.uint32((1 << low) - 1)).astype(np.intp)
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     count = np.diff(np.append(first, len(own)))
-    order, more = order.ravel(), count > 1
-    # rows of one token are taken as they are; of others the sums, two outcomes at a time, as a complex number
+    # rows of one token are taken as they are, of two added; of others the sums, two outcomes at a time, as a complex number
     change = g.take(order.take(first), 0)
-    if more.any():
-        some = count[more]
-        change[more] = np.add.reduceat(g.take(order[np.repeat(more, count)], 0).view(np.complex64), np.cumsum(some) - some, 0).view(np.float32)
-    at = own[first]
+    # a whole row is written as one item
+    item = np.dtype((np.void, change.itemsize * change.shape[1]))
+    two = np.flatnonzero(count == 2)
+    both = change.take(two, 0)
+    both += g.take(order.take(first.take(two) + 1), 0)
+    change.view(item)[two] = both.view(item)
+    more = np.flatnonzero(count > 2)
+    if len(more):
+        some = count.take(more)
+        start = np.cumsum(some) - some
+        places = np.repeat(first.take(more) - start, some) + np.arange(some.sum())
+        change.view(item)[more] = np.add.reduceat(g.take(order.take(places), 0).view(np.complex64), start, 0).view(item)
+    at = own.take(first).astype(np.intp)
     size = squares.take(at) + np.einsum("ij,ij->i", change, change) / g.shape[1]
     squares[at] = size
     change *= (STEP / np.sqrt(size + 1))[:, None]
     np.subtract(weights.take(at, 0), change, change)
-    # a whole row is written as one item
-    item = np.dtype((np.void, change.itemsize * change.shape[1]))
     weights.view(item)[at] = change.view(item)
 
 
 def _log(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
     e, total = exp_scores(weights, rows)
-    return np.log(np.maximum(e[np.arange(len(target)), target] / total, 1e-37))
+    return np.log(np.maximum(e.reshape(-1).take(np.arange(0, e.size, e.shape[1]) + target) / total, 1e-37))
 
 
 def log10_tokens(shape: Shape, weights: list[np.ndarray], words, counts, places: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -229,7 +299,7 @@ def log10_tokens(shape: Shape, weights: list[np.ndarray], words, counts, places:
         c, s = of[own], one[own]
         p = _log(weights[0], rows_of(feats[a : a + (1 << 14)], 0, shape.bits), c)
         deep = np.flatnonzero(c > 1)
-        f = feats[a : a + (1 << 14)][deep]
+        f = feats[a : a + (1 << 14)].T.take(deep, 1).T
         for w, group, to in ((weights[1], c[deep], s[deep]), (weights[2], c[deep] * SLOTS + s[deep], two[own][deep])):
             p[deep] += _log(w, rows_of(f, group, shape.bits), to)
         out[a : a + (1 << 14)] += p / np.log(10)
@@ -237,24 +307,37 @@ def log10_tokens(shape: Shape, weights: list[np.ndarray], words, counts, places:
 
 
 def measure_leaves(blocks: DataFrame, shape: Shape) -> None:
-    """Sum the leaves' tokens and types over all blocks: LEAVES rows reach the driver."""
+    """Sum the leaves' tokens and types over the words' tasks: LEAVES rows reach the driver."""
 
     def count(batches):
-        total = np.zeros((2, LEAVES))
         for batch in batches:
-            for data, answers in zip(batch.column(0), batch.column(1)):
-                payload = open_block(data.as_py())
-                total += shape.leaves(payload[1], load(answers.as_py()), block_counts(payload))
-        at = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[0, at]), pa.array(total[1, at])], ["leaf", "size", "kinds"])
-
-    parts = blocks.where("block >= 0").select("payload", "answers").mapInArrow(count, "leaf long, size double, kinds double")
+            for data in batch.column(0):
+                where, size, kinds = load(data.as_py())[1]
+                bits, leaf = np.divmod(where, LEAVES)
+                of = leaf // SLOTS**2
+                true = (of < 2) | ((of < 2 + FREQUENT) == (bits >= shape.border))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[true]), pa.array(size[true]), pa.array(kinds[true])], ["leaf", "size", "kinds"])
+
+    parts = blocks.where("block < 0").select("answers").mapInArrow(count, "leaf long, size long, kinds long")
     sums = np.zeros((2, LEAVES))
     for r in parts.groupBy("leaf").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds")).collect():
         sums[:, r.leaf] = r["size"], r["kinds"]
     shape.fill(sums)
 
 
+def measure_words(blocks: DataFrame) -> Shape:
+    """The shape of the corpus, of which five numbers of each of the words' tasks reach the driver."""
+
+    def totals(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in load(data.as_py())[0]], list("abcde"))
+
+    shape = Shape([tuple(r) for r in blocks.where("block < 0").select("answers").mapInArrow(totals, "a long, b long, c long, d long, e long").collect()])
+    measure_leaves(blocks, shape)
+    return shape
+
+
 def train(blocks: DataFrame, shape: Shape) -> list[np.ndarray]:
     """The weights of the layers."""
     weights = shape.start()
@@ -274,10 +357,10 @@ def train(blocks: DataFrame, shape: Shape) -> list[np.ndarray]:
                     keep = np.flatnonzero(np.repeat(~np.array(held, bool), lens))
                     for a in range(0, len(keep), BATCH):
                         at = keep[a : a + BATCH]
-                        w, f = places[at], feats[at]
+                        w, f = places[at], feats.T.take(at, 1).T
                         descend(own[0], squares[0], rows_of(f, 0, bits), of[w])
-                        deep = of[w] > 1
-                        w, f = w[deep], f[deep]
+                        deep = np.flatnonzero(of[w] > 1)
+                        w, f = w[deep], f.T.take(deep, 1).T
                         if len(w):
                             descend(own[1], squares[1], rows_of(f, of[w], bits), one[w])
                             descend(own[2], squares[2], rows_of(f, of[w] * SLOTS + one[w], bits), two[w])
@@ -314,11 +397,10 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", held: str = "he
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. held names a boolean column: rows to learn nothing from."""
     rows = df.select(F.col(f"`{id}`").alias("doc_id"), F.coalesce(F.col(f"`{held}`"), F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("text"))
     id_type = rows.schema["doc_id"].dataType
-    packed = pack(rows, "text", ["doc_id", "held_out"], split)
-    blocks = cut(lookup_words(packed, block_counts, lambda words, sums: sums, partition_totals))
-    # a row for each task of the words' shuffle
-    shape = Shape([load(r.answers) for r in blocks.where("block < 0").select("answers").collect()])
-    measure_leaves(blocks, shape)
+    packed = pack(rows, "text", ["doc_id", "held_out"], index=index)
+    # with a row for each task of the words' shuffle
+    blocks = cut(lookup_words(packed, block_counts, lambda words, sums: sums, lambda words, sums: (partition_totals(words, sums), leaves_by_bits(words, sums))))
+    shape = measure_words(blocks)
     weights = blocks.sparkSession.sparkContext.broadcast(train(blocks, shape))
     from pyspark.sql.pandas.types import to_arrow_type
 
