@@ -112,29 +112,19 @@ def block_key(part: int, k: int) -> int:
     return part << 32 | k
 
 
-def index_each(split: Callable[[str], list]) -> Callable[[list[str]], tuple]:
-    """The distinct words of some texts, the places of all words, and the number of words of each text, by a function that splits a text."""
-
-    def index(texts):
-        ids = numbering()
-        places = [np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)) for words in map(split, texts)]
-        return list(ids), np.concatenate(places), np.array([len(a) for a in places], np.int64)
-
-    return index
-
-
 def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list] | None = None, index: Callable[[list[str]], tuple] | None = None) -> DataFrame:
     """(block, payload), one row a block; open_block() reads a payload. Words are in the order of their frequency.
-    split gives the words of a text (null: empty); or index those of all texts of a block at once, as index_each() does."""
+    split gives the words of a text (null: empty); or index, of all texts of a block at
+    once, the distinct words, the places of all words, and the number of words of each text."""
     small_batches(df.sparkSession)
-    n, index = len(keep), index or index_each(split)
+    n = len(keep)
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
-        rows, texts, size = [], [], 0
+        rows, texts, ids, places, size = [], [], numbering(), [], 0
 
         def out():
-            words, every, lens = index(texts)
+            words, every, lens = index(texts) if index else (list(ids), np.concatenate(places), np.array([len(a) for a in places], np.int64))
             order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words))
@@ -146,12 +136,16 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
             for i, x in enumerate(batch.column(n)):
                 t = x.as_py() or ""
                 rows.append([c[i] for c in columns])
-                texts.append(t)
+                if index:
+                    texts.append(t)
+                else:  # words are numbered as they come, and no text is kept
+                    words = split(t)
+                    places.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)))
                 size += len(t)
                 if size >= BLOCK_BYTES:
                     yield out()
                     k += 1
-                    rows, texts, size = [], [], 0
+                    rows, texts, ids, places, size = [], [], numbering(), [], 0
         if rows:
             yield out()
 

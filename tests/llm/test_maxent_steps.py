@@ -15,7 +15,12 @@ def words_of(seed, n=400):
 def test_words_of_all_texts_at_once():
     random.seed(4)
     bits = ["a", "B", "é", " ", "  ", "\t", "\n", "\x0b", "\f", "\r", "\0", "\x1c", "\x85", " ", "Wort", "x" * 50, "\ud800", ""]
-    plain = blocks.index_each(maxent.split)
+
+    def plain(texts):
+        ids, rows = blocks.numbering(), [maxent.split(t) for t in texts]
+        places = np.array([ids[w] for row in rows for w in row])
+        return list(ids), places, np.array([len(row) for row in rows])
+
     for texts in [[""], ["", " ", ""], *(["".join(random.choice(bits) for _ in range(random.randint(0, 12))) for _ in range(random.randint(1, 6))] for _ in range(2000))]:
         (words, places, lens), want = maxent.index(texts), plain(texts)
         assert words == want[0] and places.tolist() == want[1].tolist() and lens.tolist() == want[2].tolist(), texts
