@@ -1,16 +1,16 @@
 """Pairs of similar vectors and their clusters, exactly.
 
-Unit vectors with cosine >= t lie within sqrt(2 - 2 t) of each other, and so do their projections on any unit direction. Each vector is
-put in the cell of a grid over the directions in which all vectors vary most, with cells as wide as that distance; a similar vector is in
-the same cell or one next to it. Cells are dealt in chunks of at most about CHUNK vectors, and each pair of chunks of neighbouring cells is one
-block, multiplied in numpy by tiles, so that a full cell is spread over many tasks. Products grow with the square of a cell's vectors, memory does not; a
-vector is shuffled once for each chunk that it meets, so that chunks are large. Clusters need no list of all pairs: each block gives a forest of its pairs."""
+Unit vectors with cosine >= t lie within sqrt(2 - 2 t) of each other, and so do their projections on any unit directions. Vectors are dealt by range
+over the cells of a grid on the directions in which all vectors vary most, and kept in packs of at most CHUNK, each with its box in those directions. Two
+packs whose boxes are no farther apart than that distance are one block, multiplied in numpy by tiles with boxes of their own. A vector is shuffled and
+kept once: blocks are made by a cartesian product that reads the packs' files again, not by copies of them. Products grow with the square of vectors
+that lie close together, memory does not, and the disk grows with the vectors. Clusters need no list of all pairs: each block gives a forest of its pairs."""
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,9 @@ from quillon.operators import written
 from quillon.operators.ranking import global_rank
 from quillon.operators.written import kept
 
-DIRECTIONS, CHUNK = 3, 32_768
-#: Vectors of both sides that are multiplied at once, and the similar pairs that go on at once.
-TILE, HITS = (1024, 8192), 200_000
-#: Cells that are few enough to send their counts to every executor.
-BROADCAST_CELLS = 100_000
+DIRECTIONS, CHUNK = 8, 32_768
+#: Vectors of both sides that are multiplied at once, the similar pairs that go on at once, and the vectors of a box on the second side.
+TILE, HITS, LEAF = (1024, 8192), 200_000, 256
 
 
 def centred_unit(x: Column) -> Column:
@@ -62,59 +60,98 @@ def directions(rows: DataFrame, v: str, dims: int) -> np.ndarray:
     return vectors[:, ::-1][:, :DIRECTIONS].T
 
 
-def _blocks(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
-    """(c1, c2, i, j, side, id, v): for each pair of chunks of one cell or neighbouring ones the vectors of both, in chunk 0 and 1."""
-    width = math.sqrt(2 - 2 * least) + 1e-9
-    # written once: the vectors are read for the directions, the counts and both sides
-    rows = kept(df.select(F.col(id).alias("id"), F.col(unit).alias("v")))
-    cells = [F.floor(dot(F.col("v"), F.lit(d.tolist())) / width) for d in directions(rows, "v", dims)]
-    rows = rows.withColumn("cell", F.array(*cells))
-    counts = kept(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
-    if counts.count() <= BROADCAST_CELLS:
-        counts = F.broadcast(counts)
-    rows = rows.join(counts, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    # each pair of cells once: from the one that comes first; in a cell each pair of chunks once, a chunk with itself from one side
-    same = (0,) * DIRECTIONS
-    shifts = [s for s in product((-1, 0, 1), repeat=DIRECTIONS) if s >= same]
-    steps = F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts])
-    other = counts.select(F.col("cell").alias("c2"), F.col("chunks").alias("n2"))
-    spread = rows.select("id", "v", "cell", "chunk", F.explode(steps).alias("s")).withColumn("same", F.col("s") == F.array(*[F.lit(0)] * DIRECTIONS))
-    near = lambda sign: spread.withColumn("c2", F.zip_with("cell", "s", lambda x, y: x + sign * y)).join(other, "c2")
-    chunks = lambda low, high: F.explode(F.when(low <= high, F.sequence(low, high)))
-    left = near(1).select(F.col("cell").alias("c1"), "c2", F.col("chunk").alias("i"), chunks(F.when(F.col("same"), F.col("chunk")).otherwise(0), F.col("n2") - 1).alias("j"), F.lit(0).alias("side"), "id", "v")
-    right = near(-1).select(F.col("c2").alias("c1"), F.col("cell").alias("c2"), chunks(F.lit(0), F.when(F.col("same"), F.col("chunk") - 1).otherwise(F.col("n2") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side"), "id", "v")
-    return left.unionByName(right)
-
-
-KEY = ["c1", "c2", "i", "j"]
-
-
-def _hits(batches: Iterator[pa.RecordBatch], least: float, dims: int) -> Iterator[tuple]:
-    """Of a block first (ids, how many of them are of its first chunk), then (k, m, cosine) of the similar pairs among its vectors, by tiles. Products in
-    single precision tell which pairs are worked out in double."""
-    sides = ([], [])
-    for batch in batches:
-        side = batch.column("side").to_numpy(zero_copy_only=False)
-        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        for n in (0, 1):
-            if (side == n).any():
-                sides[n].append((ids[side == n], x[side == n]))
-    if not sides[0] and not sides[1]:
-        return
-    own = not sides[1]  # a chunk with itself
-    of = lambda n: (np.concatenate([i for i, _ in sides[n]]), np.concatenate([x for _, x in sides[n]])) if sides[n] else (np.zeros(0, object), np.zeros((0, dims)))
-    (a, x), (b, y) = of(0), of(1)
-    yield np.concatenate((a, b)) if not own else a, len(a)
-    if own:
-        y = x
-    elif not len(a):
-        return
+def _order(at: np.ndarray) -> np.ndarray:
+    """Places in an order in which those that follow each other lie close together: halved across their longest side, down to a LEAF."""
+    parts, out = [np.arange(len(at))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= LEAF:
+            out.append(part)
+            continue
+        half = (len(part) // 2 + LEAF - 1) // LEAF * LEAF  # whole leaves first
+        part = part[np.argpartition(at[part, np.ptp(at[part], 0).argmax()], half)]
+        parts += [part[half:], part[:half]]
+    return np.concatenate(out)
+
+
+def _packs(df: DataFrame, id: str, unit: str, width: float, dims: int) -> tuple[DataFrame, np.ndarray]:
+    """(pack, low, high, ids, v), written: up to CHUNK vectors as compressed doubles, with their box in the directions; and the directions."""
+    since = written.marked()
+    # written once: the vectors are read for the directions, their ranges and the packs
+    rows = kept(df.select(F.col(id).alias("id"), F.col(unit).alias("v"))).where("id IS NOT NULL")
+    axes = directions(rows, "v", dims)
+    own = to_arrow_type(rows.schema["id"].dataType)
+    # ranges are found on a sample and differ in size: a quarter less than a pack each, so that few need a second one
+    parts = max(math.ceil(rows.count() / (CHUNK * 0.75)), 1)
+    cells = [F.floor(dot(F.col("v"), F.lit(d.tolist())) / width) for d in axes]
+    most = CHUNK
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while n + batch.num_rows >= most:
+                yield pack([*held, batch.slice(0, most - n)])
+                batch, held, n = batch.slice(most - n), [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield pack(held)
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        x = np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) for b in held])
+        at = x @ axes.T
+        order = _order(at)
+        ids = pa.concat_arrays([b.column("id").cast(own) for b in held]).take(pa.array(order))
+        return pa.record_batch([pa.array([at.min(0).tolist()]), pa.array([at.max(0).tolist()]), pa.ListArray.from_arrays([0, len(x)], ids), pa.array([zlib.compress(x[order].tobytes(), 1)])], ["low", "high", "ids", "v"])
+
+    dealt = rows.repartitionByRange(parts, *cells, F.xxhash64("id")).select("id", "v")
+    id_type = rows.schema["id"].dataType.simpleString()
+    packed = dealt.mapInArrow(packs, f"low array<double>, high array<double>, ids array<{id_type}>, v binary")
+    packed = kept(packed.select(F.monotonically_increasing_id().alias("pack"), "*"))
+    written.drop(since, 1)  # the rows before the packs
+    return packed, axes
+
+
+def _blocks(df: DataFrame, id: str, unit: str, least: float, dims: int) -> tuple[DataFrame, np.ndarray]:
+    """(pack, ids, v, pack2, ids2, v2): each two packs that may hold similar vectors once, and each pack with itself; and the directions."""
+    width = _width(least)
+    packs, axes = _packs(df, id, unit, width, dims)
+    other = packs.select(*[F.col(c).alias(c + "2") for c in packs.columns])
+    gap = F.zip_with(F.zip_with("low2", "high", lambda x, y: x - y), F.zip_with("low", "high2", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    near = let(gap, lambda g: dot(g, g)) <= width * width
+    # each pair of partitions of files is a task that reads both: a join by keys would write a pack once for each other one that it meets
+    pairs = packs.hint("shuffle_replicate_nl").join(other, (F.col("pack") <= F.col("pack2")) & near)
+    return pairs.select("pack", "ids", "v", "pack2", "ids2", "v2"), axes
+
+
+def _width(least: float) -> float:
+    """How far apart similar unit vectors may be, with some room for rounding."""
+    return math.sqrt(2 - 2 * least) + 1e-6
+
+
+def _boxes(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and largest coordinates of each `size` places."""
+    starts = np.arange(0, len(at), size)
+    return np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
+
+
+def _hits(x: np.ndarray, y: np.ndarray, own: bool, least: float, axes: np.ndarray) -> Iterator[tuple]:
+    """(k, m, cosine) of the similar pairs of places in x and y, each pair once where both are the same pack, by tiles. Products in single precision tell which pairs
+    are worked out in double."""
+    width, dims = _width(least), x.shape[1]
     x32, y32, t = x.astype(np.float32), y.astype(np.float32), np.float32(least - (dims + 8) * 2.4e-7)
-    for at in range(0, len(x), TILE[0]):
-        for to in range(at // TILE[1] * TILE[1] if own else 0, len(y), TILE[1]):
-            k, m = np.nonzero(x32[at : at + TILE[0]] @ y32[to : to + TILE[1]].T >= t)
-            k, m = k + at, m + to
+    (low, high), (low2, high2) = _boxes(x @ axes.T, TILE[0]), _boxes(y @ axes.T, LEAF)
+    for tile, at in enumerate(range(0, len(x), TILE[0])):
+        gap = np.maximum(np.maximum(low2 - high[tile], low[tile] - high2), 0)
+        close = np.repeat((gap * gap).sum(1) <= width * width, LEAF)[: len(y)]
+        if own:
+            close[:at] = False
+        close = np.flatnonzero(close)
+        for to in range(0, len(close), TILE[1]):
+            cols = close[to : to + TILE[1]]
+            k, m = np.nonzero(x32[at : at + TILE[0]] @ y32[cols].T >= t)
+            k, m = k + at, cols[m]
             if own:
                 k, m = k[m > k], m[m > k]
             for part in range(0, len(k), HITS):
@@ -122,56 +159,72 @@ def _hits(batches: Iterator[pa.RecordBatch], least: float, dims: int) -> Iterato
                 cosine = np.einsum("ij,ij->i", x[p], y[q])
                 good = cosine >= least
                 if good.any():
-                    yield p[good], q[good] if own else q[good] + len(a), cosine[good]
+                    yield p[good], q[good], cosine[good]
+
+
+def _pairs_of_packs(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple]:
+    """(ids, vectors, ids, vectors, whether both are the same pack) of each block."""
+    vectors = lambda v: np.frombuffer(zlib.decompress(v.as_buffer()), np.float64).reshape(-1, dims)
+    last, x = None, None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            pack, ids, v, pack2, ids2, v2 = (batch.column(c)[k] for c in ("pack", "ids", "v", "pack2", "ids2", "v2"))
+            if last != pack.as_py():  # a task takes a pack's blocks one after the other
+                last, x = pack.as_py(), vectors(v)
+            own = last == pack2.as_py()
+            yield ids.values.to_numpy(zero_copy_only=False), x, ids2.values.to_numpy(zero_copy_only=False), x if own else vectors(v2), own
 
 
 def similar_pairs(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
     """(a, b, cosine) with a < b of unit vectors with a cosine of at least `least`."""
-    blocks = _blocks(df, id, unit, least, dims)
-    id_type = blocks.schema["id"].dataType
-    own = to_arrow_type(id_type)
+    id_type = df.schema[id].dataType
+    own_type = to_arrow_type(id_type)
+    blocks, axes = _blocks(df, id, unit, least, dims)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _hits(batches, least, dims)
-        ids, _ = next(found, (None, 0))
-        for k, m, cosine in found:
-            a, b = ids[k], ids[m]
-            first = a < b
-            yield pa.record_batch([pa.array(np.where(first, a, b), own), pa.array(np.where(first, b, a), own), pa.array(cosine)], ["a", "b", "cosine"])
+        for ids, x, ids2, y, own in _pairs_of_packs(batches, dims):
+            for k, m, cosine in _hits(x, y, own, least, axes):
+                a, b = ids[k], ids2[m]
+                first = a < b
+                yield pa.record_batch([pa.array(np.where(first, a, b), own_type), pa.array(np.where(first, b, a), own_type), pa.array(cosine)], ["a", "b", "cosine"])
 
-    return blocks.groupBy(*KEY).applyInArrow(pairs, f"a {id_type.simpleString()}, b {id_type.simpleString()}, cosine double")
+    return blocks.mapInArrow(pairs, f"a {id_type.simpleString()}, b {id_type.simpleString()}, cosine double")
 
 
 def links(df: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:
     """(a, b): pairs that connect what similar_pairs() connects. Of a block's similar pairs as many go on as join its vectors, fewer than it has vectors."""
-    blocks = _blocks(df, id, unit, least, dims)
-    id_type = blocks.schema["id"].dataType
-    own = to_arrow_type(id_type)
+    id_type = df.schema[id].dataType
+    own_type = to_arrow_type(id_type)
+    blocks, axes = _blocks(df, id, unit, least, dims)
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _hits(batches, least, dims)
-        ids, _ = next(found, (np.zeros(0, object), 0))
-        label = np.arange(len(ids))
-        for k, m, _ in found:
-            low, high = np.minimum(label[k], label[m]), np.maximum(label[k], label[m])
-            apart = low < high
-            if not apart.any():
-                continue
-            joined = np.arange(len(ids)).tolist()
-
-            def top(x: int) -> int:
-                while joined[x] != x:
-                    joined[x] = x = joined[joined[x]]
-                return x
-
-            for pair in np.unique(low[apart] * len(ids) + high[apart]).tolist():
-                p, q = sorted((top(pair // len(ids)), top(pair % len(ids))))
-                joined[q] = p
-            label = np.array([top(x) for x in range(len(ids))])[label]
-        other = np.flatnonzero(label != np.arange(len(ids)))
-        yield pa.record_batch([pa.array(ids[label[other]], own), pa.array(ids[other], own)], ["a", "b"])
-
-    return blocks.groupBy(*KEY).applyInArrow(forest, f"a {id_type.simpleString()}, b {id_type.simpleString()}")
+        for ids, x, ids2, y, own in _pairs_of_packs(batches, dims):
+            shift = 0 if own else len(ids)
+            ids = ids if own else np.concatenate((ids, ids2))
+            label = np.arange(len(ids))
+            for k, m, _ in _hits(x, y, own, least, axes):
+                label = joined(label, k, m + shift)
+            other = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.record_batch([pa.array(ids[label[other]], own_type), pa.array(ids[other], own_type)], ["a", "b"])
+
+    def joined(label: np.ndarray, k: np.ndarray, m: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(label[k], label[m]), np.maximum(label[k], label[m])
+        apart = low < high
+        if not apart.any():
+            return label
+        tops = np.arange(len(label)).tolist()
+
+        def top(x: int) -> int:
+            while tops[x] != x:
+                tops[x] = x = tops[tops[x]]
+            return x
+
+        for pair in np.unique(low[apart] * len(label) + high[apart]).tolist():
+            p, q = sorted((top(pair // len(label)), top(pair % len(label))))
+            tops[q] = p
+        return np.array([top(x) for x in range(len(label))])[label]
+
+    return blocks.mapInArrow(forest, f"a {id_type.simpleString()}, b {id_type.simpleString()}")
 
 
 def similar_clusters(nodes: DataFrame, id: str, unit: str, least: float, dims: int) -> DataFrame:

@@ -208,3 +208,27 @@ def test_similar_vectors_in_large_cells(spark, monkeypatch):
     got = {r.id: r.root for r in neighbours.similar_clusters(df, "id", "v", 0.98, 16).collect()}
     assert [got[i] for i in range(len(x))] == root.tolist() and 1 < len(set(root)) < 2000
     assert links.count() < 20 * len(x)
+
+
+def test_similar_vectors_are_kept_once(spark, monkeypatch):
+    """A full cell of many chunks: blocks read the packs again, and no vector is shuffled to each chunk that it meets; rows without an id take no part."""
+    from quillon.operators import neighbours
+
+    for name, value in (("CHUNK", 64), ("TILE", (32, 64)), ("LEAF", 8)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    tables, keep = [], neighbours.kept
+    monkeypatch.setattr(neighbours, "kept", lambda df: tables.append(keep(df)) or tables[-1])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.2
+    x[800:] = x[0]
+    u = x - x.mean(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(f"{i:03}", f"{j:03}") for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.98, 1)))}
+    assert 4950 < len(want) < 900 * 899 // 2
+    df = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist())], "id string, x array<double>").select("id", centred_unit(F.col("x")).alias("v"))
+    out = similar_pairs(df, "id", "v", 0.98, 16)
+    got = [(r.a, r.b) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    packs = tables[-1]
+    assert packs.count() >= 900 / 64 and sorted(r.id for r in packs.select(F.explode("ids").alias("id")).collect()) == [f"{i:03}" for i in range(900)]
